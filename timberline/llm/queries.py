@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from timberline.llm.decontamination import op8_decontamination
 from timberline.llm.quality_rules import op9_quality_rules
 
 QUERIES = {
+    "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
