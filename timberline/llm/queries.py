@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from timberline.llm.chat_format import OP2_SQL, op2_chat_format
 from timberline.llm.decontamination import op8_decontamination
+from timberline.llm.line_dedup import op1_line_dedup
 from timberline.llm.quality_rules import op9_quality_rules
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_chat_format": op2_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
+}
