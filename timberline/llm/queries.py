@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from timberline.llm.chat_format import OP2_SQL, op2_chat_format
 from timberline.llm.decontamination import op8_decontamination
+from timberline.llm.language_id import op4_language_id
 from timberline.llm.line_dedup import op1_line_dedup
 from timberline.llm.ngram_join import op10_ngram_join
 from timberline.llm.quality_rules import op9_quality_rules
@@ -11,6 +12,7 @@ from timberline.llm.quality_rules import op9_quality_rules
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
+    "op4_language_id": op4_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
