@@ -7,6 +7,7 @@ from timberline.llm.decontamination import op8_decontamination
 from timberline.llm.language_id import op4_language_id
 from timberline.llm.line_dedup import op1_line_dedup
 from timberline.llm.ngram_join import op10_ngram_join
+from timberline.llm.pii import op5_pii
 from timberline.llm.piece_sampling import op3_piece_sampling
 from timberline.llm.quality_classifier import op7_quality_classifier
 from timberline.llm.quality_rules import op9_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_piece_sampling": op3_piece_sampling,
     "op4_language_id": op4_language_id,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
