@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from timberline.llm.chat_format import OP2_SQL, op2_chat_format
+from timberline.llm.chat_format import op2_chat_format
 from timberline.llm.decontamination import op8_decontamination
 from timberline.llm.language_id import op4_language_id
 from timberline.llm.line_dedup import op1_line_dedup
 from timberline.llm.ngram_join import op10_ngram_join
+from timberline.llm.oracles import ORACLES
 from timberline.llm.pii import op5_pii
 from timberline.llm.piece_sampling import op3_piece_sampling
 from timberline.llm.quality_classifier import op7_quality_classifier
 from timberline.llm.quality_rules import op9_quality_rules
 from timberline.llm.toxicity import op6_toxicity
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
@@ -25,7 +28,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
 }
-
-ORACLES: dict[str, str] = {
-    "op2_chat_format": OP2_SQL,
-}
