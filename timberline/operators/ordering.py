@@ -1,5 +1,7 @@
 """Ordered operations without one task for all rows.
 
+What is numbered is written as a table first: several passes over it follow, and parsing is not to be repeated.
+
 Rows are numbered by buckets: any column that grows with the order (an hour, a block of lines). Rows are counted by
 bucket, the counts summed up over the small table of buckets, and rows ranked within their bucket. With numbers given,
 previous rows and running sums work within blocks of BLOCK numbers, whose ends and totals are passed on from block to
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from timberline.sources.storage import staged
+
 BLOCK = 65_536
 BUCKET_MS = 60_000
 
@@ -29,17 +33,18 @@ def by_time(df: DataFrame, name: str = "seq") -> DataFrame:
     """Numbers by time, rows without one last, ties by file and line."""
     lost = F.col("timestamp_ms").isNull()
     bucket = F.struct(lost.alias("lost"), F.when(lost, F.lit(0)).otherwise(F.floor(F.col("timestamp_ms") / BUCKET_MS)).alias("time"), F.when(lost, F.col("file_index")).otherwise(0).alias("file"), F.when(lost, F.floor(F.col("start_line") / BLOCK)).otherwise(0).alias("part"))
-    return numbered(df, bucket, [F.asc_nulls_last("timestamp_ms"), F.col("file_index"), F.col("start_line")], name)
+    return staged(numbered(staged(df, "entries"), bucket, [F.asc_nulls_last("timestamp_ms"), F.col("file_index"), F.col("start_line")], name), "timeline")
 
 
 def by_line(df: DataFrame, name: str = "seq") -> DataFrame:
     """Numbers by file and line."""
-    return numbered(df, F.struct(F.col("file_index"), F.floor(F.col("start_line") / BLOCK).alias("part")), [F.col("file_index"), F.col("start_line")], name)
+    bucket = F.struct(F.col("file_index"), F.floor(F.col("start_line") / BLOCK).alias("part"))
+    return staged(numbered(staged(df, "entries"), bucket, [F.col("file_index"), F.col("start_line")], name), "timeline")
 
 
 def renumbered(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Numbers without holes, in the order of those there are."""
-    return numbered(df.withColumnRenamed(seq, "_old"), F.floor(F.col("_old") / BLOCK), [F.col("_old")], seq).drop("_old")
+    return staged(numbered(staged(df.withColumnRenamed(seq, "_old"), "timeline"), F.floor(F.col("_old") / BLOCK), [F.col("_old")], seq).drop("_old"), "timeline")
 
 
 def with_previous(df: DataFrame, columns: dict[str, Column], seq: str = "seq") -> DataFrame:

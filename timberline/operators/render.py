@@ -10,6 +10,7 @@ from timberline.functions.timestamps import display_time
 from timberline.operators.ordering import BLOCK, numbered, with_running_sum
 from timberline.operators.timeline import with_gaps, with_runs
 from timberline.options import COPY_MASK, Display, Mask
+from timberline.sources.storage import staged
 
 UNKNOWN, GAP_LABEL, BAR, MORE = "-", "...", " | ", ", etc."
 
@@ -105,8 +106,7 @@ def with_groups(entries: DataFrame, d: Display) -> DataFrame:
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "file_index"))), lambda x: x["file_index"])).alias("_files"),
         (F.count_distinct("kind") > 1).alias("_many_kinds") if "kind" in entries.columns else F.lit(False).alias("_many_kinds"),
     )
-    df = runs.join(g, F.col("run_id") == F.col("_run"), "left").drop("_run")
-    return df
+    return staged(runs.join(g, F.col("run_id") == F.col("_run"), "left").drop("_run"), "groups")
 
 
 def _suffix(d: Display) -> Column:
@@ -151,7 +151,7 @@ def display_items(entries: DataFrame, d: Display = Display(), several_files: boo
     df = df.withColumn("_own", rows).withColumn("_item", F.when(F.col("is_group"), F.col("_first")).otherwise(F.col("seq")))
     g = df.groupBy("_item", "is_group").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "_own"))), lambda x: x["_own"])).alias("lines"), F.min_by("_header", "seq").alias("_header"), F.first("_files").alias("header_file_indices"))
     g = g.select("_item", F.explode(F.when(F.col("is_group"), F.array(F.struct(F.lit(0).alias("sub"), F.lit("group").alias("kind"), F.col("_header").alias("text"), F.col("lines").alias("lines"), F.col("header_file_indices").alias("files")))).otherwise(F.transform("lines", lambda x, i: F.struct(i.alias("sub"), F.lit("line").alias("kind"), x["text"].alias("text"), F.array(x).alias("lines"), F.lit(None).cast("array<int>").alias("files"))))).alias("x"))
-    g = g.select("_item", "x.*")
+    g = staged(g.select("_item", "x.*"), "items")
     g = numbered(g, F.floor(F.col("_item") / BLOCK), [F.col("_item"), F.col("sub")], "item_no")
     return g.select("item_no", "kind", "text", "lines", F.col("files").alias("header_file_indices"))
 

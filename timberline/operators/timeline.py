@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions.masks import mask_hosts, mask_message
 from timberline.operators.ordering import with_previous, with_running_sum
 from timberline.options import Mask
+from timberline.sources.storage import staged
 
 
 def gap_text(ms: Column) -> Column:
@@ -37,6 +38,7 @@ def with_runs(entries: DataFrame, threshold: int = 3, mask: Mask = Mask()) -> Da
     df = entries.withColumn("_key", repeat_key(mask))
     df = with_previous(df, {"_before": F.col("_key")})
     df = with_running_sum(df, F.when(F.col("_before").eqNullSafe(F.col("_key")), 0).otherwise(1), "run_id").drop("_key", "_before")
+    df = staged(df, "runs")
     size = df.groupBy("run_id").agg(F.count("*").alias("run_len"))
     return df.join(size, "run_id").withColumn("is_group", F.col("run_len") >= max(2, threshold))
 
