@@ -323,12 +323,10 @@ def mask_ipv4_documents(spark, sf_dir):
     return d.select("doc_id", masks.mask_hosts(F.col("text")).alias("text"))
 
 
-PID_TEXT = F.concat(F.lit("sshd["), (F.col("user_id") + 10).cast("string"), F.lit("]: pid="), F.col("event_id").cast("string"), F.lit(" items[0]: done"))
-
-
 @query("mask_pid", f"{E} SELECT line_no AS start_line, 'sshd[<PID>]: pid=<PID> items[0]: done' AS message FROM e")
 def mask_pid(spark, sf_dir):
-    return single(spark, sf_dir, message=PID_TEXT).select("start_line", masks.mask_process_ids(F.col("message")).alias("message"))
+    text = F.concat(F.lit("sshd["), (F.col("user_id") + 10).cast("string"), F.lit("]: pid="), F.col("event_id").cast("string"), F.lit(" items[0]: done"))
+    return single(spark, sf_dir, message=text).select("start_line", masks.mask_process_ids(F.col("message")).alias("message"))
 
 
 @query("mask_key", f"{E} SELECT line_no AS start_line, 'user=<MASKED> token: \"<MASKED>\", superuser=' || user_id AS message FROM e")
