@@ -15,7 +15,7 @@ from timberline.llm.decontamination import decontaminate
 from timberline.llm.line_dedup import dedup_lines, kept_text
 from timberline.llm.ngram_join import ngram_components
 from timberline.llm.piece_sampling import digest, sample_segmentations
-from timberline.llm.quality_classifier import classify, labelled_model
+from timberline.llm.quality_classifier import classify, labelled
 
 
 def _id(column: str = "doc_id"):
@@ -24,7 +24,8 @@ def _id(column: str = "doc_id"):
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted to the labelled rows of ``docs``."""
-    return classify(docs, labelled_model(spark, sf_dir, docs)).where("accepted").select(*docs.columns)
+    model, measured = labelled(spark, sf_dir, docs)
+    return classify(docs, model, measured).where("accepted").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(_id().alias("_id"))
+    bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(_id().alias("_id")).distinct()
     return docs.withColumn("_id", _id()).join(bad, "_id", "left_anti").select(*docs.columns)
 
 

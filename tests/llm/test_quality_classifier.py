@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from timberline.llm.quality_classifier import Model, Options, classify, features, fit, probability
+from timberline.llm.quality_classifier import Model, Options, classify, features, fit, measure, probability
 
 SCHEMA = "doc_id long, text string, lang string, source string, quality_score string, n int"
 
@@ -24,7 +24,7 @@ def corpus(n, seed):
 def test_held_out_and_clash(spark):
     rows, labels = corpus(900, 1)
     d = spark.createDataFrame(rows, SCHEMA)
-    m = fit(d.where("doc_id % 2 = 0"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    m = fit(measure(d.where("doc_id % 2 = 0")), spark.createDataFrame(labels, "doc_id long, quality int"))
     got = {r.doc_id: r for r in classify(d, m).collect()}
     assert np.mean([got[i].accepted == bool(y) for i, y in labels if i % 2]) > 0.97
     assert got[0].n == 1 and isinstance(got[0].quality_score, float)
@@ -35,7 +35,7 @@ def test_posterior_by_hand(spark):
     rows, labels = corpus(200, 2)
     rows = [(*x[:3], "tiny" if x[0] == 7 else ("bad" if x[0] % 4 == 0 else "good"), *x[4:]) for x in rows]
     d = spark.createDataFrame(rows, SCHEMA)
-    m = fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    m = fit(measure(d), spark.createDataFrame(labels, "doc_id long, quality int"))
     e = probability(m, np.array([features(x[1]) for x in rows]))
     host, path = np.array([x[3] for x in rows]), np.array([x[3] + x[2] for x in rows])
     mean, o = e.mean(), Options()
@@ -57,7 +57,7 @@ def test_posterior_by_hand(spark):
 
 def test_odd_documents(spark, odd, none):
     y = spark.createDataFrame([(10, 1), (11, 0), (12, None), (None, 1), (10, 1)], "doc_id long, quality int")
-    got = classify(odd, fit(odd, y)).collect()
+    got = classify(odd, fit(measure(odd), y)).collect()
     assert len(got) == odd.count() and all(0 <= r.quality_score <= 1 for r in got)
-    assert classify(none, fit(none, y)).count() == 0
+    assert classify(none, fit(measure(none), y)).count() == 0
     assert all(abs(r.text_quality - 0.5) < 1e-9 for r in classify(odd, Model()).collect())

@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.sources.storage import shared_dir, staged
+
+__all__ = ["az_lower", "documents", "row_key", "shared_dir", "shuffle_partitions", "small_side", "staged"]
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='timberline-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
-
-    It cuts the lineage without keeping the only copy on one executor, so a later stage
-    survives the loss of executors and computes nothing twice.
-    """
-    path = f"{shared_dir(df.sparkSession)}/timberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -51,3 +31,9 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_side(df: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
+    """A narrow table, written once, as the side of a join: broadcast up to ``max_rows`` rows, else left to Spark."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents
+from timberline.llm.common import documents, small_side, staged
 
 SYMBOLS = b"#*$%&|<>!{}[]=_~^@\\/+"
 UPPERS = bytes(range(65, 91))
@@ -86,22 +86,29 @@ def probability(m: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", o: Options = Options()) -> Model:
-    y = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
-    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(y, "_id")
-    shape = F.pandas_udf(lambda s: pd.Series([features(t) for t in s]), "array<double>")
-    rows = d.select("_y", F.xxhash64("_t").alias("h"), shape("_t").alias("x")).orderBy("h", "_y", "x").limit(o.sample).collect()
-    return train(np.array([r["x"] for r in rows], float).reshape(-1, 10), np.array([r["_y"] for r in rows], float), o)
+def shape(text: Column) -> Column:
+    """The features of each text, as an array."""
+    return F.pandas_udf(lambda s: pd.Series([features(t) for t in s], dtype=object), "array<double>")(text)
 
 
-def evidence(model: Model, text: Column) -> Column:
-    """The chance of good quality by the text alone."""
+def measure(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
+    """(_id, _host, _path, _hash, _x) of every document: all that fitting and the sites' sums need, written once."""
+    return staged(docs.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.col(path).alias("_path"), F.xxhash64(text).alias("_hash"), shape(F.col(text)).alias("_x")), "quality-features")
 
-    @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        return pd.Series(probability(model, np.array([features(t) for t in s], float).reshape(-1, 10)))
 
-    return score(text)
+def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", o: Options = Options()) -> Model:
+    """Fits to the measured rows that have a label; of several labels the least counts."""
+    y = small_side(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y")), "quality-labels")
+    rows = measured.join(y, "_id").select("_y", "_hash", "_x").orderBy("_hash", "_y", "_x").limit(o.sample).collect()
+    return train(np.array([r["_x"] for r in rows], float).reshape(-1, 10), np.array([r["_y"] for r in rows], float), o)
+
+
+def evidence(m: Model, x: Column) -> Column:
+    """The chance of good quality by the text alone: the logistic model as a column expression."""
+    z = F.lit(float(m.weights[-1]))
+    for i, (mean, scale, w) in enumerate(zip(m.mean, m.scale, m.weights[:-1], strict=True)):
+        z = z + (x[i] - float(mean)) / float(scale) * float(w)
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))))
 
 
 def _weight(stats: DataFrame, mean: float, o: Options) -> float:
@@ -116,7 +123,7 @@ def _weight(stats: DataFrame, mean: float, o: Options) -> float:
 
 
 def posteriors(scored: DataFrame, host: str, path: str, o: Options = Options()) -> tuple[DataFrame, float, float]:
-    """(host, path, n, total, host_n, host_total, base) of every path, the corpus mean, and the weight of a host's mean."""
+    """(_h, _p, n, total, host_mean) of every path, the corpus mean, and the weight of a host's mean."""
     paths = scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_p")).agg(F.count("*").alias("n"), F.sum("_e").alias("total"), F.sum(F.col("_e") ** 2).alias("squares"))
     hosts = paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
@@ -132,30 +139,39 @@ def _logit(c: Column) -> Column:
     return F.log(c / (1 - c))
 
 
-def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text: str = "text", o: Options = Options()) -> DataFrame:
+def judged(d: DataFrame, measured: DataFrame, model: Model, host: str, path: str, o: Options) -> DataFrame:
+    """Adds the four result columns to rows with features ``_x``; the sites' sums come from ``measured``."""
+    paths, mean, weight = posteriors(measured.withColumn("_e", evidence(model, F.col("_x"))), "_host", "_path", o)
+    paths = paths.select("_h", "_p", F.col("n").alias("_n"), F.col("total").alias("_s"), F.col("host_mean").alias("_m"))
+    d = d.withColumn("_e", evidence(model, F.col("_x")))
+    d = d.join(small_side(paths, "quality-paths"), F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")), "left")
+    site = (weight * F.col("_m") + F.col("_s") - F.col("_e")) / (weight + F.col("_n") - 1)
+    d = d.withColumn("_site", F.greatest(F.least(site, F.lit(1.0)), F.lit(0.0)))
+    z = _logit(F.col("_e")) + _logit(F.col("_site")) - _logit(F.lit(float(mean)))
+    d = d.withColumns({"text_quality": F.col("_e"), "site_quality": F.col("_site"), "quality_score": 1 / (1 + F.exp(-z))})
+    return d.withColumn("accepted", F.col("quality_score") >= o.threshold).drop("_e", "_h", "_p", "_n", "_s", "_m", "_site", "_x")
+
+
+def classify(docs: DataFrame, model: Model, measured: DataFrame | None = None, host: str = "source", path: str = "lang", text: str = "text", o: Options = Options()) -> DataFrame:
     """``docs`` with text_quality (own evidence), site_quality (its path without itself), quality_score and accepted.
 
     Null host or path is a group of its own; null or empty text is scored by its features. Repeated rows each get a
     row; an empty table gives an empty result. All columns of ``docs`` stay, also those with clashing names, unless
-    they bear the four names above, which are then replaced.
+    they bear the four names above, which are then replaced. ``measured`` saves a pass where it was made for fitting.
     """
-    d = docs.withColumn("_e", evidence(model, F.col(text)))
-    paths, mean, weight = posteriors(d.select(F.col(host).alias("_host"), F.col(path).alias("_path"), "_e"), "_host", "_path", o)
-    paths = paths.select(F.col("_h"), F.col("_p"), F.col("n").alias("_n"), F.col("total").alias("_s"), F.col("host_mean").alias("_m"))
-    d = d.join(paths, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")), "left")
-    site = (weight * F.col("_m") + F.col("_s") - F.col("_e")) / (weight + F.col("_n") - 1)
-    d = d.withColumn("_site", F.greatest(F.least(site, F.lit(1.0)), F.lit(0.0)))
-    z = _logit(F.col("_e")) + _logit(F.col("_site")) - _logit(F.lit(float(mean)))
-    d = d.withColumns({"text_quality": F.col("_e"), "site_quality": F.col("_site"), "quality_score": 1 / (1 + F.exp(-z))})
-    return d.withColumn("accepted", F.col("quality_score") >= o.threshold).drop("_e", "_h", "_p", "_n", "_s", "_m", "_site")
+    if measured is None:
+        measured = measure(docs.withColumn("_none", F.lit(None).cast("bigint")), "_none", host, path, text)
+    return judged(docs.withColumn("_x", shape(F.col(text))), measured, model, host, path, o)
 
 
-def labelled_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Model:
-    docs = documents(spark, sf_dir) if docs is None else docs
-    return fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> tuple[Model, DataFrame]:
+    """A model fitted to the labelled rows of ``docs``, and their measures."""
+    measured = measure(docs)
+    return fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), measured
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the documents' sources, paths the languages within a source."""
-    out = classify(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), labelled_model(spark, sf_dir))
-    return out.select("doc_id", "text_quality", "site_quality", "quality_score", "accepted")
+    model, measured = labelled(spark, sf_dir, documents(spark, sf_dir))
+    out = judged(measured, measured, model, "_host", "_path", Options())
+    return out.select(F.col("_id").alias("doc_id"), "text_quality", "site_quality", "quality_score", "accepted")
