@@ -14,10 +14,6 @@ LEVELS = {10: "TRACE", 20: "DEBUG", 30: "INFO", 40: "WARN", 50: "ERROR", 60: "FA
 SPACE_OR_QUOTE = re.compile(r'[\s"\ufeff]')
 
 
-class _Float(float):
-    """A number with a point or an exponent, so that 1.0 can be told from true."""
-
-
 def number_text(x: float | int) -> str:
     """A number as the web's JSON writes it: the shortest digits, exponents only from 1e21 up and below 1e-6."""
     if isinstance(x, int) and abs(x) < 2**53:
@@ -68,7 +64,7 @@ def parse(line: str) -> dict | None:
     if not line.startswith("{"):
         return None
     try:
-        v = json.loads(line, parse_constant=_refuse, parse_float=_Float)
+        v = json.loads(line, parse_constant=_refuse)
     except (ValueError, RecursionError):
         return None
     return v if isinstance(v, dict) else None
