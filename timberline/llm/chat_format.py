@@ -72,16 +72,11 @@ def splice(turns: list, base: int, trained: frozenset) -> tuple[np.ndarray, np.n
     for t in turns:
         parts += [[base + (TRAINED_TURN if t["role"] in trained else TURN)], t["role_ids"], [base + ROLE_END], t["text_ids"], [base + TURN_END]]
     ids = np.concatenate([np.asarray(p, "i4") for p in parts]) if parts else np.zeros(0, "i4")
-    within = np.cumsum(ids == base + TRAINED_TURN) - np.cumsum(np.concatenate([[False], ids[:-1] == base + TURN_END]) & _closes(ids, base))
-    header = np.cumsum((ids == base + TURN) | (ids == base + TRAINED_TURN)) - np.cumsum(ids == base + ROLE_END)
-    return ids, (within == 1) & (header == 0) & (ids != base + ROLE_END)
-
-
-def _closes(ids: np.ndarray, base: int) -> np.ndarray:
-    """True where the turn that ended just before was a trained one."""
-    opens = np.where((ids == base + TURN) | (ids == base + TRAINED_TURN), np.arange(len(ids)), -1)
-    last = np.maximum.accumulate(np.concatenate([[-1], opens[:-1]])) if len(ids) else opens
-    return (last >= 0) & (ids[np.maximum(last, 0)] == base + TRAINED_TURN)
+    starts = (ids == base + TURN) | (ids == base + TRAINED_TURN)
+    turn = np.cumsum(starts) - 1
+    ended = np.cumsum(ids == base + TURN_END)
+    inside = np.cumsum(ids == base + ROLE_END) - np.concatenate([[0], ended[:-1]])[: len(ids)]
+    return ids, (inside == 1) & (ids[starts] == base + TRAINED_TURN)[turn] & (ids != base + ROLE_END)
 
 
 def read_back(ids: np.ndarray, mask: np.ndarray, path: str = RANKS) -> tuple[list[tuple[str, str]], list[str]]:
