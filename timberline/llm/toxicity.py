@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents, staged
+from timberline.llm.common import documents, hash_sample, small_side, staged
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+(?:'[a-z]+)*")
 
@@ -175,11 +175,13 @@ def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", o: Options = Options()) -> Model:
-    """Fits to the rows of ``docs`` that have a label; all their tokens count, and the calibration takes ``o.sample`` rows."""
-    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("bigint").alias("_y")).dropna(), "_id")
+    """Fits to the rows of ``docs`` that have a label; all their tokens count, the calibration takes up to ``o.sample`` distinct texts."""
+    y = small_side(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("bigint").alias("_y")).dropna(), "toxic-labels")
+    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(y, "_id")
     scores, rest = log_odds(d, "_t", "_y", o)
     m = Model(scores, rest, 1.0, 1.0, 1.0, 0.0, o.max_expected)
-    seen = d.mapInArrow(partial(_best, model=m), "h bigint, y bigint, n bigint, best array<double>, hist map<double,bigint>").orderBy("h").limit(o.sample).collect()
+    seen = d.mapInArrow(partial(_best, model=m), "h bigint, y bigint, n bigint, best array<double>, hist map<double,bigint>")
+    seen = hash_sample(seen, "h", "y", o.sample, y.count()).collect()
     clean = [r for r in seen if r["y"] == 0]
     hist: dict[float, int] = {}
     for r in clean:
