@@ -3,7 +3,7 @@
 Texts are UTF-8 bytes cut into fixed-length windows (the last one padded with zeros). Each window goes through byte
 embeddings, filters of widths 2, 3 and 4, the maximum over all positions, and a softmax layer; a document's scores are
 the mean over all its windows, so the whole text counts. The network is trained in numpy on windows of a bounded
-sample of labelled documents (``TrainOptions.per_language``, the rows of least hash), always in the same order from
+sample of labelled documents (``TrainOptions.per_language``, distinct texts dealt by hash), always in the same order from
 the same seed, so a lost executor or a second run gives the same model.
 
 For scoring, embedding and filter fold into tables: a filter's answer is a sum of entries for the byte pairs it
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents
+from timberline.llm.common import distinct_by, documents, hash_share
 
 WIDTHS = (2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
@@ -166,14 +166,18 @@ def _predict(batches: Iterator[pa.RecordBatch], model, schema_names: tuple[str,
 
 
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", o: TrainOptions = TrainOptions()) -> pd.DataFrame:
-    """At most per_language rows of each of the max_languages most frequent languages, those of least text hash."""
+    """At most per_language rows of each of the max_languages most frequent languages, distinct texts dealt by hash."""
     d = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     start = F.pmod("h", F.greatest(F.length("text") - o.max_bytes, F.lit(1))).cast("int") + 1
     d = d.select("lang", "h", F.col("text").substr(start, F.lit(o.max_bytes)).alias("text"))
-    top = [r["lang"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(o.max_languages).collect()]
-    parts = [d.where(F.col("lang") == v).orderBy("h", "text").limit(o.per_language) for v in top]
-    rows = [r for p in parts for r in p.collect()]
-    return pd.DataFrame({"lang": [r["lang"] for r in rows], "text": [r["text"] for r in rows]})
+    top = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(o.max_languages).collect()
+    if not top:
+        return pd.DataFrame({"lang": [], "text": []})
+    shares = F.create_map(*(F.lit(x) for r in top for x in (r["lang"], hash_share(o.per_language, r["count"]))))
+    at = F.pmod(F.xxhash64("h"), F.lit(2**32))
+    rows = distinct_by(d.where(at < F.element_at(shares, F.col("lang"))), "h", "lang").withColumn("at", at).toPandas()
+    rows = rows.sort_values(["lang", "at", "h"]).groupby("lang").head(o.per_language)
+    return rows[["lang", "text"]].reset_index(drop=True)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", o: TrainOptions = TrainOptions()) -> Model:

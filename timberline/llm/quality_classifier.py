@@ -1,7 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document's own evidence is a logistic model over the shape of its whole text (case, symbols, repeats, word lengths),
-fitted in numpy to a bounded sample of labelled rows (``Options.sample``, the rows of least text hash). Spark sums this
+fitted in numpy to a bounded sample of labelled rows (``Options.sample``, distinct texts dealt by hash). Spark sums this
 evidence over every path of every host and every host; each level's mean is shrunk toward the level above by a weight
 that the spread of the groups themselves gives (method of moments), so sparse paths follow their host and sparse hosts
 the corpus. A document's posterior joins its own log-odds with those of its path, from which it is left out itself.
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents, small_side, staged
+from timberline.llm.common import documents, hash_sample, small_side, staged
 
 SYMBOLS = b"#*$%&|<>!{}[]=_~^@\\/+"
 UPPERS = bytes(range(65, 91))
@@ -99,7 +99,7 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", path:
 def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", o: Options = Options()) -> Model:
     """Fits to the measured rows that have a label; of several labels the least counts."""
     y = small_side(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y")), "quality-labels")
-    rows = measured.join(y, "_id").select("_y", "_hash", "_x").orderBy("_hash", "_y", "_x").limit(o.sample).collect()
+    rows = hash_sample(measured.join(y, "_id").select("_y", "_hash", "_x"), "_hash", "_y", o.sample, y.count()).collect()
     return train(np.array([r["_x"] for r in rows], float).reshape(-1, 10), np.array([r["_y"] for r in rows], float), o)
 
 
