@@ -313,7 +313,7 @@ def _links(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 27, block: int = BLOCK) -> DataFrame:
+def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 26, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; other columns are ignored.
 
     Words are runs of non-white characters, A-Z lower-cased. Null or wordless texts have no shingles and link with
@@ -328,16 +328,19 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     seen = spark.sparkContext.broadcast([_join_slices([r for r in rows if r["level"] == k], bits, buckets) for k in range(len(CLASSES))])
     del rows
     index = staged(d.mapInArrow(partial(_index, shared=seen, bits=bits, light=boundary()), "kind tinyint, doc_id bigint, node bigint, n int, at int, key bigint"), "ngram-index")
+    seen.unpersist()
     groups = staged(components(candidates(index)), "ngram-groups")
     low = min(bits, 26)
     marked = groups.select("node", F.expr(f"cast((shiftrightunsigned(node, 32) * {buckets}) div 4294967296 as int)").alias("bucket"))
     rows = marked.groupBy("bucket").applyInPandas(partial(_node_bits, bits=low, buckets=buckets), "bucket int, level int, slice binary").collect()
     wanted = spark.sparkContext.broadcast([_join_slices(rows, low, buckets)])
+    del rows
     sizes = index.where("kind = 0").select("node", "n").distinct()
     member = staged(units(groups.join(sizes, "node"), block), "ngram-units")
     sets = d.mapInArrow(partial(_sets, shared=wanted, bits=low), "node bigint, n int, items binary")
     links = sets.join(member, "node").select("unit", "node", "items").repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_verify, "a bigint, b bigint")
     links = components(links.unionByName(light_links(index)))
+    wanted.unpersist()
     rows = index.where("kind = 0").select("doc_id", "node", "n")
     rows = rows.join(links, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     first = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))

@@ -31,8 +31,8 @@ from timberline.llm.common import documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
-MAX_STATES = 3_000_000
-BATCH_CHARS = 3_000_000
+MAX_STATES = 1_000_000
+BATCH_CHARS = 1_000_000
 #: A step's value cannot exceed its log-mass by more, as -log(E) is under 37 for 53-bit uniforms.
 REACH, FLOOR = 38.0, -50.0
 SAMPLES = "samples array<struct<value:double,log_prob:double,log_inclusion:double,ids:array<int>>>"
