@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from timberline.llm.language_id import Scorer, TrainOptions, _forward, fit, identify, to_windows, train
+from timberline.llm.language_id import Scorer, TrainOptions, _forward, fit, identify, to_windows, train, training_sample
 
 SYLLABLES = {"aa": "the ing and tion er on".split(), "bb": "der sch ung ein keit ö".split(), "cc": "que eau é ment tre ou".split()}
 
@@ -50,3 +50,14 @@ def test_odd_documents(spark, odd, none):
             assert (r.lang_pred, r.score) == ("und", 0)
     assert identify(none, fit(none)).count() == 0
     assert {r.lang_pred for r in identify(odd, fit(none)).collect()} == {"und"}
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    """Thousands of copies of few texts: all texts are taken, and their language is learned."""
+    r = random.Random(6)
+    few = [sentence("aa", 12, r) for _ in range(3)]
+    many = [("bb", sentence("bb", 12, r)) for _ in range(900)] + [("cc", sentence("cc", 12, r)) for _ in range(60)]
+    d = spark.createDataFrame([("aa", few[i % 3]) for i in range(60_000)] + many, "lang string, text string").repartition(4)
+    n = training_sample(d).groupby("lang")["text"].agg(["size", "nunique"])
+    assert n.loc["aa"].tolist() == [3, 3] and n.loc["bb"].tolist() == [400, 400] and n.loc["cc"].tolist() == [60, 60]
+    assert fit(d, o=TrainOptions(epochs=1)).languages == ["aa", "bb", "cc"]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from timberline.llm import quality_classifier
 from timberline.llm.quality_classifier import Model, Options, classify, features, fit, measure, probability
 
 SCHEMA = "doc_id long, text string, lang string, source string, quality_score string, n int"
@@ -61,3 +62,13 @@ def test_odd_documents(spark, odd, none):
     assert len(got) == odd.count() and all(0 <= r.quality_score <= 1 for r in got)
     assert classify(none, fit(measure(none), y)).count() == 0
     assert all(abs(r.text_quality - 0.5) < 1e-9 for r in classify(odd, Model()).collect())
+
+
+def test_copies_do_not_shrink_the_sample(spark, monkeypatch):
+    """The fit sees all of few texts, however many copies and labels of other rows there are."""
+    rows, labels = corpus(60, 3)
+    rows, labels = [(x[0] + 60 * k, *x[1:]) for k in range(500) for x in rows], [(i + 60 * k, y) for k in range(1000) for i, y in labels]
+    seen, whole = [], quality_classifier.hash_sample
+    monkeypatch.setattr(quality_classifier, "hash_sample", lambda *a: seen.append(whole(*a)) or seen[0])
+    fit(measure(spark.createDataFrame(rows, SCHEMA)), spark.createDataFrame(labels, "doc_id long, quality int"), o=Options(sample=50))
+    assert seen[0].count() == 50

@@ -4,7 +4,8 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
-from timberline.llm.toxicity import evidence, fit, score_toxicity, segments, solve_lambda
+from timberline.llm import toxicity
+from timberline.llm.toxicity import Options, evidence, fit, score_toxicity, segments, solve_lambda
 
 
 def brute(s):
@@ -64,3 +65,14 @@ def test_odd_documents(spark, odd, none):
     got = score_toxicity(odd, m, keep=("doc_id", "text")).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert score_toxicity(none, fit(none, y)).count() == 0
+
+
+def test_copies_do_not_shrink_the_calibration(spark, monkeypatch):
+    """The calibration sees all of few texts, however many copies and labels of other rows there are."""
+    rows, labels = documents(60, 2)
+    rows, labels = [(i + 60 * k, t, 1) for k in range(500) for i, t, _ in rows], [(i + 60 * k, y) for k in range(1000) for i, y in labels]
+    seen, whole = [], toxicity.hash_sample
+    monkeypatch.setattr(toxicity, "hash_sample", lambda *a: seen.append(whole(*a)) or seen[0])
+    d, y = spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fit(d, y, o=Options(sample=50))
+    assert seen[0].count() == 50

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.sources.storage import shared_dir, staged
 
-__all__ = ["az_lower", "distinct_by", "documents", "hash_sample", "hash_share", "row_key", "shared_dir", "shuffle_partitions", "small_side", "staged"]
+__all__ = ["az_lower", "distinct_by", "distinct_count", "documents", "hash_sample", "hash_share", "row_key", "shared_dir", "shuffle_partitions", "small_side", "staged"]
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]"
@@ -40,17 +40,22 @@ def small_side(df: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame
 
 
 def hash_share(k: int, n: int) -> int:
-    """The part, of 2**32, of the hash space that holds rather more than ``k`` of ``n`` rows."""
+    """The part, of 2**32, of the hash space that holds rather more than ``k`` of ``n`` distinct hashes."""
     return int(min(1.0, (1.25 * k + 200) / max(n, 1)) * 2**32)
 
 
+def distinct_count(df: DataFrame, h: Column) -> int:
+    """About how many values ``h`` has; copies share a hash, so a share of the hash space must be one of these, not of rows."""
+    return df.agg(F.approx_count_distinct(h)).first()[0]
+
+
 def distinct_by(df: DataFrame, h: str, label: str) -> DataFrame:
     """One row for each ``h``, with the least label; all other columns must follow from ``h``."""
     return df.groupBy(h).agg(*((F.min(c) if c == label else F.first(c)).alias(c) for c in df.columns if c != h))
 
 
 def hash_sample(df: DataFrame, h: str, label: str, k: int, n: int) -> DataFrame:
-    """At most ``k`` rows of distinct ``h``, dealt by hash, of a table of about ``n`` rows.
+    """At most ``k`` rows of distinct ``h``, dealt by hash, of a table of about ``n`` distinct ones.
 
     A share of the hash space is cut first, so that what tasks send to the driver depends on ``k``, not on their number.
     """

@@ -170,10 +170,10 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", o:
     d = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     start = F.pmod("h", F.greatest(F.length("text") - o.max_bytes, F.lit(1))).cast("int") + 1
     d = d.select("lang", "h", F.col("text").substr(start, F.lit(o.max_bytes)).alias("text"))
-    top = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(o.max_languages).collect()
+    top = d.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").limit(o.max_languages).collect()
     if not top:
         return pd.DataFrame({"lang": [], "text": []})
-    shares = F.create_map(*(F.lit(x) for r in top for x in (r["lang"], hash_share(o.per_language, r["count"]))))
+    shares = F.create_map(*(F.lit(x) for r in top for x in (r["lang"], hash_share(o.per_language, r["texts"]))))
     at = F.pmod(F.xxhash64("h"), F.lit(2**32))
     rows = distinct_by(d.where(at < F.element_at(shares, F.col("lang"))), "h", "lang").withColumn("at", at).toPandas()
     rows = rows.sort_values(["lang", "at", "h"]).groupby("lang").head(o.per_language)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents, hash_sample, small_side, staged
+from timberline.llm.common import distinct_count, documents, hash_sample, small_side, staged
 
 SYMBOLS = b"#*$%&|<>!{}[]=_~^@\\/+"
 UPPERS = bytes(range(65, 91))
@@ -99,7 +99,8 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", path:
 def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", o: Options = Options()) -> Model:
     """Fits to the measured rows that have a label; of several labels the least counts."""
     y = small_side(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y")), "quality-labels")
-    rows = hash_sample(measured.join(y, "_id").select("_y", "_hash", "_x"), "_hash", "_y", o.sample, y.count()).collect()
+    d = measured.join(y, "_id").select("_y", "_hash", "_x")
+    rows = hash_sample(d, "_hash", "_y", o.sample, distinct_count(d, F.col("_hash"))).collect()
     return train(np.array([r["_x"] for r in rows], float).reshape(-1, 10), np.array([r["_y"] for r in rows], float), o)
 
 

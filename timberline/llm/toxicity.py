@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents, hash_sample, small_side, staged
+from timberline.llm.common import distinct_count, documents, hash_sample, small_side, staged
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+(?:'[a-z]+)*")
 
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     scores, rest = log_odds(d, "_t", "_y", o)
     m = Model(scores, rest, 1.0, 1.0, 1.0, 0.0, o.max_expected)
     seen = d.mapInArrow(partial(_best, model=m), "h bigint, y bigint, n bigint, best array<double>, hist map<double,bigint>")
-    seen = hash_sample(seen, "h", "y", o.sample, y.count()).collect()
+    seen = hash_sample(seen, "h", "y", o.sample, distinct_count(d, F.xxhash64("_t"))).collect()
     clean = [r for r in seen if r["y"] == 0]
     hist: dict[float, int] = {}
     for r in clean:
