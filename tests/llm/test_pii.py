@@ -62,3 +62,38 @@ def test_documents(spark, odd, none):
     got = pseudonymize(odd, keep=("doc_id", "n")).collect()
     assert len(got) == odd.count() and sum(r.text is None for r in got) == sum(r.text is None for r in odd.collect())
     assert pseudonymize(none).count() == 0
+
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+@pytest.mark.parametrize("secret", [HEX.upper(), HEX[:20].upper() + HEX[20:], HEX[:32].upper()])
+def test_bare_secret_in_any_case(secret):
+    """No '=' or ':' in the text, and no 32 lower-case digits in a row."""
+    new, ((kind, entity, s, _),) = replace(f"uses {secret} since", K)
+    assert (kind, entity) == ("secret", secret) and secret not in new
+    assert [(c.isdigit(), c.isupper()) for c in s] == [(c.isdigit(), c.isupper()) for c in secret]
+    assert re.fullmatch("[0-9a-fA-F]+", s)
+
+
+@pytest.mark.parametrize("n", [129, 256, 1024, 1025, 5000, 100_000])
+@pytest.mark.parametrize("case", [str.lower, str.upper])
+def test_secret_of_any_length(n, case):
+    secret = case((HEX * (n // len(HEX) + 1))[:n])
+    new, ((kind, entity, s, _),) = replace(f"uses {secret} since", K)
+    assert (kind, entity) == ("secret", secret) and new == f"uses {s} since"
+    assert len(s) == n and s != secret and s == case(s) and re.fullmatch("[0-9a-fA-F]+", s)
+    other = secret[:-1] + case("e" if secret[-1] in "fF" else "f") if secret[-1].isalpha() else secret[:-1] + str((int(secret[-1]) + 1) % 10)
+    assert surrogate(K, "secret", other) != surrogate(K, "secret", secret)
+
+
+def test_assigned_secret_of_any_length():
+    value = "Zq9" * 4000
+    new, ((kind, entity, s, _),) = replace(f"token={value} end", K)
+    assert (kind, entity) == ("secret", value) and new == f"token={s} end" and len(s) == len(value)
+
+
+def test_long_strings_are_permuted(monkeypatch):
+    """Piece by piece too, all strings of a format have distinct images."""
+    monkeypatch.setattr("timberline.llm.pii.PIECE", 2)
+    assert len({surrogate(K, "ssn", f"{x:04d}") for x in range(10_000)}) == 10_000

@@ -30,6 +30,8 @@ from timberline.llm.common import documents
 
 KEY = "surrogates"
 ROUNDS = 8
+#: Characters that are permuted as one number; the cost grows with the square of their number.
+PIECE = 1024
 FEMALE = "Alice Anna Barbara Carla Clara Diana Elena Emma Eva Fiona Greta Hanna Helen Ingrid Irene Julia Karen Laura Linda Lucia Maria Marie Martha Monica Nina Nora Olivia Paula Rosa Sarah Sofia Susan Teresa Ursula Vera".split()
 MALE = "Adam Albert Anton Bruno Carlos Daniel David Erik Felix Frank Georg Hans Henry Hugo Ivan Jack James John Jorge Karl Leo Louis Marco Martin Max Michael Oscar Paul Peter Pierre Robert Simon Thomas Victor Walter".split()
 HER, HIS = "Mrs Ms Miss Frau Madame Mme Señora Sra".split(), "Mr Herr Monsieur Señor Sr".split()
@@ -42,7 +44,7 @@ NUMBERS = [
     ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
 ]
-SECRETS = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)[ \t]*[=:][ \t]*[\"']?([^\s\"'&|<>]{6,})|(?<![0-9A-Za-z])([0-9a-f]{32,128})(?![0-9A-Za-z])")
+SECRETS = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)[ \t]*[=:][ \t]*[\"']?([^\s\"'&|<>]{6,})|(?<![0-9A-Za-z])([0-9a-f]{32,})(?![0-9A-Za-z])")
 PERSON = re.compile(rf"(?<!\w)(?:(?:{'|'.join([*HER, *HIS, 'Dr', 'Prof'])})\.? {NAME}(?: {NAME})?|(?:{'|'.join([*FEMALE, *MALE])}) {NAME})(?!\w)")
 LIKELY = re.compile(rf"(?<!\w)(?:{'|'.join([*HER, *HIS, 'Dr', 'Prof', *FEMALE, *MALE])})(?!\w)")
 
@@ -59,7 +61,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in EMAIL_END.finditer(text):
             if local := EMAIL_LOCAL.search(text, max(0, m.start() - 64), m.start()):
                 out.append((local.start(), m.end(), "email"))
-    if "=" in text or ":" in text or re.search(r"[0-9a-f]{32}", text):
+    if "=" in text or ":" in text or re.search(r"[0-9a-fA-F]{32}", text):
         out += [(*m.span(1 if m[1] else 2), "secret") for m in SECRETS.finditer(text)]
     if re.search(r"\d[\d .()-]{5}", text):
         for kind, pattern in NUMBERS:
@@ -113,7 +115,17 @@ def alphabet(c: str) -> str:
 
 
 def _image(key: bytes, kind: str, s: str, alphabets: list[str]) -> str:
-    """The image of ``s`` among all strings with these alphabets; the key is bound to the kind and the format."""
+    """The image of ``s`` among all strings with these alphabets; the key is bound to the kind and the format.
+
+    Longer strings go piece by piece, each under a key bound to all that stands before it, which is a permutation too.
+    """
+    if len(s) > PIECE:
+        before = hashlib.blake2b("|".join([kind, *alphabets]).encode(), key=key, digest_size=32)
+        out = []
+        for at in range(0, len(s), PIECE):
+            out.append(_image(before.digest(), kind, s[at : at + PIECE], alphabets[at : at + PIECE]))
+            before.update(s[at : at + PIECE].encode())
+        return "".join(out)
     size = x = 1
     x = 0
     for c, a in zip(s, alphabets, strict=True):
@@ -180,6 +192,8 @@ def surrogate(key: bytes, kind: str, s: str) -> str:
         return _digits(key, kind, s)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", s):
         return _image(key, "hex", s, ["0123456789abcdef"] * len(s))
+    if kind == "secret" and re.fullmatch(r"[0-9a-fA-F]{32,}", s):  # digits and letters keep their places, letters their case
+        return _image(key, "hex", s, ["0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF" for c in s])
     return _name(key, s) if kind == "person" else _letters(key, kind, s)
 
 
