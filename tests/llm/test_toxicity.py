@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from timberline.llm import toxicity
 from timberline.llm.toxicity import Options, evidence, fit, score_toxicity, segments, solve_lambda
@@ -76,3 +77,11 @@ def test_copies_do_not_shrink_the_calibration(spark, monkeypatch):
     d, y = spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels, "doc_id long, toxic int")
     fit(d, y, o=Options(sample=50))
     assert seen[0].count() == 50
+
+
+def test_every_telling_token_counts(spark):
+    """A toxic token keeps its score beside any number of clean tokens of larger z."""
+    clean = spark.range(60_000).select(F.concat(F.lit("c"), "id").cast("binary").alias("token"), F.lit(0).alias("y1"), F.lit(60).alias("y0"))
+    toxic = spark.range(1).select(F.lit("idiot").cast("binary").alias("token"), F.lit(32).alias("y1"), F.lit(0).alias("y0"))
+    told = toxicity._told(clean.union(toxic), 3.6e6, 3.6e6, Options())
+    assert told.where("d > 0").count() == 1 and told.count() == 60_001

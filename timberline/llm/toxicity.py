@@ -2,8 +2,7 @@
 
 Fit: Spark counts every token of the labelled documents by label. A token's score is its log-odds between the labels
 under a Dirichlet prior, half a count plus the token's share of all labelled text; only tokens whose z-score reaches
-``min_z`` and log-odds ``min_d`` (at most ``max_tokens``, those of largest z) are scored one by one, all others share
-one score, that of their pooled counts. ``drift`` is taken off every score, so clean text has a negative mean.
+``min_z`` and log-odds ``min_d`` are scored one by one, all others share one score, that of their pooled counts. ``drift`` is taken off every score, so clean text has a negative mean.
 
 Scan: one linear pass over a document finds every maximal scoring segment (no two overlap, none can be extended).
 
@@ -38,7 +37,6 @@ class Options:
     prior: float = 500.0
     min_z: float = 2.8
     min_d: float = 1.0
-    max_tokens: int = 50_000
     drift: float = 0.02
     max_expected: float = 0.05
     sample: int = 20_000
@@ -90,7 +88,7 @@ def _told(counts: DataFrame, n1: float, n0: float, o: Options) -> DataFrame:
     a = 0.5 + o.prior * (F.col("y1") + F.col("y0")) / (n1 + n0)
     odds = lambda y, m: F.log((y + a) / (m + o.prior - y))
     n = counts.withColumn("d", odds(F.col("y1"), n1) - odds(F.col("y0"), n0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
-    return n.where((F.abs("z") >= o.min_z) & (F.abs("d") >= o.min_d)).orderBy(F.desc(F.abs("z")), "token").limit(o.max_tokens)
+    return n.where((F.abs("z") >= o.min_z) & (F.abs("d") >= o.min_d))
 
 
 def log_odds(labelled: DataFrame, text: str, label: str, o: Options) -> tuple[dict[bytes, float], float]:
