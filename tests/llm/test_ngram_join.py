@@ -74,7 +74,9 @@ def test_empty_table(none):
 
 
 def test_boundary_and_short_sets():
-    assert boundary() >= 5
+    assert boundary({}) == 0
+    assert boundary({s: (100, 100 * s) for s in range(1, 17)}) >= 5
+    assert boundary({s: (100, 0) for s in range(1, 17)}) < boundary({s: (100, 10**6) for s in range(1, 17)}) == 16
     assert len(shingle_set(None)) == len(shingle_set(" \n")) == 0
     assert len(shingle_set("a b")) == 1 and len(shingle_set("a a a a a a a")) == 1
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from timberline.sources.storage import shared_dir, staged
 
-__all__ = ["az_lower", "distinct_by", "distinct_count", "documents", "hash_sample", "hash_share", "row_key", "shared_dir", "shuffle_partitions", "small_side", "staged"]
+__all__ = ["az_lower", "distinct_by", "distinct_count", "documents", "hash_sample", "hash_share", "join_hot", "row_key", "shared_dir", "shuffle_partitions", "small_side", "staged"]
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = r"[\x20\x09-\x0D]"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
+#: A key with more than 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,3 +63,14 @@ def hash_sample(df: DataFrame, h: str, label: str, k: int, n: int) -> DataFrame:
     """
     at = F.pmod(F.xxhash64(h), F.lit(2**32))
     return distinct_by(df.where(at < hash_share(k, n)), h, label).orderBy(F.xxhash64(h), h).limit(k)
+
+
+def join_hot(large: DataFrame, small: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``large`` left-joined to ``small``, which has a row for each key and in ``weight`` its number of rows in ``large``.
+
+    Rows with hot keys meet a broadcast of those keys alone, so they are neither shuffled nor gathered in a task.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE > total
+    rest = large.join(F.broadcast(small.where(hot).select(*on)), on, "left_anti").join(small.where(~hot), on, "left")
+    return large.join(F.broadcast(small.where(hot)), on).unionByName(rest)
