@@ -12,13 +12,40 @@ MESSAGE_KEYS = ("msg", "message")
 #: What numeric levels mean.
 LEVELS = {10: "TRACE", 20: "DEBUG", 30: "INFO", 40: "WARN", 50: "ERROR", 60: "FATAL"}
 SPACE_OR_QUOTE = re.compile(r'[\s"\ufeff]')
+LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Integers with more digits than this are beyond what a double holds, so they are infinite.
+MAX_DIGITS = 309
+
+
+def double(x: float | int) -> float:
+    """A number as a double; integers too large for one are infinite."""
+    try:
+        return float(x)
+    except OverflowError:
+        return math.inf if x > 0 else -math.inf
+
+
+def _integer(digits: str) -> float | int:
+    return int(digits) if len(digits) <= MAX_DIGITS + 1 else math.copysign(math.inf, -1 if digits[0] == "-" else 1)
+
+
+def quoted(text: str) -> str:
+    """A string as JSON; half a surrogate pair is written as an escape."""
+    return LONE_SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
+
+
+def whole(text: str | None) -> str | None:
+    """A text that can be written as UTF-8: half surrogate pairs become replacement characters."""
+    return text if text is None or text.isascii() else LONE_SURROGATE.sub("\ufffd", text)
 
 
 def number_text(x: float | int) -> str:
     """A number as the web's JSON writes it: the shortest digits, exponents only from 1e21 up and below 1e-6."""
     if isinstance(x, int) and abs(x) < 2**53:
         return str(x)
-    x = float(x)
+    x = double(x)
+    if math.isinf(x):
+        return "Infinity" if x > 0 else "-Infinity"
     if x == 0:
         return "0"
     digits, _, power = f"{x!r}".lower().partition("e") if "e" in f"{x!r}" else (repr(x), "", "0")
@@ -41,12 +68,14 @@ def number_text(x: float | int) -> str:
 def compact(v) -> str:
     """A value as compact JSON, with the web's key order and number texts."""
     if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{compact(x)}" for k, x in ordered(v)) + "}"
+        return "{" + ",".join(f"{quoted(k)}:{compact(x)}" for k, x in ordered(v)) + "}"
     if isinstance(v, list):
         return "[" + ",".join(map(compact, v)) + "]"
     if isinstance(v, bool) or v is None:
         return {True: "true", False: "false", None: "null"}[v]
-    return number_text(v) if isinstance(v, (int, float)) else json.dumps(v, ensure_ascii=False)
+    if isinstance(v, (int, float)):
+        return number_text(v) if math.isfinite(double(v)) else "null"
+    return quoted(v)
 
 
 def ordered(d: dict) -> list[tuple]:
@@ -64,14 +93,14 @@ def parse(line: str) -> dict | None:
     if not line.startswith("{"):
         return None
     try:
-        v = json.loads(line, parse_constant=_refuse)
+        v = json.loads(line, parse_constant=_refuse, parse_int=_integer)
     except (ValueError, RecursionError):
         return None
     return v if isinstance(v, dict) else None
 
 
 def _number(v) -> bool:
-    return isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+    return isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(double(v))
 
 
 def first_key(record: dict, keys: tuple[str, ...]) -> str | None:
@@ -99,5 +128,10 @@ def message(record: dict, used: set[str]) -> str:
     k = first_key(record, MESSAGE_KEYS)
     text = record[k] if k and isinstance(record[k], str) else None
     used = used | ({k} if text is not None else set())
-    show = lambda v: v if isinstance(v, str) and not SPACE_OR_QUOTE.search(v) else compact(v)
+
+    def show(v) -> str:
+        if isinstance(v, str):
+            return quoted(v) if SPACE_OR_QUOTE.search(v) else v
+        return number_text(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else compact(v)
+
     return " ".join([*([text] if text else []), *(f"{n}={show(v)}" for n, v in ordered(record) if n not in used)])

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from timberline.functions.patterns import compile_python
 from timberline.options import ParseOptions
 
-DAY_MS, YEAR_MIN = 86_400_000, 100
+DAY_MS, YEAR_MIN, YEAR_MAX = 86_400_000, 100, 275_760
+MONTH_DAYS = [calendar.monthrange(2023, m)[1] for m in range(1, 13)]
+EPOCH_DAY = datetime(1970, 1, 1).toordinal()
 MAX_OFFSET_MIN = 14 * 60
 MAX_INSTANT_MS = 8_640_000_000_000_000
 MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m}
@@ -52,43 +54,73 @@ def offset_suffix(minutes: int) -> str:
     return "Z" if minutes == 0 else f"{'-' if minutes < 0 else '+'}{abs(minutes) // 60:02d}:{abs(minutes) % 60:02d}"
 
 
-def _fraction(text: str | None) -> int:
-    return int((text or "0").ljust(3, "0")[:3])
+def _fraction(text: str | None) -> int | None:
+    """Milliseconds of the digits after the point; None where they are no digits."""
+    if text is None:
+        return 0
+    return int(text.ljust(3, "0")[:3]) if text.isascii() and text.isdigit() else None
+
+
+def _number(text: str | None) -> float | int | None:
+    """What a group of an own format says: empty is 0, and None stands for no group and for no number."""
+    if text is None:
+        return None
+    text = text.strip()
+    if text.isascii() and text.isdigit():
+        return int(text[:400])
+    try:
+        return float(text) if re.fullmatch(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", text) else None if text else 0
+    except OverflowError:
+        return None
+
+
+def _clipped(ms: float | int | None) -> int | None:
+    return None if ms is None or not abs(ms) <= MAX_INSTANT_MS else int(ms)
 
 
 def wall_clock_ms(year: int, month: int, day: int, hour: int, minute: int, second: int, ms: int = 0) -> int | None:
     """The instant of a wall clock in UTC, None where the calendar or the clock has no such time."""
-    if year < YEAR_MIN or hour > 23 or minute > 59 or second > 59 or not 1 <= month <= 12 or not 1 <= day <= calendar.monthrange(year, month)[1]:
+    if not YEAR_MIN <= year <= YEAR_MAX or not 0 <= hour <= 23 or not 0 <= minute <= 59 or not 0 <= second <= 59:
         return None
-    return calendar.timegm((year, month, day, hour, minute, second)) * 1000 + ms
+    if not 1 <= month <= 12 or not 1 <= day <= MONTH_DAYS[month - 1] + (month == 2 and calendar.isleap(year)):
+        return None
+    cycles, year = divmod(year - YEAR_MIN, 400)  # the calendar repeats after 400 years of 146,097 days
+    days = datetime(year + YEAR_MIN, month, day).toordinal() - EPOCH_DAY + cycles * 146_097
+    return days * DAY_MS + ((hour * 60 + minute) * 60 + second) * 1000 + ms
 
 
 def instant(groups: dict[str, str | None], source_offset_min: int, options: ParseOptions) -> int | None:
-    """The instant that a match's groups mean. A written offset beats the configured one; an epoch has none."""
+    """The instant that a match's groups mean. A written offset beats the configured one; an epoch has none.
+
+    None rejects the match: a group that is no number or did not take part, or a time that does not exist.
+    """
     g = groups.get
-    if g("epochMs") is not None:
-        ms = int(g("epochMs"))
-        return ms if ms <= MAX_INSTANT_MS else None
-    if g("epochSec") is not None:
-        ms = int(g("epochSec")) * 1000 + _fraction(g("ms"))
-        return ms if ms <= MAX_INSTANT_MS else None
-    month = MONTHS.get(g("mon").lower()) if g("mon") else int(g("mo"))
-    if month is None:
+    if g("epochMs"):
+        return _clipped(_number(g("epochMs")))
+    ms = _fraction(g("ms"))
+    if g("epochSec"):
+        seconds = _number(g("epochSec"))
+        return None if seconds is None or ms is None else _clipped(seconds * 1000 + ms)
+    month = MONTHS.get((g("mon") or "").lower()) if "mon" in groups and "mo" not in groups else _number(g("mo"))
+    parts = [month, *(_number(g(k)) for k in ("d", "h", "mi", "s"))]
+    if ms is None or any(x is None or x != x // 1 for x in parts):
         return None
     offset = source_offset_min
     if g("tzs"):
-        offset = parse_offset(g("tzs") + g("tzh") + (g("tzm") or ""))
+        offset = parse_offset(g("tzs") + (g("tzh") or "") + ("" if g("tzm") is None else f":{g('tzm')}"))
     elif g("tzz"):
         offset = 0
     if offset is None:
         return None
 
-    def at(year: int) -> int | None:
-        ms = wall_clock_ms(year, month, int(g("d")), int(g("h")), int(g("mi")), int(g("s")), _fraction(g("ms")))
-        return None if ms is None else ms - offset * 60_000
+    def at(year: float | int | None) -> int | None:
+        if year is None or year != year // 1 or abs(year) > YEAR_MAX:
+            return None
+        found = wall_clock_ms(int(year), *map(int, parts), ms)
+        return None if found is None else _clipped(found - offset * 60_000)
 
-    if g("y") is not None:
-        return at(int(g("y")))
+    if "y" in groups:
+        return at(_number(g("y")))
     if options.assumed_year is not None:
         return at(options.assumed_year)
     year = datetime.fromtimestamp(options.reference_time_ms / 1000, timezone.utc).year
@@ -148,4 +180,6 @@ def display_time(ms: Column, offset_min: int = 0, zone: str | None = None) -> Co
         two = lambda c: F.lpad(c.cast("string"), 2, "0")
         suffix = F.when(minutes == 0, "Z").otherwise(F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(F.abs(minutes) / 60)), F.lit(":"), two(F.abs(minutes) % 60)))
     text = wall.cast("string")
-    return F.concat(text.substr(1, 10), F.lit("T"), text.substr(12, 8), F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"), suffix)
+    day, clock = F.split_part(text, F.lit(" "), F.lit(1)), F.split_part(text, F.lit(" "), F.lit(2)).substr(1, 8)
+    day = F.when(F.startswith(day, F.lit("+")), F.concat(F.lit("+"), F.lpad(day.substr(2, 12), 12, "0"))).otherwise(day)
+    return F.concat(day, F.lit("T"), clock, F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"), suffix)

@@ -127,13 +127,13 @@ class CriteriaForm:
 
 
 def compile_patterns(rows, flags: str = "im") -> tuple[tuple[str, ...], list[SettingsError]]:
-    """Python sources of the enabled, non-blank rows."""
+    """Python sources of the enabled, non-blank rows, without blanks around them."""
     good, bad = [], []
     for i, (text, enabled) in enumerate(rows):
         if not enabled or not text.strip():
             continue
         try:
-            good.append(compile_python(text, flags).pattern)
+            good.append(compile_python(text.strip(), flags).pattern)
         except PatternError as e:
             bad.append(SettingsError("invalidRegexProperty", i, str(e)))
     return tuple(good), bad
@@ -156,16 +156,16 @@ def compile_criteria(form: CriteriaForm, offset_min: int = 0, zone: str | None =
 
 
 def updated_severities(checked: set[str], before: set[str], now: set[str]) -> set[str]:
-    """Checked severities after files were added: those that are new count as checked."""
-    return (checked | (now - before)) & now if now else set()
+    """Checked severities after files were added: those that are new count as checked, and none is lost."""
+    return checked | (now - before)
 
 
 def key_mask_pattern(keys: str) -> str | None:
-    """A Java pattern for the values of comma-separated keys; group 1 is what stays, the value is the rest.
+    """A Java pattern for the values of keys that commas or blanks separate; group 1 is what stays, the value is the rest.
 
     ``=`` may stand off the key but not the value, ``:`` may be followed by spaces; quotes stay.
     """
-    names = "|".join(escape(k.strip()) for k in keys.split(",") if k.strip())
+    names = "|".join(escape(k.strip()) for k in re.split(r"[,\s\ufeff]+", keys) if k)
     if not names:
         return None
     head = rf"(?<![A-Za-z0-9_.\-])(?:{names})\s*(?:=|:\s*)"
