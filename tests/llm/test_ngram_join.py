@@ -1,11 +1,13 @@
 import random
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.llm.components import components
-from timberline.llm.ngram_join import boundary, ngram_components, shingle_set
+from timberline.llm.ngram_join import _lists, boundary, candidates, ngram_components, shared_shingles, shingle_set
 
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -65,6 +67,45 @@ def test_against_brute_force(spark, seed, sizes, block):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block) == brute(rows)
 
 
+def boilerplate(n):
+    """Unique texts that end in one of three passages: they share many shingles and link with nothing."""
+    r = random.Random(5)
+    passages = [" ".join(f"p{k}x{i}" for i in range(24)) for k in range(3)]
+    return [(i, " ".join(f"u{r.randrange(10**9)}" for _ in range(20)) + " " + passages[i % 3]) for i in range(n)]
+
+
+def mixed(n):
+    """Texts of three slots out of few choices each: many share most of their shingles, some of which link."""
+    r = random.Random(6)
+    part = lambda k: " ".join(f"s{k}w{i}" for i in range(14))
+    return [(i, " ".join([part(0), part(1), part(r.randint(2, 9)), part(r.randint(10, 14)), part(r.randint(15, 40))][: r.randint(3, 5)] + [f"e{r.randint(0, 9)}"])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("rows", "block"), [(boilerplate(300), 4), (mixed(300), 4), (mixed(120), 64)])
+def test_large_groups_against_brute_force(spark, rows, block):
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block) == brute(rows)
+
+
+def test_shared_passages_make_no_candidates(spark):
+    """Rarity is exact at every size, so passages of many documents stay out of the lists."""
+    for n in (300, 1200):
+        docs = spark.createDataFrame(boilerplate(n), "doc_id long, text string")
+        sets = shared_shingles(docs, 4)
+        assert sets.count() == n and sets.where("items is not null").count() == 0
+
+
+def test_many_partly_alike_texts_grow_in_proportion(spark):
+    """Texts that all share passages beyond the prefix bound: rows of candidates grow like the texts."""
+    made = {}
+    for n in (300, 1200):
+        rows = [(i, f"{t} {t}") for i, t in boilerplate(n)]
+        rows = [(i, " ".join(t.split()[:8]) + " " + " ".join(t.split()[20:44])) for i, t in rows]
+        sets = shared_shingles(spark.createDataFrame(rows, "doc_id long, text string"), 4).where("items is not null").select(F.col("ref").alias("node"), "n", "items")
+        lists = sets.mapInArrow(partial(_lists, least=1), "key bigint, node bigint, n int, at int")
+        made[n] = candidates(lists).count()
+    assert made[1200] <= 5 * max(made[300], 60)
+
+
 def test_odd_documents(odd):
     assert result(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
 

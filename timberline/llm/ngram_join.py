@@ -377,7 +377,7 @@ def rest_units(groups: DataFrame, block: int) -> DataFrame:
     g = groups.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int"))
     parts = g.groupBy("component", "core", "band").agg(_parts(F.count("*"), F.sum("size"), block).alias("parts"))
     g = g.join(parts, ["component", "core", "band"]).withColumn("part", F.pmod(F.xxhash64("node", "core"), F.col("parts"))).select("node", "component", "core", "band", "part")
-    blocks = parts.select("component", F.col("core").alias("core2"), F.col("band").alias("band2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("bigint").alias("part2"))
+    blocks = parts.select("component", F.col("core").alias("core2"), F.col("band").alias("band2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part2"))
     meet = g.withColumn("band2", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))).join(blocks, ["component", "band2"]).where(~(F.col("core") & F.col("core2")))
     one, two = F.struct("core", "band", "part"), F.struct(F.col("core2").alias("core"), F.col("band2").alias("band"), F.col("part2").alias("part"))
     return meet.select("node", F.xxhash64("component", F.least(one, two), F.greatest(one, two)).alias("unit")).distinct()
