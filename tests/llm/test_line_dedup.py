@@ -1,9 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from timberline.llm.line_dedup import build_index, dedup_lines, kept_text, probe
+from timberline.llm.line_dedup import NO_KEEPER, PerfectHash, Shard, build_arrays, dedup_lines, kept_text
 
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -23,34 +24,49 @@ def brute(rows, min_docs=5):
     return sorted(out, key=str)
 
 
-def result(df):
-    d = dedup_lines(df).select("doc_id", F.size("_lines"), F.size("_dropped"), kept_text())
+def result(df, **kw):
+    d = dedup_lines(df, **kw).select("doc_id", F.size("_lines"), F.size("_dropped"), kept_text())
     return sorted((tuple(r) for r in d.collect()), key=str)
 
 
 def test_against_brute_force(odd):
     want = brute([(r.doc_id, r.text) for r in odd.collect()])
     assert result(odd) == want
+    assert result(odd, max_broadcast=-1, shards=3) == want
     assert sum(x[2] for x in want) > 10
 
 
-def test_cold_keys_go_through_shards(spark):
+@pytest.mark.parametrize("how", [{}, {"shards": 7}, {"max_broadcast": -1, "shards": 5}])
+def test_keys_go_through_shards(spark, how):
     """More keys than can be hot, most found in exactly 4 or 5 documents; ties, repeats in one text, null ids."""
     line = lambda k: f"  This Is Line {k} " + "x" * 40
     rows = [(i, "\n".join(line(k) + " " * (i % 3) for k in range(i % 40, 3000, 40)) + ("\n" + line(i % 40) if i % 7 == 0 else "")) for i in range(200)]
     rows += [(None, line(5)), (199, line(39)), (500, line(7)[:30]), (501, "\n"), (502, None)]
-    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **how) == brute(rows)
 
 
 def test_index_is_minimal_and_perfect():
     r = np.random.default_rng(1)
     h1, h2 = (r.integers(-(2**63), 2**63 - 1, 20_000) for _ in range(2))
     h1[:50] = h1[0]  # the same first half
-    i = build_index(h1, h2, np.arange(20_000), np.arange(20_000) * 2)
-    found, count, keeper = probe(i, h1, h2)
-    assert found.all() and (count == np.arange(20_000)).all() and (keeper == 2 * count).all()
-    assert not probe(i, h1 + 1, h2 + 1)[0].any()
-    assert len(i["fingerprints"]) == 8 * 20_000
+    h = PerfectHash(*PerfectHash.build(h1, h2))
+    assert sorted(h.places(h1, h2).tolist()) == list(range(20_000))
+
+
+def test_arrays_count_and_keep():
+    """Keys come three times, with counts that only together reach five."""
+    r = np.random.default_rng(2)
+    h1, h2 = (np.tile(r.integers(-(2**63), 2**63 - 1, 5_000), 3) for _ in range(2))
+    docs = np.repeat([1, 2, 1], 5_000)
+    docs[:1_000] = 2  # the first thousand keys reach five
+    keeper = np.concatenate([np.arange(5_000), np.full(5_000, NO_KEEPER), np.arange(5_000) * 2])
+    i = build_arrays(h1, h2, docs, docs, keeper, 5)
+    counts = np.frombuffer(i["counts"], "u1")
+    assert i["n"] == len(counts) == 5_000 and (counts == 5).sum() == 1_000 and (counts == 4).sum() == 4_000
+    assert len(i["fingerprints"]) == len(i["keepers"]) == 8 * 1_000
+    found, kept = Shard(i).probe(h1[:5_000], h2[:5_000])
+    assert found.sum() == found[:1_000].sum() == 1_000 and (kept[:1_000] == np.arange(1_000) * 2).all()
+    assert not Shard(i).probe(h1 + 1, h2 + 1)[0].any()
 
 
 def test_empty_table(none):
