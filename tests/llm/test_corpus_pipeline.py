@@ -50,4 +50,4 @@ def test_run(spark, folder):
 
 def test_run_on_tables(spark):
     out = corpus_pipeline.run(spark, SF).collect()
-    assert 100 < len(out) < 200 and all(r.n_samples == 2 or min(r.n_ids, default=0) < 5 for r in out)
+    assert 100 < len(out) < 200 and all(r.n_samples == 4 or min(r.n_ids, default=0) < 5 for r in out)

@@ -1,10 +1,13 @@
 import random
+import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from timberline.llm.language_id import Scorer, TrainOptions, _forward, fit, identify, to_windows, train, training_sample
+from timberline.llm.language_id import Scorer, TrainOptions, _forward, fit, identify, op4_language_id, to_windows, train, training_sample
 
+SF = "/root/testdata/sf0.001"
 SYLLABLES = {"aa": "the ing and tion er on".split(), "bb": "der sch ung ein keit ö".split(), "cc": "que eau é ment tre ou".split()}
 
 
@@ -39,6 +42,50 @@ def test_whole_text_counts(model):
     assert Scorer(model).texts([sentence("aa", 20, r) + " " + sentence("bb", 400, r)])[0] == ["bb"]
 
 
+def test_gradient_steps_lower_the_loss_as_differences_say():
+    """One step of the optimizer moves every weight against the sign of its numeric gradient."""
+    texts = [b"the tion erth", b"der schkeit u", b"tionthe ering"]
+    labels = ["a", "b", "a"]
+    o = TrainOptions(window=16, epochs=0, batch=8, rate=1e-4)
+    before, after = train(texts, labels, o), train(texts, labels, replace(o, epochs=1))
+    x, _ = to_windows(texts, 16)
+    y = np.array([0, 1, 0])
+    loss = lambda: -np.log(_forward(before, x)[2][np.arange(3), y]).mean()
+    checked = 0
+    for old, new in zip([before.embed, *before.filters, before.out, before.out_bias], [after.embed, *after.filters, after.out, after.out_bias], strict=True):
+        flat, moved = old.reshape(-1), (new - old).reshape(-1)
+        for k in np.linspace(0, flat.size - 1, 40).astype(int):
+            kept, size = flat[k], 1e-5
+            flat[k] = kept + size
+            up = loss()
+            flat[k] = kept - size
+            slope = (up - loss()) / (2 * size)
+            flat[k] = kept
+            if abs(slope) > 1e-5:
+                assert np.sign(moved[k]) == -np.sign(slope)
+                checked += 1
+    assert checked > 60
+
+
+def test_many_languages_and_letters(spark):
+    """Rare languages are learned beside a hundred others; superscripts, fractions and numerals are no letters."""
+    rows = [(f"l{k:03d}", f"{chr(0x4E00 + k) * 3} {i}") for k in range(100) for i in range(6)]
+    m = fit(spark.createDataFrame(rows, "lang string, text string"), o=TrainOptions(epochs=0, sample=200))
+    assert len(m.languages) == 100
+    assert Scorer(m).texts(["\u00b2 \u00bd \u2167 12", "\u00b2x"])[0][0] == "und"
+    assert Scorer(m).texts(["\u00b2x"])[0][0] != "und"
+
+
+def test_query_on_tables(spark):
+    """Held-out rows by their checksum, and accuracy on them."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op4_language_id(spark, SF).collect()
+    assert len(got) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    told = [r for r in got if r.held_out and docs[r.doc_id].lang and docs[r.doc_id].text and len(docs[r.doc_id].text) > 30]
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in told]) > 0.9
+
+
 def test_odd_documents(spark, odd, none):
     m = fit(odd, o=TrainOptions(epochs=1))
     assert m.languages == ["de", "en"]

@@ -1,12 +1,13 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from timberline.llm.pii import FEMALE, MALE, alphabet, collisions, find, luhn, permute, pseudonymize, replace, surrogate
+from timberline.llm.pii import FEMALE, MALE, Contexts, alphabet, canonical, find, iban_valid, learn_contexts, luhn, op5_pii, permute, pseudonymize, replace, resolve_collisions, surrogate
 
-K = b"k" * 32
+K, SF = b"k" * 32, "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 35, 257, 1000])
@@ -16,7 +17,7 @@ def test_permutation(size):
 
 @pytest.mark.parametrize(
     ("text", "kind", "entity"),
-    [("write éan.78@mail3.example.com.", "email", "éan.78@mail3.example.com"), ("at +1 (743) 555-3824 now", "phone", "+1 (743) 555-3824"), ("from 97.51.17.173. Then", "ip", "97.51.17.173"), ("card 4111111111111111### x", "card", "4111111111111111"), ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), ("says Mrs. Anna Weber to", "person", "Mrs. Anna Weber"), ("with Paul Müller there", "person", "Paul Müller"), ("no 123-45-6789", "ssn", "123-45-6789")],
+    [("write éan.78@mail3.example.com.", "email", "éan.78@mail3.example.com"), ("at +1 (743) 555-3824 now", "phone", "+1 (743) 555-3824"), ("from 97.51.17.173. Then", "ip", "97.51.17.173"), ("card 4111111111111111### x", "card", "4111111111111111"), ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), ("says Mrs. Anna Weber to", "person", "Mrs. Anna Weber"), ("with Paul Müller there", "person", "Paul Müller"), ("no 123-45-6789", "ssn", "123-45-6789"), ("pay DE89 3704 0044 0532 0130 00 now", "iban", "DE89 3704 0044 0532 0130 00"), ("my name is Priya Patel, hi", "person", "Priya Patel"), ("Dear José García!", "person", "José García")],
 )
 def test_kinds_and_formats(text, kind, entity):
     ((a, b, k),) = find(text)
@@ -25,12 +26,15 @@ def test_kinds_and_formats(text, kind, entity):
     s = new[a : b + len(new) - len(text)]
     assert entity not in new and s != entity
     form = lambda x: re.sub(r"[^\W\d_]", "x", re.sub(r"\d+" if kind == "ip" else r"\d", "0", x))
-    if kind not in ("person", "secret"):
+    if kind not in ("person", "secret", "iban"):
         assert form(s) == form(entity)
     if kind == "card":
         assert luhn(s)
     if kind == "person":
-        assert s.split()[0] == "Mrs." and s.split()[1] in FEMALE or s.split()[0] in MALE
+        first = entity.split()[0]
+        assert s.split()[0] == "Mrs." and s.split()[1] in FEMALE or (s.split()[0] in MALE) == (first in MALE) and s.istitle()
+    if kind == "iban":
+        assert iban_valid(s) and s[:2] == "DE" and [c == " " for c in s] == [c == " " for c in entity]
 
 
 def test_clean_text_is_left_alone():
@@ -55,13 +59,75 @@ def test_distinctness(xs):
 
 def test_documents(spark, odd, none):
     rows = [(i, f"mail u{i % 50}@ex{i % 3}.org from 10.0.0.{i % 200} or Frau Eva Lang{'abcdefgh'[i % 8]}") for i in range(300)]
-    out = pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert collisions(out).count() == 0
-    for r in out.collect():
+    out = pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "a key").collect()
+    one_to_one(out)
+    for r in out:
         assert len(r.entities) == 3 and not any(e.entity in r.text for e in r.entities)
-    got = pseudonymize(odd, keep=("doc_id", "n")).collect()
+    got = pseudonymize(odd, "a key", keep=("doc_id", "n")).collect()
     assert len(got) == odd.count() and sum(r.text is None for r in got) == sum(r.text is None for r in odd.collect())
-    assert pseudonymize(none).count() == 0
+    assert pseudonymize(none, "a key").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pseudonymize(none, "")
+
+
+def one_to_one(rows):
+    """Brute force over all pairs: one surrogate for each entity of the corpus, and none for two."""
+    seen = {(e.kind, canonical(e.kind, e.entity), canonical(e.kind, e.surrogate)) for r in rows for e in r.entities}
+    assert len({x[:2] for x in seen}) == len({(x[0], x[2]) for x in seen}) == len(seen) > 0
+    return seen
+
+
+def test_query_is_one_to_one_and_keeps_the_rest(spark):
+    """Against the texts of the table: surrogates are one to one, and all between the entities stays."""
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = pseudonymize(docs, "a key").collect()
+    one_to_one(rows)
+    assert len(rows) == len(text)
+    for r in rows:
+        back, at = [], 0
+        for e in r.entities:
+            i = r.text.index(e.surrogate, at)
+            back += [r.text[at:i], e.entity]
+            at = i + len(e.surrogate)
+        assert "".join([*back, (r.text or "")[at:]]) == (text[r.doc_id] or "")
+    other = {e.surrogate for r in pseudonymize(docs, "another key").collect() for e in r.entities}
+    assert len(other & {e.surrogate for r in rows for e in r.entities}) < 0.05 * len(other)
+    assert {r.n_entities for r in op5_pii(spark, SF).collect()} == {len(r.entities) for r in rows}
+
+
+def test_collisions_over_the_corpus(spark):
+    """Images that are far too few: tweaks spread them, the same for the whole corpus; where there is no room, an error."""
+    e = spark.createDataFrame([("ssn", f"{x:03d}", f"{x:03d}") for x in range(40)], "kind string, entity string, spelled string")
+    image = lambda kind, s, tweak: f"{(int(s) // 4 * 7 + tweak * 131 * (int(s) % 4 + 1)) % 997}"
+    tweaks = resolve_collisions(e, image)
+    assert len({image("ssn", f"{x:03d}", tweaks.get(("ssn", f"{x:03d}"), 0)) for x in range(40)}) == 40 and len(tweaks) >= 30
+    with pytest.raises(RuntimeError):
+        resolve_collisions(e, lambda kind, s, tweak: "same", rounds=3)
+
+
+def test_names_from_their_context(spark):
+    """Names that no list holds are found where known ones stand, and pairs elsewhere are left alone."""
+    rows = [(i, f"we met {n} yesterday near New Hall and so on") for i, n in enumerate(["Anna Weber", "Paul Klein", "Emma Stone", "Karl Lang", "Nina Wolf", "Hugo Kurz", "Priya Patel"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    c = learn_contexts(d)
+    assert c == Contexts(frozenset({"met"}), frozenset({"yesterday"}))
+    got = {r.doc_id: [e.entity for e in r.entities] for r in pseudonymize(d, "k").collect()}
+    assert got[6] == ["Priya Patel"] and all(len(x) == 1 for x in got.values())
+
+
+def test_ipv6_in_any_spelling():
+    t, e = replace("from 2001:db8::1 or 2001:0DB8:0:0:0:0:0:1, not 12:30:45, std::vector or a::b", K)
+    assert [x[0] for x in e] == ["ipv6", "ipv6"] and e[0][2] == e[1][2] != "2001:db8::1"
+    assert t.endswith("not 12:30:45, std::vector or a::b")
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"u{i}@example.org 10.{i >> 8}.{i & 255}.7" for i in range(16_000))
+    began = time.process_time()
+    assert len(find(text)) == 32_000
+    assert time.process_time() - began < 5
+    assert find("x" * 300 + "@example.org") == [(0, 312, "email")]
 
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"

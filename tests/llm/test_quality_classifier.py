@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from timberline.llm import quality_classifier
-from timberline.llm.quality_classifier import Model, Options, classify, features, fit, measure, probability
+from timberline.llm.quality_classifier import Model, Options, classify, evidence, features, fit, measure, posteriors, probability
 
 SCHEMA = "doc_id long, text string, lang string, source string, quality_score string, n int"
 
@@ -32,28 +33,31 @@ def test_held_out_and_clash(spark):
 
 
 def test_posterior_by_hand(spark):
-    """Group sums, shrinkage and leaving a document out, recomputed in numpy."""
+    """A document's site is what its path and host say when the document itself is taken away."""
     rows, labels = corpus(200, 2)
     rows = [(*x[:3], "tiny" if x[0] == 7 else ("bad" if x[0] % 4 == 0 else "good"), *x[4:]) for x in rows]
     d = spark.createDataFrame(rows, SCHEMA)
     m = fit(measure(d), spark.createDataFrame(labels, "doc_id long, quality int"))
     e = probability(m, np.array([features(x[1]) for x in rows]))
-    host, path = np.array([x[3] for x in rows]), np.array([x[3] + x[2] for x in rows])
-    mean, o = e.mean(), Options()
+    _, mean, upper, lower = posteriors(measure(d).withColumn("_e", evidence(m, F.col("_x"))), "_host", "_path")
+    assert abs(mean - e.mean()) < 1e-9
+    for r in classify(d, m).collect():
+        others = [k for k in range(len(rows)) if k != r.doc_id]
+        host = [e[k] for k in others if rows[k][3] == r.source]
+        path = [e[k] for k in others if rows[k][2:4] == (r.lang, r.source)]
+        above = np.average([mean, *host], weights=[upper, *[1] * len(host)])
+        assert abs(r.site_quality - np.average([above, *path], weights=[lower, *[1] * len(path)])) < 1e-6
 
-    def weight(g):
-        names = np.unique(g)
-        n, s = np.array([(g == v).sum() for v in names]), np.array([e[g == v].sum() for v in names])
-        within = sum(((e[g == v] - e[g == v].mean()) ** 2).sum() for v in names) / (len(e) - len(names))
-        tau = ((n * (s / n - mean) ** 2).sum() - (len(names) - 1) * within) / (len(e) - (n * n).sum() / len(e))
-        return np.clip(within / tau, 1, o.max_weight) if tau > 0 else o.max_weight
 
-    up, low = weight(host), weight(path)
-    for r in classify(d, m).collect():
-        i = r.doc_id
-        hm = (up * mean + e[host == host[i]].sum()) / (up + (host == host[i]).sum())
-        site = (low * hm + e[path == path[i]].sum() - e[i]) / (low + (path == path[i]).sum() - 1)
-        assert abs(r.site_quality - site) < 1e-6 and abs(r.text_quality - e[i]) < 1e-9
+def test_weights_recover_known_spreads(spark):
+    """Simulated sites: the weight of a host's mean is the variance in a path over that between paths of one host."""
+    r = np.random.default_rng(5)
+    host = np.repeat(r.normal(0.5, 0.3, 150), 4)
+    path = host + r.normal(0, 0.05, 600)
+    rows = [(f"h{k // 4}", f"p{k % 4}", float(x)) for k in range(600) for x in r.normal(path[k], 0.1, r.integers(10, 60))]
+    _, mean, upper, lower = posteriors(spark.createDataFrame(rows, "h string, p string, _e double"), "h", "p")
+    assert abs(mean - 0.5) < 0.1 and 3 < lower < 5.2  # 0.1 ** 2 / 0.05 ** 2 = 4, whatever the hosts' spread
+    assert upper == 1.0  # hosts that differ so much stand for themselves
 
 
 def test_odd_documents(spark, odd, none):

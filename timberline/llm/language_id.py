@@ -12,7 +12,6 @@ covers, so a window costs table look-ups only.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -23,22 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import distinct_by, documents, hash_share
+from timberline.llm.common import distinct_by, documents, small_side
 
 WIDTHS = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class TrainOptions:
-    """per_language and max_languages bound the sample; max_bytes bounds the passage, at a place
-    dealt by hash, that a document gives to the training."""
+    """per_language and sample bound the rows to learn from: languages share ``sample`` where there are very many.
+    passage is the length in characters, at a place dealt by hash, of what a document gives to the training."""
 
     window: int = 128
     per_language: int = 400
-    max_languages: int = 64
-    max_bytes: int = 768
+    sample: int = 25_600
+    passage: int = 768
     embedding: int = 8
     filters: int = 8
     epochs: int = 6
@@ -84,7 +82,7 @@ def _forward(m: Model, x: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
 def train(texts: list[bytes], labels: list[str], o: TrainOptions = TrainOptions()) -> Model:
     languages = sorted(set(labels))
     r = np.random.default_rng(o.seed)
-    x, counts = to_windows([t[: o.max_bytes] for t in texts], o.window)
+    x, counts = to_windows(texts, o.window)
     y = np.repeat(np.array([languages.index(v) for v in labels], "i8"), counts) if len(labels) else np.zeros(0, "i8")
     total = o.filters * len(WIDTHS)
     m = Model(languages, o.window, r.normal(0, 0.5, (256, o.embedding)), [r.normal(0, (w * o.embedding) ** -0.5, (w * o.embedding, o.filters)) for w in WIDTHS], [np.zeros(o.filters) for _ in WIDTHS], r.normal(0, total**-0.5, (total, max(len(languages), 1))), np.zeros(max(len(languages), 1)))
@@ -147,7 +145,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
-        bare = [not t or not LETTER.search(t) for t in texts]
+        bare = [not t or not any(map(str.isalpha, t)) for t in texts]
         x, counts = to_windows([b"" if no else t.encode("utf-8", "replace") for t, no in zip(texts, bare, strict=True)], self.m.window)
         cut = np.concatenate([[0], np.cumsum(counts)])
         p = np.concatenate([np.zeros((1, len(self.m.out_bias))), np.cumsum(self.windows(x), axis=0)]) if len(x) else np.zeros((1, len(self.m.out_bias)))
@@ -166,17 +164,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model, schema_names: tuple[str,
 
 
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", o: TrainOptions = TrainOptions()) -> pd.DataFrame:
-    """At most per_language rows of each of the max_languages most frequent languages, distinct texts dealt by hash."""
+    """At most per_language rows of every language, distinct texts dealt by hash."""
     d = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    start = F.pmod("h", F.greatest(F.length("text") - o.max_bytes, F.lit(1))).cast("int") + 1
-    d = d.select("lang", "h", F.col("text").substr(start, F.lit(o.max_bytes)).alias("text"))
-    top = d.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").limit(o.max_languages).collect()
-    if not top:
-        return pd.DataFrame({"lang": [], "text": []})
-    shares = F.create_map(*(F.lit(x) for r in top for x in (r["lang"], hash_share(o.per_language, r["texts"]))))
+    start = F.pmod("h", F.greatest(F.length("text") - o.passage, F.lit(1))).cast("int") + 1
+    d = d.select("lang", "h", F.col("text").substr(start, F.lit(o.passage)).alias("text"))
+    languages = small_side(d.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "languages")
+    each = min(o.per_language, max(1, o.sample // max(languages.count(), 1)))
+    share = F.least(F.lit(1.0), F.lit(1.25 * each + 200) / F.greatest("texts", F.lit(1))) * 2**32
     at = F.pmod(F.xxhash64("h"), F.lit(2**32))
-    rows = distinct_by(d.where(at < F.element_at(shares, F.col("lang"))), "h", "lang").withColumn("at", at).toPandas()
-    rows = rows.sort_values(["lang", "at", "h"]).groupby("lang").head(o.per_language)
+    rows = d.join(languages.select(F.col("lang").alias("_lang"), share.alias("_share")), F.col("lang") == F.col("_lang")).where(at < F.col("_share")).select("lang", "h", "text")
+    rows = distinct_by(rows, "h", "lang").withColumn("at", at).toPandas()
+    rows = rows.sort_values(["lang", "at", "h"]).groupby("lang").head(each)
     return rows[["lang", "text"]].reset_index(drop=True)
 
 
@@ -198,6 +196,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has a null ``held_out``, and its row is labelled but not learned from."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"))
     model = fit(d.where(~F.col("held_out")))
     return identify(d, model, keep=("doc_id", "held_out"))

@@ -47,9 +47,9 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b
 q AS (SELECT level, lang, source, metric, any_value(total) AS total, min(bucket) FILTER (c >= 0.25 * total) AS b25, min(bucket) FILTER (c >= 0.75 * total) AS b75 FROM c GROUP BY ALL),
 f AS (SELECT level, lang, source, metric, total, CASE WHEN b25 = -1073741824 THEN 0.0 ELSE exp(b25 * ln(CAST(1.02 AS DOUBLE))) * (2 / CAST(2.02 AS DOUBLE)) END AS q25, CASE WHEN b75 = -1073741824 THEN 0.0 ELSE exp(b75 * ln(CAST(1.02 AS DOUBLE))) * (2 / CAST(2.02 AS DOUBLE)) END AS q75 FROM q),
 t AS (SELECT *, q75 + greatest(3 * (q75 - q25), CASE metric {_SLACK} END) AS top FROM f),
-bad AS (SELECT m.r, bool_or(v > coalesce(t0.top, t1.top, t2.top)) AS outside FROM m
-    LEFT JOIN t t0 ON t0.level = 0 AND t0.total >= 200 AND t0.metric = m.metric AND t0.lang IS NOT DISTINCT FROM m.lang AND t0.source IS NOT DISTINCT FROM m.source
-    LEFT JOIN t t1 ON t1.level = 1 AND t1.total >= 200 AND t1.metric = m.metric AND t1.lang IS NOT DISTINCT FROM m.lang
+bad AS (SELECT m.r, bool_or(v > (t0.total * t0.top + 200 * ((t1.total * t1.top + 200 * t2.top) / (t1.total + 200))) / (t0.total + 200)) AS outside FROM m
+    LEFT JOIN t t0 ON t0.level = 0 AND t0.metric = m.metric AND t0.lang IS NOT DISTINCT FROM m.lang AND t0.source IS NOT DISTINCT FROM m.source
+    LEFT JOIN t t1 ON t1.level = 1 AND t1.metric = m.metric AND t1.lang IS NOT DISTINCT FROM m.lang
     LEFT JOIN t t2 ON t2.level = 2 AND t2.metric = m.metric GROUP BY m.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT outside AS kept

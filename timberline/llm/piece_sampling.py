@@ -465,7 +465,7 @@ def _record(sampler: Sampler, b: pa.RecordBatch, texts: list, seed: int, names:
     return pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype("i4")), samples), pa.array(ok)], [*names, "samples", "round_trip"])
 
 
-def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = MODEL, k: int = 2, alpha: float = 0.7, seed: int = 1) -> DataFrame:
+def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = MODEL, k: int = 4, alpha: float = 0.7, seed: int = 1) -> DataFrame:
     """The columns ``keep`` with samples (up to ``k`` distinct segmentations, best value first) and round_trip.
 
     ``key`` seeds a row's random numbers, so equal rows get equal samples. Null text has no samples; empty text has

@@ -1,34 +1,45 @@
 """Surrogates for personal data: keyed, type-consistent, reversible only with the key.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card-like numbers of 13 to 19 digits, social security
-numbers, secrets (long hex strings, values of token/password/key assignments) and persons (a title, or a known
-given name, with the capitalised names after it).
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, IBANs with right check digits, card-like numbers of
+13 to 19 digits, social security numbers, secrets (long hex strings, values of token/password/key assignments) and
+persons: after a title, from a known given name, after words that announce a name, and wherever two capitalised words
+stand in a context that :func:`learn_contexts` found to be one of names. It counts, over the whole corpus, the words
+before and after all pairs of capitalised words inside sentences; contexts in which enough documents have known names,
+and in which these are at least half of the pairs, tell unknown names too.
 
 A surrogate is the entity's image under a keyed permutation of all strings of its format: digits stay digits, hex stays
-hex, letters stay in their script and case, punctuation stays. So distinct entities get distinct surrogates by
-construction. Luhn-valid numbers stay valid and others invalid, octets stay in 0-255, given names go to another name
-of the same gender, titles, country codes, top-level domains and the words that announce a secret stay. What two
-spellings share (letters without case, digits without punctuation) decides, so coreference survives over the corpus.
-
-Collision check: within a document a surrogate that equals an entity of the document, or another one's surrogate, is
-made anew under the next tweak of the key. :func:`collisions` counts what remains over a whole corpus.
+hex, letters stay in their script and case, punctuation stays, and the format is bound into the key. So distinct entities
+get distinct surrogates by construction. Luhn-valid numbers stay valid and others invalid, IBANs keep their country and
+get right check digits, octets stay in 0-255, given names go to another name of the same gender, titles, country codes,
+top-level domains and the words that announce a secret stay. What two spellings share (letters without case, digits
+without punctuation, names without titles) decides, so coreference survives over the corpus.
+
+Collision check: :func:`resolve_collisions` groups the images of all entities of the corpus. Should two share one, all but
+the first are made anew under the next tweak of the key, until no two do; every document then uses the same tweaks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents
+from timberline.llm.common import documents, staged
 
-KEY = "surrogates"
+#: Where the query takes its key from; without one a new key is drawn for each run, and no surrogate can be undone.
+KEY_SETTING = "spark.timberline.surrogate.key"
 ROUNDS = 8
 #: Characters that are permuted as one number; the cost grows with the square of their number.
 PIECE = 1024
@@ -37,7 +48,10 @@ MALE = "Adam Albert Anton Bruno Carlos Daniel David Erik Felix Frank Georg Hans
 HER, HIS = "Mrs Ms Miss Frau Madame Mme Señora Sra".split(), "Mr Herr Monsieur Señor Sr".split()
 NAME = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+"
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-EMAIL_LOCAL = re.compile(r"[\w.%+-]+$")
+#: Lengths of country calling codes; those not listed have three digits.
+CALLING = {"1": 1, "7": 1, **dict.fromkeys("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split(), 2)}
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:.]*\d)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:\.\d{1,3}){0,3}(?![\w:])")
 NUMBERS = [
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -45,8 +59,21 @@ NUMBERS = [
     ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
 ]
 SECRETS = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)[ \t]*[=:][ \t]*[\"']?([^\s\"'&|<>]{6,})|(?<![0-9A-Za-z])([0-9a-f]{32,})(?![0-9A-Za-z])")
-PERSON = re.compile(rf"(?<!\w)(?:(?:{'|'.join([*HER, *HIS, 'Dr', 'Prof'])})\.? {NAME}(?: {NAME})?|(?:{'|'.join([*FEMALE, *MALE])}) {NAME})(?!\w)")
-LIKELY = re.compile(rf"(?<!\w)(?:{'|'.join([*HER, *HIS, 'Dr', 'Prof', *FEMALE, *MALE])})(?!\w)")
+TITLES = (*HER, *HIS, "Dr", "Prof")
+PERSON = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? {NAME}(?: {NAME})?|(?:{'|'.join([*FEMALE, *MALE])}) {NAME})(?!\w)")
+LIKELY = re.compile(rf"(?<!\w)(?:{'|'.join([*TITLES, *FEMALE, *MALE])})(?!\w)")
+ANNOUNCED = re.compile(rf"(?<!\w)(?:[Nn]ame is|[Nn]ame:|[Dd]ear|[Ss]igned(?: by)?|[Ss]incerely,|[Rr]egards,)\s+({NAME} {NAME})(?!\w)")
+ANNOUNCER = re.compile("ame is|ame:|ear |igned|incerely,|egards,")
+PAIR = re.compile(rf"(?<=[\w,:;] ){NAME} {NAME}(?!\w)")
+BEFORE, AFTER = re.compile(r"(\S{1,40}) $"), re.compile(r" (\S{1,40})")
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """Words before and after which a pair of capitalised words is a name."""
+
+    before: frozenset[str] = frozenset()
+    after: frozenset[str] = frozenset()
 
 
 def luhn(digits: str) -> bool:
@@ -54,25 +81,67 @@ def luhn(digits: str) -> bool:
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
+def _email_start(text: str, at: int, floor: int) -> int:
+    """Where the local part of an address begins that ends before the sign at ``at``."""
+    i = at
+    while i > floor and (text[i - 1].isalnum() or text[i - 1] in "_.%+-"):
+        i -= 1
+    return i
+
+
+def iban_valid(s: str) -> bool:
+    bare = s.replace(" ", "")
+    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def _ipv6(s: str) -> int | None:
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    return x if x > 1 else None
+
+
+def _around(text: str, a: int, b: int) -> tuple[str | None, str | None]:
+    """The words before and after a pair inside a sentence, in lower case; none at the end of another sentence."""
+    before, after = BEFORE.search(text, max(0, a - 42), a), AFTER.match(text, b)
+    word = before[1] if before and before[1][-1] not in ".!?" and not before[1][0].isupper() else None
+    return word and word.lower(), after and after[1].lower()
+
+
+def find(text: str, contexts: Contexts = Contexts()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlap; of two that overlap the earlier kind wins."""
     out = []
     if "@" in text:
+        last = 0
         for m in EMAIL_END.finditer(text):
-            if local := EMAIL_LOCAL.search(text, max(0, m.start() - 64), m.start()):
-                out.append((local.start(), m.end(), "email"))
+            if (a := _email_start(text, m.start(), last)) < m.start():
+                out.append((a, m.end(), "email"))
+            last = m.end()
     if "=" in text or ":" in text or re.search(r"[0-9a-fA-F]{32}", text):
         out += [(*m.span(1 if m[1] else 2), "secret") for m in SECRETS.finditer(text)]
+    if re.search(r"[A-Z]{2}\d\d", text):
+        out += [(*m.span(), "iban") for m in IBAN.finditer(text) if iban_valid(m[0])]
+    if ":" in text and re.search(r"[0-9A-Fa-f:]:[0-9A-Fa-f:]", text):
+        out += [(*m.span(), "ipv6") for m in IPV6.finditer(text) if _ipv6(m[0]) is not None]
     if re.search(r"\d[\d .()-]{5}", text):
         for kind, pattern in NUMBERS:
             out += [(*m.span(), kind) for m in pattern.finditer(text) if kind != "ip" or all(int(x) < 256 for x in m[0].split("."))]
     if LIKELY.search(text):
         out += [(*m.span(), "person") for m in PERSON.finditer(text)]
+    if ANNOUNCER.search(text):
+        out += [(*m.span(1), "person") for m in ANNOUNCED.finditer(text)]
+    if contexts.before or contexts.after:
+        for m in PAIR.finditer(text):
+            before, after = _around(text, *m.span())
+            if before in contexts.before or before and after in contexts.after:
+                out.append((*m.span(), "person"))
     kept: list[tuple[int, int, str]] = []
     for a, b, kind in out:
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, kind))
-    return sorted(kept)
+        i = bisect_left(kept, (a, b, ""))
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or kept[i][0] >= b):
+            kept.insert(i, (a, b, kind))
+    return kept
 
 
 def _round(key: bytes, n: int, x: int, bits: int) -> int:
@@ -171,11 +240,24 @@ def _name(key: bytes, s: str) -> str:
             out.append(w)
             continue
         names = next((n for n in (FEMALE, MALE) if w in n), None) if first else None
-        out.append(names[permute(key, names.index(w), len(names))] if names else _letters(key, "name", w))
+        new = names[permute(key, names.index(w), len(names))] if names else _letters(key, "name", w)
+        while first and not names and (new in FEMALE or new in MALE):  # known names are the images of known names alone
+            new = _letters(key, "name", new)
+        out.append(new)
         first = False
     return " ".join(out)
 
 
+def _iban(key: bytes, s: str) -> str:
+    """Country and layout stay, letters stay letters, and the check digits are made right."""
+    bare = s.replace(" ", "")
+    country, rest = bare[:2], bare[4:]
+    new = _image(key, "iban" + country, rest, ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in rest])
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{new}{country}00")) % 97
+    made = iter(f"{country}{check:02d}{new}")
+    return "".join(c if c == " " else next(made) for c in s)
+
+
 def surrogate(key: bytes, kind: str, s: str) -> str:
     if kind == "email":
         local, _, domain = s.partition("@")
@@ -186,8 +268,13 @@ def surrogate(key: bytes, kind: str, s: str) -> str:
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "card":
         return _digits(key, kind, s, 0, luhn)
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(permute(key, _ipv6(s) - 2, 2**128 - 2) + 2))
+    if kind == "iban":
+        return _iban(key, s)
     if kind == "phone":
-        return _digits(key, kind, s, len(re.match(r"\+?(\d*)", s)[1]) if s[0] == "+" and not re.match(r"\+\d{4,}", s) else 0)
+        d = re.sub(r"\D", "", s)
+        return _digits(key, kind, s, 0 if s[0] != "+" else CALLING.get(d[0]) or CALLING.get(d[:2], 3))
     if kind == "ssn":
         return _digits(key, kind, s)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", s):
@@ -199,28 +286,22 @@ def surrogate(key: bytes, kind: str, s: str) -> str:
 
 def canonical(kind: str, s: str) -> str:
     """What all spellings of an entity share."""
-    return "".join(c for c in s if c.isdigit()) if kind in ("phone", "card", "ssn") else s.lower() if kind in ("email", "person") else s
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(s))
+    if kind in ("phone", "card", "ssn", "iban"):
+        return "".join(c for c in s if c.isalnum() or c == "+")
+    if kind == "person":
+        return " ".join(w for w in s.split() if w.rstrip(".") not in TITLES).lower()
+    return s.lower() if kind == "email" else s
 
 
-def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str, int]]]:
+def replace(text: str, key: bytes, contexts: Contexts = Contexts(), tweaks: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[str, str, str, int]]]:
     """The text with surrogates, and (kind, entity, surrogate, tweak) of each entity in order of appearance."""
-    found = find(text)
-    own = {(k, canonical(k, text[a:b])) for a, b, k in found}
-    chosen: dict[tuple[str, str], int] = {}
-    taken: set[tuple[str, str]] = set()
     out, entities, at = [], [], 0
-    for a, b, kind in found:
+    for a, b, kind in find(text, contexts):
         s = text[a:b]
-        entity = (kind, canonical(kind, s))
-        tweak = chosen.get(entity, 0)
-        while True:
-            new = surrogate(_key(key, tweak), kind, s)
-            image = (kind, canonical(kind, new))
-            if entity in chosen or (image not in own and image not in taken) or tweak >= 20:
-                break
-            tweak += 1
-        chosen[entity] = tweak
-        taken.add(image)
+        tweak = tweaks.get((kind, canonical(kind, s)), 0) if tweaks else 0
+        new = surrogate(_key(key, tweak), kind, s)
         out += [text[at:a], new]
         entities.append((kind, s, new, tweak))
         at = b
@@ -232,37 +313,105 @@ def _key(key: bytes, tweak: int) -> bytes:
     return hashlib.blake2b(b"%d" % tweak, key=key, digest_size=32).digest()
 
 
-def _run(batches: Iterator[pa.RecordBatch], key: bytes, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _contexts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(side, word, known, pairs): in how many documents of a batch a word stands beside a known name, and beside any pair."""
+    for b in batches:
+        known, pairs = Counter(), Counter()
+        for t in b.column(0).to_pylist():
+            names, others = set(), set()
+            for m in PAIR.finditer(t or ""):
+                own = names if PERSON.match(m[0]) else others
+                own.update((k, w) for k, w in enumerate(_around(t, *m.span())) if w)
+            known.update(names)
+            pairs.update(names | others)
+        rows = [(k, w, known[k, w], n) for (k, w), n in pairs.items()]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["side", "word", "known", "pairs"])
+
+
+def learn_contexts(docs: DataFrame, text: str = "text", min_docs: int = 5, share: float = 0.5) -> Contexts:
+    """The words beside which at least ``min_docs`` documents have a known name, and which have no more other pairs.
+
+    All documents count. The words are few, as each is beside names in half of its uses; the driver and all tasks hold them.
+    """
+    n = docs.select(text).mapInArrow(_contexts_in, "side int, word string, known bigint, pairs bigint")
+    n = n.groupBy("side", "word").agg(F.sum("known").alias("known"), F.sum("pairs").alias("pairs"))
+    rows = n.where((F.col("known") >= min_docs) & (F.col("known") >= share * F.col("pairs"))).select("side", "word").collect()
+    return Contexts(*(frozenset(r["word"] for r in rows if r["side"] == k) for k in (0, 1)))
+
+
+def _entities_in(batches: Iterator[pa.RecordBatch], contexts: Contexts) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = {}
+        for t in b.column(0).to_pylist():
+            for a, e, kind in find(t or "", contexts):
+                s = t[a:e]
+                found.setdefault((kind, canonical(kind, s)), s)
+        cols = list(zip(*((k, c, s) for (k, c), s in found.items()), strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["kind", "entity", "spelled"])
+
+
+def corpus_entities(docs: DataFrame, text: str = "text", contexts: Contexts = Contexts()) -> DataFrame:
+    """(kind, entity, spelled): every distinct entity of the corpus, with one of its spellings."""
+    found = docs.select(text).mapInArrow(partial(_entities_in, contexts=contexts), "kind string, entity string, spelled string")
+    return found.groupBy("kind", "entity").agg(F.min("spelled").alias("spelled"))
+
+
+def resolve_collisions(entities: DataFrame, image: Callable[[str, str, int], str], rounds: int = 20, most: int = 1_000_000) -> dict[tuple[str, str], int]:
+    """{(kind, entity): tweak} of the entities whose ``image`` (kind, spelling, tweak) under tweak 0 another one has.
+
+    Of those that share an image the first in order keeps it. No image stays shared: after ``rounds``, or with more
+    than ``most`` of them, an error is raised.
+    """
+    made = F.pandas_udf(lambda k, s, t: pd.Series([image(*x) for x in zip(k, s, t, strict=True)], dtype=object), "string")
+    e = entities.withColumn("tweak", F.lit(0))
+    for _ in range(rounds):
+        e = staged(e.withColumn("image", made("kind", "spelled", "tweak")), "surrogates")
+        shared = e.groupBy("kind", "image").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1").drop("n")
+        shared = staged(shared, "surrogates-shared")
+        if not shared.head(1):
+            rows = e.where("tweak > 0").select("kind", "entity", "tweak").limit(most + 1).collect()
+            if len(rows) > most:
+                raise RuntimeError(f"more than {most} surrogates collide")
+            return {(r["kind"], r["entity"]): r["tweak"] for r in rows}
+        e = e.join(shared, ["kind", "image"], "left").select("kind", "entity", "spelled", (F.col("tweak") + F.coalesce((F.col("entity") != F.col("first")).cast("int"), F.lit(0))).alias("tweak"))
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
+
+
+def _run(batches: Iterator[pa.RecordBatch], key: bytes, contexts: Contexts, tweaks, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string()), ("tweak", pa.int32())]))
     for b in batches:
-        made = [(None, []) if t is None else replace(t, key) for t in b.column("_text").to_pylist()]
+        made = [(None, []) if t is None else replace(t, key, contexts, tweaks.value) for t in b.column("_text").to_pylist()]
         entities = [[dict(zip(("kind", "entity", "surrogate", "tweak"), e, strict=True)) for e in x] for _, x in made]
         rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
         yield pa.RecordBatch.from_arrays([*rest, pa.array([t for t, _ in made], pa.string()), pa.array(entities, kind)], [*names, "text", "entities"])
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), key: str = KEY) -> DataFrame:
+def secret_key(key: str) -> bytes:
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, text with surrogates, and the list of entities (kind, entity, surrogate, tweak).
 
     Null text stays null and has no entities. Repeated rows get equal results; other columns are ignored; an empty
-    table gives an empty result. Keep the entities as secret as the original texts.
+    table gives an empty result. The same key gives the same surrogates. Keep the key, the entities and the tables in
+    the shared folder, which hold the corpus's distinct entities, as secret as the original texts.
     """
+    made = secret_key(key)
+    contexts = learn_contexts(docs, text)
+    tweaks = resolve_collisions(corpus_entities(docs, text, contexts), lambda kind, s, tweak: canonical(kind, surrogate(_key(made, tweak), kind, s)))
     d = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "_text")
-    run = partial(_run, key=hashlib.blake2b(key.encode(), digest_size=32).digest(), names=tuple(keep))
+    run = partial(_run, key=made, contexts=contexts, tweaks=docs.sparkSession.sparkContext.broadcast(tweaks), names=tuple(keep))
     return d.mapInArrow(run, f"{fields}, text string, entities array<struct<kind:string,entity:string,surrogate:string,tweak:int>>")
 
 
-def collisions(result: DataFrame) -> DataFrame:
-    """(kind, surrogate, n) of surrogates that stand for more than one entity of the corpus; empty if none do."""
-    e = result.select(F.explode("entities").alias("e")).select("e.*")
-    plain = lambda c: F.when(F.col("kind").isin("phone", "card", "ssn"), F.regexp_replace(c, r"\D", "")).when(F.col("kind").isin("email", "person"), F.lower(c)).otherwise(F.col(c))
-    e = e.select("kind", plain("entity").alias("entity"), plain("surrogate").alias("surrogate")).distinct()
-    return e.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
-
-
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymize(documents(spark, sf_dir))
+    out = pseudonymize(documents(spark, sf_dir), spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
     kinds = F.array_sort(F.transform("entities", lambda x: x["kind"]))
     left = F.exists("entities", lambda x: F.contains(F.col("text"), x["entity"]))
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), F.coalesce(left, F.lit(False)).alias("entity_left"))

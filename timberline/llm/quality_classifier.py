@@ -3,8 +3,9 @@
 A document's own evidence is a logistic model over the shape of its whole text (case, symbols, repeats, word lengths),
 fitted in numpy to a bounded sample of labelled rows (``Options.sample``, distinct texts dealt by hash). Spark sums this
 evidence over every path of every host and every host; each level's mean is shrunk toward the level above by a weight
-that the spread of the groups themselves gives (method of moments), so sparse paths follow their host and sparse hosts
-the corpus. A document's posterior joins its own log-odds with those of its path, from which it is left out itself.
+that the spread of the groups around their own parents gives (method of moments), so sparse paths follow their host and
+sparse hosts the corpus. A document's posterior joins its own log-odds with those of its path; it is left out of the
+means of its path and its host.
 """
 
 from __future__ import annotations
@@ -112,27 +113,33 @@ def evidence(m: Model, x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))))
 
 
-def _weight(stats: DataFrame, mean: float, o: Options) -> float:
-    """Prior weight, in documents, for groups (n, total, squares): method of moments over their means."""
-    each = stats.where("n > 0").select("n", (F.col("total") / F.col("n")).alias("m"), "total", "squares")
-    r = each.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * (F.col("m") - mean) ** 2).alias("between"), F.sum(F.col("squares") - F.col("total") * F.col("m")).alias("within")).first()
-    if r["groups"] < 2 or r["n"] <= r["groups"]:
+def _weight(stats: DataFrame, o: Options) -> float:
+    """Prior weight, in documents, of a parent's mean for its groups, by the method of moments.
+
+    ``stats`` has a row (n, total, squares) for each group, with its parent's (pn, ptotal). Groups spread around their
+    own parent, so what tells parents apart does not count. Each parent's shares n / pn add up to 1.
+    """
+    m = F.col("total") / F.col("n")
+    each = stats.where("n > 0").select("n", (F.col("n") / F.col("pn")).alias("share"), (F.col("n") * (m - F.col("ptotal") / F.col("pn")) ** 2).alias("between"), (F.col("squares") - F.col("total") * m).alias("within"))
+    r = each.agg(F.count("*").alias("groups"), F.sum("share").alias("parents"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("share")).alias("n2"), F.sum("between").alias("between"), F.sum("within").alias("within")).first()
+    free = r["groups"] - (r["parents"] or 0.0)
+    if free < 0.5 or r["n"] <= r["groups"]:
         return o.max_weight
     within = max(r["within"], 0.0) / (r["n"] - r["groups"])
-    tau = (r["between"] - (r["groups"] - 1) * within) / (r["n"] - r["n2"] / r["n"])
+    tau = (r["between"] - free * within) / (r["n"] - r["n2"])
     return float(np.clip(within / tau, 1.0, o.max_weight)) if tau > 0 else o.max_weight
 
 
-def posteriors(scored: DataFrame, host: str, path: str, o: Options = Options()) -> tuple[DataFrame, float, float]:
-    """(_h, _p, n, total, host_mean) of every path, the corpus mean, and the weight of a host's mean."""
-    paths = scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_p")).agg(F.count("*").alias("n"), F.sum("_e").alias("total"), F.sum(F.col("_e") ** 2).alias("squares"))
+def posteriors(scored: DataFrame, host: str, path: str, o: Options = Options()) -> tuple[DataFrame, float, float, float]:
+    """(_h, _p, n, total, pn, ptotal) of every path and its host, the corpus mean, and the weights of corpus and host."""
+    paths = staged(scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_p")).agg(F.count("*").alias("n"), F.sum("_e").alias("total"), F.sum(F.col("_e") ** 2).alias("squares")), "quality-sites")
     hosts = paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     mean = (all_["total"] / all_["n"]) if all_["n"] else 0.5
-    upper, lower = _weight(hosts, mean, o), _weight(paths, mean, o)
-    hosts = hosts.select(F.col("_h").alias("_hh"), ((upper * mean + F.col("total")) / (upper + F.col("n"))).alias("host_mean"))
-    paths = paths.join(hosts, F.col("_h").eqNullSafe(F.col("_hh"))).select("_h", "_p", "n", "total", "host_mean")
-    return paths, mean, lower
+    upper = _weight(hosts.withColumns({"pn": F.lit(all_["n"] or 0), "ptotal": F.lit(all_["total"] or 0.0)}), o)
+    hosts = hosts.select(F.col("_h").alias("_hh"), F.col("n").alias("pn"), F.col("total").alias("ptotal"))
+    paths = paths.join(hosts, F.col("_h").eqNullSafe(F.col("_hh"))).drop("_hh")
+    return paths.drop("squares"), mean, upper, _weight(paths, o)
 
 
 def _logit(c: Column) -> Column:
@@ -142,15 +149,16 @@ def _logit(c: Column) -> Column:
 
 def judged(d: DataFrame, measured: DataFrame, model: Model, host: str, path: str, o: Options) -> DataFrame:
     """Adds the four result columns to rows with features ``_x``; the sites' sums come from ``measured``."""
-    paths, mean, weight = posteriors(measured.withColumn("_e", evidence(model, F.col("_x"))), "_host", "_path", o)
-    paths = paths.select("_h", "_p", F.col("n").alias("_n"), F.col("total").alias("_s"), F.col("host_mean").alias("_m"))
+    paths, mean, upper, lower = posteriors(measured.withColumn("_e", evidence(model, F.col("_x"))), "_host", "_path", o)
+    paths = paths.select("_h", "_p", F.col("n").alias("_n"), F.col("total").alias("_s"), F.col("pn").alias("_pn"), F.col("ptotal").alias("_ps"))
     d = d.withColumn("_e", evidence(model, F.col("_x")))
     d = d.join(small_side(paths, "quality-paths"), F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")), "left")
-    site = (weight * F.col("_m") + F.col("_s") - F.col("_e")) / (weight + F.col("_n") - 1)
+    above = (upper * mean + F.col("_ps") - F.col("_e")) / (upper + F.col("_pn") - 1)
+    site = (lower * above + F.col("_s") - F.col("_e")) / (lower + F.col("_n") - 1)
     d = d.withColumn("_site", F.greatest(F.least(site, F.lit(1.0)), F.lit(0.0)))
     z = _logit(F.col("_e")) + _logit(F.col("_site")) - _logit(F.lit(float(mean)))
     d = d.withColumns({"text_quality": F.col("_e"), "site_quality": F.col("_site"), "quality_score": 1 / (1 + F.exp(-z))})
-    return d.withColumn("accepted", F.col("quality_score") >= o.threshold).drop("_e", "_h", "_p", "_n", "_s", "_m", "_site", "_x")
+    return d.withColumn("accepted", F.col("quality_score") >= o.threshold).drop("_e", "_h", "_p", "_n", "_s", "_pn", "_ps", "_site", "_x")
 
 
 def classify(docs: DataFrame, model: Model, measured: DataFrame | None = None, host: str = "source", path: str = "lang", text: str = "text", o: Options = Options()) -> DataFrame:
@@ -158,7 +166,7 @@ def classify(docs: DataFrame, model: Model, measured: DataFrame | None = None, h
 
     Null host or path is a group of its own; null or empty text is scored by its features. Repeated rows each get a
     row; an empty table gives an empty result. All columns of ``docs`` stay, also those with clashing names, unless
-    they bear the four names above, which are then replaced. ``measured`` saves a pass where it was made for fitting.
+    they bear the four names above, which are then replaced. A null doc_id has no label. ``measured`` saves a pass where it was made for fitting.
     """
     if measured is None:
         measured = measure(docs.withColumn("_none", F.lit(None).cast("bigint")), "_none", host, path, text)

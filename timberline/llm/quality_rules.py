@@ -2,10 +2,11 @@
 
 A sketch is a histogram over logarithmic buckets: value v > 0 falls into bucket ceil(log(v, gamma)), zero into a
 bucket of its own, so any quantile is known within a relative error of (gamma - 1) / (gamma + 1). Sketches merge
-by adding counts: the (language, source) sketches add up to those of a language and of the whole corpus, and a
-group with fewer than ``min_rows`` documents takes the thresholds of the next level up. A document is rejected
-where a metric lies above the upper fence q75 + max(3 * (q75 - q25), slack) of its group. A fence, unlike a fixed
-quantile, rejects nothing in a group without outliers.
+by adding counts: the (language, source) sketches add up to those of a language and of the whole corpus. Every
+group has its fence q75 + max(3 * (q75 - q25), slack), which is shrunk toward that of the level above: with n documents
+it counts n, the level above ``weight``. So small groups follow their language, and large ones themselves, without a
+size at which anything switches. A document is rejected where a metric lies above its group's fence. A fence, unlike a
+fixed quantile, rejects nothing in a group without outliers.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from timberline.llm.common import NOT_WHITE, WHITE, documents, staged
 
 #: Metrics of a document with the least distance of their fence from the upper quartile.
 METRICS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.2, "repeat_ratio": 0.2, "chars_per_word": 4.0}
-GAMMA = 1.02
+GAMMA, WEIGHT = 1.02, 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 
@@ -77,7 +78,7 @@ def quantiles(sk: DataFrame, keys: list[str], qs: dict[str, float], gamma: float
     return merged.groupBy(*keys, "metric").agg(F.first("_t").alias("rows"), *(F.min(F.when(F.col("_c") >= q * F.col("_t"), F.struct("bucket", middle.alias("v"))))["v"].alias(k) for k, q in qs.items()))
 
 
-def thresholds(sk: DataFrame, levels: list[list[str]], min_rows: int = 200) -> DataFrame:
+def thresholds(sk: DataFrame, levels: list[list[str]], weight: int = WEIGHT) -> DataFrame:
     """One row for each combination of the finest level's keys with a column ``max_<metric>`` for every metric.
 
     ``levels`` runs from fine to coarse, each a prefix of the one before; the last may be empty (whole corpus).
@@ -85,15 +86,17 @@ def thresholds(sk: DataFrame, levels: list[list[str]], min_rows: int = 200) -> D
     slack = F.create_map(*(F.lit(x) for kv in METRICS.items() for x in kv))
     out = sk.select(*levels[0]).distinct().withColumn("metric", F.explode(F.array(*map(F.lit, METRICS))))
     for k, keys in enumerate(levels):
-        q = quantiles(sk, keys, {"q25": 0.25, "q75": 0.75}).where(F.col("rows") >= min_rows if keys else F.lit(True))
-        q = q.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("metric").alias("_m"), (F.col("q75") + F.greatest(3 * (F.col("q75") - F.col("q25")), slack[F.col("metric")])).alias(f"_t{k}"))
+        q = quantiles(sk, keys, {"q25": 0.25, "q75": 0.75})
+        q = q.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("metric").alias("_m"), F.col("rows").alias(f"_n{k}"), (F.col("q75") + F.greatest(3 * (F.col("q75") - F.col("q25")), slack[F.col("metric")])).alias(f"_t{k}"))
         on = [F.col("metric") == F.col("_m"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys)]
         out = out.join(q, reduce(lambda a, b: a & b, on), "left").drop("_m", *(f"_{c}" for c in keys))
-    best = F.coalesce(*(F.col(f"_t{k}") for k in range(len(levels))))
+    best = F.col(f"_t{len(levels) - 1}")
+    for k in reversed(range(len(levels) - 1)):
+        best = (F.col(f"_n{k}") * F.col(f"_t{k}") + weight * best) / (F.col(f"_n{k}") + weight)
     return out.groupBy(*levels[0]).agg(*(F.max(F.when(F.col("metric") == m, best)).alias(f"max_{m}") for m in METRICS))
 
 
-def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), min_rows: int = 200) -> DataFrame:
+def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), weight: int = WEIGHT) -> DataFrame:
     """The columns ``keep``, the base counts, base_failed and kept for every row of ``df``.
 
     Null text: zero counts, so base_failed. Null language or source: a group of its own. Repeated rows each get
@@ -103,7 +106,7 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     df = df.select(*ids, F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     df = base_counts(df, "_text").withColumn("n_lines", F.size(F.split(F.coalesce("_text", F.lit("")), "\n", -1))).drop("_text")
     df = staged(df.withColumns(metrics()), "quality-rules")
-    limits = thresholds(sketch(df, ["_lang", "_source"], list(METRICS)), [["_lang", "_source"], ["_lang"], []], min_rows)
+    limits = thresholds(sketch(df, ["_lang", "_source"], list(METRICS)), [["_lang", "_source"], ["_lang"], []], weight)
     limits = limits.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     df = df.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -173,8 +173,11 @@ def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", o: Options = Options()) -> Model:
-    """Fits to the rows of ``docs`` that have a label; all their tokens count, the calibration takes up to ``o.sample`` distinct texts."""
-    y = small_side(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("bigint").alias("_y")).dropna(), "toxic-labels")
+    """Fits to the rows of ``docs`` that have a label; all their tokens count, the calibration takes up to ``o.sample`` distinct texts.
+
+    Of several labels of one document the least counts; rows without an id have no label.
+    """
+    y = small_side(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("bigint").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y")), "toxic-labels")
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(y, "_id")
     scores, rest = log_odds(d, "_t", "_y", o)
     m = Model(scores, rest, 1.0, 1.0, 1.0, 0.0, o.max_expected)
@@ -241,7 +244,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep: tupl
     """The columns ``keep`` with score, predicted and passages (token spans of significant segments) for every row.
 
     Null or empty text has no segments and gets the score of no evidence. Repeated rows each get a row; other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. In the query a null doc_id has a null ``held_out``, and its row is
+    scored but not learned from.
     """
     d = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "_text")
