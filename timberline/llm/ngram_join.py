@@ -333,13 +333,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(lists: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets which may link through a list of ``lists`` (key, node, n, at)."""
-    spread = lists.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
-    x = lists.join(spread, "key")
+    spread = staged(lists.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1"), "ngram-spread")
+    x = join_hot(lists, spread, ["key"], "_c").where("_c > 1")
     short = x.where(F.col("_c") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("sets")).select("sets").mapInArrow(_scan, "a bigint, b bigint")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int")
     long_ = x.where(F.col("_c") > SHORT).select("key", "node", band.alias("band"))
-    hubs = long_.groupBy("key", "band").agg(F.min("node").alias("to"))
-    within = long_.join(hubs, ["key", "band"]).select(F.col("node").alias("a"), F.col("to").alias("b"))
+    hubs = staged(long_.groupBy("key", "band").agg(F.min("node").alias("to"), F.count("*").alias("_c")), "ngram-hubs")
+    within = join_hot(long_, hubs, ["key", "band"], "_c").select(F.col("node").alias("a"), F.col("to").alias("b"))
     above = hubs.select("key", (F.col("band") - 1).alias("band"), F.col("to").alias("a"))
     across = hubs.join(above, ["key", "band"]).select("a", F.col("to").alias("b"))
     return short.unionByName(within).unionByName(across).where("a <> b").distinct()
