@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timberline.functions.patterns import compile_python
+from timberline.functions.patterns import LIMIT_S, compile_python, user_patterns
 from timberline.options import Mask
 from timberline.settings import key_mask_pattern
 
 TIMESTAMP, HOST, PID, MASKED = "<TIMESTAMP>", "<HOST>", "<PID>", "<MASKED>"
+# What counts as an IPv4 address.
 WORD_BEFORE, WORD_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{WORD_BEFORE}{OCTET}(?:\.{OCTET}){{3}}{WORD_AFTER}"
@@ -92,29 +93,35 @@ def mask_keys(text: Column, keys: str) -> Column:
     return text if pattern is None else by_line(text, lambda x: F.regexp_replace(x, pattern, f"$1{MASKED}"))
 
 
-def mask_patterns(text: Column, patterns: tuple[str, ...]) -> Column:
-    """All matches of the users' own patterns (Python sources), line by line, one pattern after the other.
+def mask_patterns(text: Column, patterns: tuple[str, ...], limit_s: float = LIMIT_S) -> Column:
+    """A struct (text, failure): all matches of the users' own patterns (Python sources) masked, line by line.
 
-    Such patterns run in Python workers, which Spark can stop; a literal replacement keeps backslashes plain.
+    A literal replacement keeps backslashes plain. Where a pattern takes longer than ``limit_s`` on a text, or is none,
+    the text stays as it was and ``failure`` says why: timeout or error.
     """
-    if not patterns:
-        return text
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        import re
-
-        compiled = [re.compile(p) for p in patterns]
+    @F.pandas_udf("text string, failure string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        try:
+            compiled, failure = user_patterns(patterns), None
+        except Exception:
+            compiled, failure = [], "error"
 
         def one(t):
             lines = t.split("\n")
             for p in compiled:
-                lines = [p.sub(lambda m: MASKED if m[0] else "", x) for x in lines]
+                lines = [p.sub(lambda m: MASKED if m[0] else "", x, timeout=limit_s) for x in lines]
             return "\n".join(lines)
 
-        return s.map(lambda t: None if t is None else one(t))
+        out = []
+        for t in s:
+            try:
+                out.append((None if t is None else one(t), failure))
+            except TimeoutError:
+                out.append((t, "timeout"))
+        return pd.DataFrame(out, columns=["text", "failure"], dtype=object)
 
-    return run(text)
+    return run(text) if patterns else F.struct(text.alias("text"), F.lit(None).cast("string").alias("failure"))
 
 
 def user_pattern(pattern: str) -> str:

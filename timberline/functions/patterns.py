@@ -11,6 +11,11 @@ EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 NO_EDGE = r"(?:(?<![A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+QUANTIFIER = re.compile(r"\{[0-9]+(?:,[0-9]*)?\}")
+#: Fixed value: seconds after which a users' pattern on one text counts as one that never ends.
+LIMIT_S = 2.0
+
+
 class PatternError(ValueError):
     """The pattern cannot be run here; the message says why."""
 
@@ -66,6 +71,8 @@ def _translate(pattern: str, flags: str, java: bool) -> str:
             if pattern[i + 1 : i + 2] == "^":
                 out.append("^")
                 i += 1
+        elif c == "{" and not QUANTIFIER.match(pattern, i):
+            out.append(r"\{")
         elif c == ".":
             out.append(r"[\s\S]" if "s" in flags else NOT_LINE_END)
         elif c == "$" and "m" not in flags:
@@ -99,6 +106,13 @@ def compile_python(pattern: str, flags: str = "") -> re.Pattern:
         raise PatternError(str(e)) from e
 
 
+def user_patterns(sources) -> list:
+    """Users' patterns (Python sources), compiled by an engine whose searches can be given up after a time."""
+    import regex
+
+    return [regex.compile(s) for s in sources]
+
+
 def java_source(pattern: str, flags: str = "") -> str:
     return _translate(pattern, flags, java=True)
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.patterns import LIMIT_S, user_patterns
 from timberline.operators.parse import raw_text
 from timberline.options import Criteria
 
@@ -24,15 +25,16 @@ def in_range(start_ms: int | None, end_ms: int | None) -> Column:
     return c & (F.col("timestamp_ms") <= end_ms) if end_ms is not None else c
 
 
-def found_in(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether any of the users' patterns (Python sources) is found. Runs in Python workers, see :func:`limit_time`."""
+def found_in(text: Column, patterns: tuple[str, ...], limit_s: float = LIMIT_S) -> Column:
+    """Whether any of the users' patterns (Python sources) is found.
+
+    A search that takes longer than ``limit_s`` fails the query: unfiltered rows are never shown in its place.
+    """
 
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
-        import re
-
-        compiled = [re.compile(p) for p in patterns]
-        return s.map(lambda t: t is not None and any(p.search(t) for p in compiled)).astype(bool)
+        compiled = user_patterns(patterns)
+        return s.map(lambda t: t is not None and any(p.search(t, timeout=limit_s) for p in compiled)).astype(bool)
 
     return run(text)
 
@@ -53,12 +55,3 @@ def apply(entries: DataFrame, c: Criteria) -> DataFrame:
     if c.ignore:
         entries = entries.where(~found_in(raw_text(), c.ignore))
     return entries
-
-
-def limit_time(spark, seconds: int = 2) -> None:
-    """Stops Python workers that give no result for so long, so a pattern that never ends fails the query.
-
-    A failure is the query's result; unfiltered rows are never shown in its place.
-    """
-    spark.conf.set("spark.sql.execution.pyspark.udf.idleTimeoutSeconds", str(seconds))
-    spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.patterns import LIMIT_S, user_patterns
 from timberline.options import HighlightRule
 
 RANGES = "array<struct<start:int,end:int,color:string>>"
@@ -18,11 +17,21 @@ def utf16(text: str, at: int) -> int:
     return at + sum(c > "￿" for c in text[:at])
 
 
-def ranges(text: str, rules: list[tuple[re.Pattern, str]]) -> list[tuple[int, int, str]]:
-    """Non-empty matches of all rules; of two that overlap the earlier rule's stays."""
+def ranges(text: str, rules: list[tuple], limit_s: float = LIMIT_S) -> list[tuple[int, int, str]]:
+    """Non-empty matches of all rules (pattern, color); of two that overlap the earlier rule's stays.
+
+    A text on which a pattern takes longer than ``limit_s`` is shown without highlights.
+    """
+    try:
+        return _ranges(text, rules, limit_s)
+    except TimeoutError:
+        return []
+
+
+def _ranges(text: str, rules: list[tuple], limit_s: float) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
     for pattern, color in rules:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text, timeout=limit_s):
             a, b = m.span()
             if a < b and all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, color))
@@ -34,7 +43,7 @@ def highlights(rows: DataFrame, rules: list[HighlightRule]) -> DataFrame:
 
     @F.pandas_udf(RANGES)
     def run(s: pd.Series) -> pd.Series:
-        compiled = [(re.compile(r.pattern), r.color) for r in rules]
+        compiled = list(zip(user_patterns(r.pattern for r in rules), (r.color for r in rules), strict=True))
         return s.map(lambda t: [{"start": a, "end": b, "color": c} for a, b, c in ranges(t, compiled)])
 
     texts = rows.select("text").where(F.col("text").isNotNull()).distinct()

@@ -1,11 +1,11 @@
 """Ordered operations without one task for all rows.
 
-What is numbered is written as a table first: several passes over it follow, and parsing is not to be repeated.
+Rows are put in order by range partitions, whose sampled bounds split even a single repeated instant, and numbered by
+their place in a partition plus the sizes of those before. That is the one step that writes: the sorted table, since
+several passes follow, and its input where the bounds are to be sampled from it.
 
-Rows are numbered by buckets: any column that grows with the order (an hour, a block of lines). Rows are counted by
-bucket, the counts summed up over the small table of buckets, and rows ranked within their bucket. With numbers given,
-previous rows and running sums work within blocks of BLOCK numbers, whose ends and totals are passed on from block to
-block in the same way.
+With numbers given, previous rows and running sums work within blocks of BLOCK numbers. A small table of blocks passes
+on what a block needs of those before it. Numbers may have holes: what a filter removes need not be numbered anew.
 """
 
 from __future__ import annotations
@@ -17,50 +17,52 @@ from pyspark.sql.window import Window
 from timberline.sources.storage import staged
 
 BLOCK = 65_536
-BUCKET_MS = 60_000
+IN_PARTITION = 33
 
 
-def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str = "seq") -> DataFrame:
-    """``df`` with numbers from 1 in the given order; ``bucket`` must not fall along it."""
-    df = df.withColumn("_bucket", bucket)
-    before = F.coalesce(F.sum("_num_n").over(Window.orderBy("_num_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = df.groupBy(F.col("_bucket").alias("_num_b")).agg(F.count("*").alias("_num_n")).select("_num_b", before.alias("_num_before"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return df.withColumn("_rank", rank).join(counts, F.col("_bucket").eqNullSafe(F.col("_num_b"))).withColumn(name, (F.col("_num_before") + F.col("_rank")).cast("bigint")).drop("_bucket", "_rank", "_num_b", "_num_before")
+def numbered(df: DataFrame, order: list[Column], name: str = "seq") -> DataFrame:
+    """``df`` sorted and numbered from 1 in the given order, which must tell all rows apart."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    df = staged(ranges, "timeline").withColumn("_part", F.shiftright("_id", IN_PARTITION))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = df.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n")).select("_of", before.alias("_before"))
+    df = df.join(F.broadcast(parts), F.col("_part") == F.col("_of"))  # a row for each partition
+    place = F.col("_id") - F.shiftleft("_part", IN_PARTITION)
+    return df.withColumn(name, (F.col("_before") + place + 1).cast("bigint")).drop("_id", "_part", "_of", "_before")
 
 
 def by_time(df: DataFrame, name: str = "seq") -> DataFrame:
     """Numbers by time, rows without one last, ties by file and line."""
-    lost = F.col("timestamp_ms").isNull()
-    bucket = F.struct(lost.alias("lost"), F.when(lost, F.lit(0)).otherwise(F.floor(F.col("timestamp_ms") / BUCKET_MS)).alias("time"), F.when(lost, F.col("file_index")).otherwise(0).alias("file"), F.when(lost, F.floor(F.col("start_line") / BLOCK)).otherwise(0).alias("part"))
-    return staged(numbered(staged(df, "entries"), bucket, [F.asc_nulls_last("timestamp_ms"), F.col("file_index"), F.col("start_line")], name), "timeline")
+    return numbered(staged(df, "entries"), [F.asc_nulls_last("timestamp_ms"), F.asc("file_index"), F.asc("start_line")], name)
 
 
 def by_line(df: DataFrame, name: str = "seq") -> DataFrame:
     """Numbers by file and line."""
-    bucket = F.struct(F.col("file_index"), F.floor(F.col("start_line") / BLOCK).alias("part"))
-    return staged(numbered(staged(df, "entries"), bucket, [F.col("file_index"), F.col("start_line")], name), "timeline")
+    return numbered(staged(df, "entries"), [F.asc("file_index"), F.asc("start_line")], name)
 
 
-def renumbered(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Numbers without holes, in the order of those there are."""
-    return staged(numbered(staged(df.withColumnRenamed(seq, "_old"), "timeline"), F.floor(F.col("_old") / BLOCK), [F.col("_old")], seq).drop("_old"), "timeline")
+def block_of(seq: str = "seq") -> Column:
+    return F.floor((F.col(seq) - 1) / BLOCK)
 
 
 def with_previous(df: DataFrame, columns: dict[str, Column], seq: str = "seq") -> DataFrame:
-    """Adds, under the given names, the values that the columns have in the row before (numbers without holes)."""
-    block = F.floor((F.col(seq) - 1) / BLOCK)
-    df = df.withColumns({"_block": block, "_own": F.struct(*(c.alias(n) for n, c in columns.items()))})
-    last = df.groupBy((F.col("_block") + 1).alias("_next")).agg(F.max_by("_own", seq).alias("_carry"))
+    """Adds, under the given names, the values that the columns have in the row before."""
+    df = df.withColumns({"_block": block_of(seq), "_own": F.struct(*(c.alias(n) for n, c in columns.items()))})
+    last = df.groupBy(F.col("_block").alias("_of")).agg(F.max_by("_own", seq).alias("_last"))
+    carry = last.select("_of", F.lag("_last").over(Window.orderBy("_of")).alias("_carry"))
     df = df.withColumn("_lag", F.lag("_own").over(Window.partitionBy("_block").orderBy(seq)))
-    df = df.join(last, F.col("_block") == F.col("_next"), "left").withColumn("_prev", F.coalesce("_lag", "_carry"))
-    return df.withColumns({n: F.col("_prev")[n] for n in columns}).drop("_block", "_own", "_lag", "_next", "_carry", "_prev")
-
-
-def with_running_sum(df: DataFrame, value: Column, name: str, seq: str = "seq") -> DataFrame:
-    """Adds the sum of ``value`` over this row and all before it."""
-    df = df.withColumns({"_sum_block": F.floor((F.col(seq) - 1) / BLOCK), "_sum_value": value.cast("bigint")})
-    before = F.coalesce(F.sum("_sum_t").over(Window.orderBy("_sum_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = df.groupBy(F.col("_sum_block").alias("_sum_b")).agg(F.sum("_sum_value").alias("_sum_t")).select("_sum_b", before.alias("_sum_before"))
-    within = F.sum("_sum_value").over(Window.partitionBy("_sum_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_sum_within", within).join(totals, F.col("_sum_block") == F.col("_sum_b")).withColumn(name, F.col("_sum_before") + F.col("_sum_within")).drop("_sum_block", "_sum_value", "_sum_within", "_sum_b", "_sum_before")
+    df = df.join(carry, F.col("_block") == F.col("_of")).withColumn("_prev", F.coalesce("_lag", "_carry"))
+    return df.withColumns({n: F.col("_prev")[n] for n in columns}).drop("_block", "_own", "_lag", "_of", "_carry", "_prev")
+
+
+def with_running_sums(df: DataFrame, values: dict[str, Column], seq: str = "seq") -> DataFrame:
+    """Adds, under the given names, the sums of the values over this row and all before it."""
+    own = {f"_v_{n}": v.cast("bigint") for n, v in values.items()}
+    df = df.withColumns({"_block": block_of(seq), **own})
+    totals = df.groupBy(F.col("_block").alias("_of")).agg(*(F.sum(c).alias(f"_t{c}") for c in own))
+    earlier = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_of", *(F.coalesce(F.sum(f"_t{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in own))
+    within = Window.partitionBy("_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_w{c}": F.sum(c).over(within) for c in own}).join(before, F.col("_block") == F.col("_of"))
+    df = df.withColumns({n: F.col(f"_b_v_{n}") + F.col(f"_w_v_{n}") for n in values})
+    return df.drop("_block", "_of", *own, *(f"_b{c}" for c in own), *(f"_w{c}" for c in own))

@@ -49,15 +49,16 @@ def parse_lines(lines: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
     return group_entries(recognize_lines(lines, options))
 
 
-def parse_files(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Entries of files (file_index, file_name, text, and source_offset_min and skew_ms where set), with provenance.
+def parse_files(files: DataFrame, options: ParseOptions = ParseOptions(), lines: DataFrame | None = None) -> DataFrame:
+    """Entries of files (file_index, file_name, and source_offset_min and skew_ms where set), with provenance.
 
-    A file's skew is added to every recognised time, also one with a written offset; the raw text stays.
+    The lines come from ``lines`` (file_index, line_no, line), or else from the files' column ``text``. A file's skew is
+    added to every recognised time, also one with a written offset; the raw text stays.
     """
     has = set(files.columns)
     facts = files.select("file_index", "file_name", kind_of("file_name").alias("kind"), (F.col("source_offset_min") if "source_offset_min" in has else F.lit(options.source_offset_min)).alias("source_offset_min"), (F.col("skew_ms") if "skew_ms" in has else F.lit(0)).alias("skew_ms"))
-    lines = split_lines(files).join(facts.select("file_index", "source_offset_min"), "file_index")
-    e = parse_lines(lines, options).join(facts.drop("source_offset_min"), "file_index")
+    lines = split_lines(files) if lines is None else lines
+    e = parse_lines(lines.join(facts.select("file_index", "source_offset_min"), "file_index"), options).join(facts.drop("source_offset_min"), "file_index")
     return e.withColumn("timestamp_ms", apply_skew(F.col("timestamp_ms"), F.col("skew_ms"))).select(*ENTRY)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from timberline.functions.masks import HOST, TIMESTAMP, mask_copy, mask_hosts, mask_message
 from timberline.functions.timestamps import display_time
-from timberline.operators.ordering import BLOCK, numbered, with_running_sum
-from timberline.operators.timeline import with_gaps, with_runs
+from timberline.operators.ordering import with_running_sums
+from timberline.operators.timeline import groups, laid_out, with_gaps
 from timberline.options import COPY_MASK, Display, Mask
 from timberline.sources.storage import staged
 
@@ -46,7 +46,7 @@ def with_parts(entries: DataFrame, d: Display, severity_width: int) -> DataFrame
 
 def _rows(df: DataFrame, texts: Column) -> DataFrame:
     """(row_no, text, source) from an array of (text, line) per entry; the numbers come from sums over entries."""
-    df = with_running_sum(df.withColumn("_rows", texts), F.size("_rows"), "_end")
+    df = with_running_sums(df.withColumn("_rows", texts), {"_end": F.size("_rows")})
     df = df.select("seq", "file_index", (F.col("_end") - F.size("_rows")).alias("_start"), F.posexplode("_rows").alias("_i", "_r"))
     source = F.when(F.col("_r.line").isNotNull(), F.struct(F.col("file_index"), F.col("_r.line").alias("line")))
     return df.select((F.col("_start") + F.col("_i") + 1).alias("row_no"), F.col("_r.text").alias("text"), source.alias("source"))
@@ -97,16 +97,13 @@ def group_suffix(n: Column, start: Column, end: Column) -> Column:
 
 
 def with_groups(entries: DataFrame, d: Display) -> DataFrame:
-    """Runs with what a group's header shows: _first, _last_ms, _last_line, _files, _many_kinds."""
-    runs = with_runs(entries, d.collapse_threshold, d.mask)
-    g = runs.where("is_group").groupBy(F.col("run_id").alias("_run")).agg(
-        F.min("seq").alias("_first"),
-        F.max_by("timestamp_ms", "seq").alias("_last_ms"),
-        F.max_by(F.col("start_line") + F.size("lines") - 1, "seq").alias("_last_line"),
-        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "file_index"))), lambda x: x["file_index"])).alias("_files"),
-        (F.count_distinct("kind") > 1).alias("_many_kinds") if "kind" in entries.columns else F.lit(False).alias("_many_kinds"),
-    )
-    return staged(runs.join(g, F.col("run_id") == F.col("_run"), "left").drop("_run"), "groups")
+    """Runs with what a group's header shows: run_len, _first, _last_ms, _last_line, _files, _many_kinds; and is_group.
+
+    Entries that are not laid out yet are, and are written once, as the groups' facts are joined back to them.
+    """
+    runs = entries if "run_id" in entries.columns else staged(laid_out(entries, d.mask), "laid-out")
+    g = groups(runs, d.collapse_threshold).select(F.col("run_id").alias("_run"), F.col("n").alias("run_len"), F.col("first_seq").alias("_first"), F.col("last_ms").alias("_last_ms"), F.col("last_line").alias("_last_line"), F.col("file_indices").alias("_files"), F.col("many_kinds").alias("_many_kinds"))
+    return runs.join(g, F.col("run_id") == F.col("_run"), "left").withColumn("is_group", F.col("_run").isNotNull()).drop("_run")
 
 
 def _suffix(d: Display) -> Column:
@@ -128,32 +125,36 @@ def collapsed(entries: DataFrame, d: Display = Display()) -> DataFrame:
     return _rows(df, rows)
 
 
-def display_items(entries: DataFrame, d: Display = Display(), several_files: bool = False) -> DataFrame:
+def display_items(entries: DataFrame, d: Display = Display(), several_files: bool = False, max_lines: int = 0) -> DataFrame:
     """(item_no, kind, text, lines, header_file_indices): a line for each row of single entries, a group for each run.
 
     ``lines`` holds a group's rows (text, source) in order. A group over several files names the first one with
-    ", etc."; so does its kind where kinds differ.
+    ", etc."; so does its kind where kinds differ. With ``max_lines`` only what :func:`limit_items` may show is built:
+    of longer groups no more rows than tell that they are too long.
     """
     w = widths(entries)
     df = with_parts(with_groups(entries, d), d, w["severity"])
     mark = lambda c, many: F.when(F.col("is_group") & many, F.concat(c, F.lit(MORE))).otherwise(c)
     file_label, kind_label = mark(F.col("file_name"), F.size("_files") > 1), mark(F.col("kind"), F.col("_many_kinds"))
+    heads = F.col("is_group") & (F.col("seq") == F.col("_first"))
     if several_files:
-        heads = df.where(F.col("seq") == F.col("_first")).agg(F.max(F.length(file_label)), F.max(F.length(kind_label))).first()
-        wf, wk = max(w["file"], heads[0] or 0), max(w["kind"], heads[1] or 0)
+        r = df.where(heads).agg(F.max(F.length(file_label)), F.max(F.length(kind_label))).first()
+        wf, wk = max(w["file"], r[0] or 0), max(w["kind"], r[1] or 0)
         own = F.concat(pad(F.col("file_name"), wf), F.lit(BAR), pad(F.col("kind"), wk), F.lit(BAR))
         head, first, further = F.concat(pad(file_label, wf), F.lit(BAR), pad(kind_label, wk), F.lit(BAR)), own, lambda i: own
     else:
-        wide = max(w["gutter"], df.where(F.col("seq") == F.col("_first")).agg(F.max(F.length(_range_label()))).first()[0] or 0)
+        wide = max(w["gutter"], df.where(heads).agg(F.max(F.length(_range_label()))).first()[0] or 0)
         head, first, further = gutter(_range_label(), wide), gutter(F.col("start_line"), wide), lambda i: gutter(F.col("start_line") + i, wide)
-    df = df.withColumns({"_own": _entry_rows(first, further), "_header": F.concat(head, F.col("_head"), F.col("_lines")[0], _suffix(d))})
-    rows = F.transform("_own", lambda x: F.struct(x["text"].alias("text"), F.struct(F.col("file_index"), x["line"].alias("line")).alias("source")))
-    df = df.withColumn("_own", rows).withColumn("_item", F.when(F.col("is_group"), F.col("_first")).otherwise(F.col("seq")))
-    g = df.groupBy("_item", "is_group").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "_own"))), lambda x: x["_own"])).alias("lines"), F.min_by("_header", "seq").alias("_header"), F.first("_files").alias("header_file_indices"))
-    g = g.select("_item", F.explode(F.when(F.col("is_group"), F.array(F.struct(F.lit(0).alias("sub"), F.lit("group").alias("kind"), F.col("_header").alias("text"), F.col("lines").alias("lines"), F.col("header_file_indices").alias("files")))).otherwise(F.transform("lines", lambda x, i: F.struct(i.alias("sub"), F.lit("line").alias("kind"), x["text"].alias("text"), F.array(x).alias("lines"), F.lit(None).cast("array<int>").alias("files"))))).alias("x"))
-    g = staged(g.select("_item", "x.*"), "items")
-    g = numbered(g, F.floor(F.col("_item") / BLOCK), [F.col("_item"), F.col("sub")], "item_no")
-    return g.select("item_no", "kind", "text", "lines", F.col("files").alias("header_file_indices"))
+    n = F.size("_lines")
+    df = with_running_sums(df, {"_items": F.when(F.col("is_group"), heads.cast("int")).otherwise(n), "_spent": n + heads.cast("int")})
+    df = df.where(F.col("_spent") - n <= max_lines + 1) if max_lines > 0 else df
+    rows = F.transform(_entry_rows(first, further), lambda x: F.struct(x["text"].alias("text"), F.struct(F.col("file_index"), x["line"].alias("line")).alias("source")))
+    lines = df.where(~F.col("is_group")).select((F.col("_items") - n).alias("_before"), F.posexplode(rows).alias("_i", "_x"))
+    lines = lines.select((F.col("_before") + F.col("_i") + 1).alias("item_no"), F.lit("line").alias("kind"), F.col("_x.text").alias("text"), F.array("_x").alias("lines"), F.lit(None).cast("array<int>").alias("header_file_indices"))
+    header = F.when(heads, F.concat(head, F.col("_head"), F.col("_lines")[0], _suffix(d)))
+    g = df.where("is_group").select("_items", "seq", header.alias("_header"), "_files", rows.alias("_own")).groupBy(F.col("_items").alias("item_no"))
+    g = g.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "_own"))), lambda x: x["_own"])).alias("lines"), F.max("_header").alias("text"), F.first("_files").alias("header_file_indices"))
+    return lines.unionByName(g.withColumn("kind", F.lit("group")))
 
 
 def limit_items(items: DataFrame, max_lines: int) -> DataFrame:
@@ -164,7 +165,7 @@ def limit_items(items: DataFrame, max_lines: int) -> DataFrame:
     if max_lines <= 0:
         return items
     cost = F.when(F.col("kind") == "group", F.size("lines") + 1).otherwise(1)
-    df = with_running_sum(items, cost, "_end", "item_no")
+    df = with_running_sums(items, {"_end": cost}, "item_no")
     cut = F.when((F.col("item_no") == 1) & (F.col("_end") > max_lines), F.slice("lines", 1, max(max_lines - 1, 1))).otherwise(F.col("lines"))
     keep = (F.col("_end") <= max_lines) | ((F.col("item_no") == 1) & F.lit(max_lines > 1))
     return df.where(keep).withColumn("lines", cut).drop("_end")

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.masks import mask_keys, mask_patterns
-from timberline.operators import assess, filters, ordering, render
+from timberline.operators import assess, filters, ordering, render, timeline
 from timberline.operators.parse import parse_files
 from timberline.options import Criteria, Display, ParseOptions
 from timberline.sources import files as source
+from timberline.sources.storage import staged
 
 
 @dataclass(frozen=True)
 class View:
-    """Entries under criteria, masks and display options. Each result is lazy, and starts from all entries."""
+    """Numbered entries under criteria, masks and display options. Each view starts from all entries.
+
+    Rows are lazy. What folds repeats is made from the view's laid-out entries, which are written once, when first
+    asked for; so a whole redraw (:meth:`payload`) writes one table, and further results of the view none.
+    """
 
     entries: DataFrame
     several: bool
@@ -24,37 +29,53 @@ class View:
     display: Display = Display()
     mask_key_names: str = ""
     mask_pattern_sources: tuple[str, ...] = ()
+    _made: dict = field(default_factory=dict, repr=False, compare=False)
 
     def with_criteria(self, criteria: Criteria) -> View:
-        return replace(self, criteria=criteria)
+        return replace(self, criteria=criteria, _made={})
 
     def shown(self) -> DataFrame:
-        """Filtered, then masked, numbered entries: filters see unmasked text."""
+        """Filtered, then masked entries in order: filters see unmasked text. mask_failure says where a mask failed."""
         e = filters.apply(self.entries, self.criteria)
-        text = mask_patterns(mask_keys(F.col("message"), self.mask_key_names), self.mask_pattern_sources)
-        e = e.withColumn("message", text)
-        return ordering.by_time(e) if self.several else ordering.by_line(e)
+        masked = mask_patterns(mask_keys(F.col("message"), self.mask_key_names), self.mask_pattern_sources)
+        e = e.withColumn("_masked", masked)
+        return e.withColumns({"message": F.col("_masked.text"), "mask_failure": F.col("_masked.failure")}).drop("_masked")
+
+    def laid_out(self) -> DataFrame:
+        """The shown entries numbered without holes, with the time before and their run; written once."""
+        if "laid_out" not in self._made:
+            self._made["laid_out"] = staged(timeline.laid_out(self.shown(), self.display.mask), "laid-out")
+        return self._made["laid_out"]
 
     def rows(self) -> DataFrame:
-        return (render.merged if self.several else render.normalized)(self.shown(), self.display)
+        return (render.merged if self.several else render.normalized)(self._made.get("laid_out", self.shown()), self.display)
 
     def items(self) -> DataFrame:
-        return render.limit_items(render.display_items(self.shown(), self.display, self.several), self.display.max_lines)
+        n = self.display.max_lines
+        return render.limit_items(render.display_items(self.laid_out(), self.display, self.several, n), n)
+
+    def mask_failures(self) -> DataFrame:
+        """(failure, n): how many entries are shown unmasked, and why; no rows where all masks worked."""
+        e = self._made.get("laid_out", self.shown())
+        return e.where(F.col("mask_failure").isNotNull()).groupBy(F.col("mask_failure").alias("failure")).agg(F.count("*").alias("n"))
 
     def export(self, collapsed: bool = False) -> DataFrame:
         """Rows of text. Folded, a group of one file has its message's further lines; of several, its header alone."""
         if not collapsed:
             return self.rows()
-        return render.headers(render.display_items(self.shown(), self.display, True)) if self.several else render.collapsed(self.shown(), self.display)
+        if not self.several:
+            return render.collapsed(self.laid_out(), self.display)
+        return render.headers(render.display_items(self.laid_out(), self.display, True))
 
     def payload(self) -> dict[str, DataFrame]:
         """All parts of a redraw; severities and totals are those before any filter."""
-        shown = self.shown()
+        shown = self.laid_out()
         return {
             "severities": assess.distinct_severities(self.entries),
             "counts": assess.hidden_lines(self.entries, shown),
             "rows": render.limit_rows(self.rows(), self.display.max_lines),
             "items": self.items(),
+            "mask_failures": self.mask_failures(),
         }
 
     def write_text(self, path: str, collapsed: bool = False) -> None:
@@ -63,30 +84,42 @@ class View:
 
 
 class LogSession:
-    """Opened files with their settings."""
+    """Opened files with their settings. They are parsed, sorted and written once, whatever views follow."""
 
     def __init__(self, spark: SparkSession, options: ParseOptions = ParseOptions(), offsets=None, skews=None):
         self.spark, self.options, self.offsets, self.skews = spark, options, offsets, skews
         self.files: DataFrame | None = None
+        self.lines: DataFrame | None = None
         self.n = 0
-
-    def open(self, paths: list[str], encoding: str = "utf-8") -> LogSession:
-        paths = source.select_new(paths, [])
+        self._log: DataFrame | None = None
+
+    def open(self, paths: list[str], encoding: str = "utf8") -> LogSession:
+        """Opens files, of any size where they are UTF-8; folders among the paths are left out."""
+        paths = source.without_folders(self.spark, source.select_new(paths, []))
+        if source.ENCODINGS.get(encoding.lower()) == "utf-8":
+            files, lines = source.open_files(self.spark, paths)
+            return self._set(files, len(paths), lines)
         return self._set(source.read_files(self.spark, paths, encoding), len(paths))
 
     def open_texts(self, texts: list[tuple[str, str]]) -> LogSession:
         return self._set(source.from_texts(self.spark, texts), len(texts))
 
-    def _set(self, files: DataFrame, n: int) -> LogSession:
-        self.files, self.n = source.with_settings(files, self.offsets, self.skews, self.options.source_offset_min), n
+    def _set(self, files: DataFrame, n: int, lines: DataFrame | None = None) -> LogSession:
+        self.files, self.n, self.lines, self._log = source.with_settings(files, self.offsets, self.skews, self.options.source_offset_min), n, lines, None
         return self
 
+    def log(self) -> DataFrame:
+        """The numbered entries: of one file in its order, of several by time."""
+        if self._log is None:
+            e = parse_files(self.files, self.options, self.lines)
+            self._log = ordering.by_time(e) if self.n > 1 else ordering.by_line(e)
+        return self._log
+
     def entries(self) -> DataFrame:
-        """The parsed table: cache or write it where many views follow."""
-        return parse_files(self.files, self.options)
+        return self.log().drop("seq")
 
     def view(self, criteria: Criteria = Criteria(), display: Display = Display(), **masks) -> View:
-        return View(self.entries(), self.n > 1, criteria, display, **masks)
+        return View(self.log(), self.n > 1, criteria, display, **masks)
 
     def recognition(self) -> DataFrame:
         return assess.recognition(self.entries(), self.files)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import codecs
 import re
+import warnings
 from functools import lru_cache
 
 import pandas as pd
@@ -17,6 +17,17 @@ FILES = "file_index int, file_name string, path string, text string"
 # What rotation adds to a file's name.
 DATE_SUFFIX = re.compile(r"[-_.]?[0-9]{4}[-_]?[0-9]{2}[-_]?[0-9]{2}(?:[-_]?[0-9]{2}[-_]?[0-9]{2}(?:[-_]?[0-9]{2})?)?[-_.]?$")
 NUMBER_SUFFIX = re.compile(r"[-_.][0-9]+$")
+# editors' names of encodings and the codecs that read them.
+ENCODINGS = {
+    "utf8": "utf-8", "utf8bom": "utf-8", "utf16le": "utf-16-le", "utf16be": "utf-16-be",
+    "windows1252": "cp1252", "iso88591": "cp1252", "iso88593": "iso8859_3", "iso885915": "iso8859_15", "macroman": "mac_roman",
+    "windows1256": "cp1256", "iso88596": "iso8859_6", "windows1257": "cp1257", "iso88594": "iso8859_4", "iso885914": "iso8859_14",
+    "windows1250": "cp1250", "iso88592": "iso8859_2", "windows1251": "cp1251", "cp866": "cp866", "iso88595": "iso8859_5",
+    "koi8r": "koi8_r", "koi8u": "koi8_u", "iso885913": "iso8859_13", "windows1253": "cp1253", "iso88597": "iso8859_7",
+    "windows1255": "cp1255", "iso88598": "iso8859_8", "windows1254": "cp1254", "iso88599": "cp1254", "windows1258": "cp1258",
+    "gbk": "gb18030", "gb18030": "gb18030", "cp950": "big5hkscs", "big5hkscs": "big5hkscs", "shiftjis": "cp932", "eucjp": "euc_jp",
+    "iso2022jp": "iso2022_jp", "euckr": "cp949", "windows874": "cp874", "iso885910": "iso8859_10", "iso885916": "iso8859_16",
+}
 EXTENSION = re.compile(r"(?<=[^.])\.[^./]+$")
 LINE_ENDS = r"\r\n|\r|\n"
 
@@ -51,18 +62,46 @@ def select_new(paths: list[str], have: list[str]) -> list[str]:
     return list(dict.fromkeys(p for p in paths if p not in set(have)))
 
 
-def decoded(content: Column, encoding: str = "utf-8") -> Column:
+def codec_of(encoding: str) -> str:
+    """The codec of a configured encoding; what is not supported is read as UTF-8, with a warning."""
+    found = ENCODINGS.get(encoding.lower())
+    if found is None:
+        warnings.warn(f"encoding {encoding!r} is not supported, the file is read as UTF-8", stacklevel=2)
+    return found or "utf-8"
+
+
+def decoded(content: Column, encoding: str = "utf8") -> Column:
     """Text of bytes, without a leading byte order mark; bad bytes become replacement characters."""
-    try:
-        name = codecs.lookup(encoding).name
-    except LookupError:
-        name = "utf-8"
+    name = codec_of(encoding)
     replace = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else bytes(b).decode(name, "replace")), "string")
-    text = replace(content)
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(replace(content), "^\ufeff", "")
+
+
+def _status(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, p, fs.getFileStatus(p)
+
 
+def without_folders(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that are files, in order."""
+    return [p for p in paths if not _status(spark, p)[2].isDirectory()]
 
-def read_files(spark: SparkSession, paths: list[str], encoding: str = "utf-8") -> DataFrame:
+
+def _ends_open(spark: SparkSession, path: str) -> bool:
+    """Whether a file's last byte is a line end, so that an empty line follows it. One byte is read."""
+    fs, p, status = _status(spark, path)
+    if not status.getLen():
+        return False
+    f = fs.open(p)
+    try:
+        f.seek(status.getLen() - 1)
+        return f.read() in (10, 13)
+    finally:
+        f.close()
+
+
+def read_files(spark: SparkSession, paths: list[str], encoding: str = "utf8") -> DataFrame:
     """One row for each path, in the given order, also for empty files. file_index is the place in ``paths``."""
     if not paths:
         return spark.createDataFrame([], FILES)
@@ -95,16 +134,24 @@ def split_lines(files: DataFrame) -> DataFrame:
     return files.where(F.col("text") != "").select("file_index", F.posexplode(F.split("text", LINE_ENDS, -1)).alias("_i", "line")).select("file_index", (F.col("_i") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def read_large(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_index, line_no, line) of files too large for one row, read in blocks by Spark's line reader.
+def open_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(files, lines) of UTF-8 files of any size: (file_index, file_name, path) and (file_index, line_no, line).
 
-    Lines are numbered by block: the counts of the blocks before, summed by file, and the place within the block. A
-    final empty line is not seen, and line ends must be alike; use :func:`read_files` where that matters.
+    Files are read in blocks by Spark's line reader, so that a large one is no single row or task. Lines are numbered by
+    the counts of the blocks before and the place within the block. As with whole texts, a final line end leaves an
+    empty line, and an empty file has none.
     """
-    order = spark.createDataFrame([(i, re.sub("^file:/+", "/", p)) for i, p in enumerate(paths)], "file_index int, _path string")
-    raw = spark.read.text(paths).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    named = [(i, p.rstrip("/").rsplit("/", 1)[-1], p, _ends_open(spark, p)) for i, p in enumerate(paths)]
+    files = spark.createDataFrame(named, "file_index int, file_name string, path string, open boolean")
+    if not paths:
+        return files.drop("open"), spark.createDataFrame([], "file_index int, line_no bigint, line string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    order = F.broadcast(files.select("file_index", plain(F.col("path")).alias("_path"), "open"))  # a row for each chosen path
+    raw = spark.read.text(paths).select(plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
     blocks = raw.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("_before", before).drop("_n")
-    out = raw.join(blocks, ["_path", "_block"]).join(order, "_path")
-    return out.select("file_index", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+    along = Window.partitionBy("_path").orderBy("_block")
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lines = raw.join(blocks.select("_path", "_block", "_first", "_before"), ["_path", "_block"]).join(order, "_path")
+    lines = lines.select("file_index", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+    last = blocks.groupBy("_path").agg(F.sum("_n").alias("_n")).join(order, "_path").where("open").select("file_index", (F.col("_n") + 1).alias("line_no"), F.lit("").alias("line"))
+    return files.drop("open"), lines.unionByName(last)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir, or set by setCheckpointDir.
+
+    There is no other: a folder of the driver's machine alone would not be seen by executors on others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='timberline-')}")
-        found = spark.sparkContext.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
