@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import calendar
 import re
 from dataclasses import dataclass
+from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +16,13 @@ from timberline.options import ParseOptions
 from timberline.settings import compile_formats
 
 MAX_BEFORE = 128
-MONTH = re.compile(r"(?i)(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+MONTH_NAMES = {name.lower() for names in (calendar.month_name, calendar.month_abbr) for name in names if name} | {"sept"}
 # Widths of the groups, and what stands for them in a name.
 WIDTH = {"y": r"\d{4}", "mo": r"\d{1,2}", "d": r"\d{1,2}", "h": r"\d{1,2}", "mi": r"\d{2}", "s": r"\d{2}", "ms": r"\d{1,9}", "epochMs": r"\d{13}", "epochSec": r"\d{10}"}
 PLACE = {"y": "YYYY", "mo": "MM", "d": "DD", "h": "hh", "mi": "mm", "s": "ss", "ms": "SSS"}
+CLOCK = ("h", "mi", "s")
+#: Outlines of a timestamp, with # for each number, and how many of them belong to the date.
+OUTLINES = {re.compile(r"[^#]*#[^#]*"): 0, re.compile(r"[^#]*#[.,]#[^#]*"): 0, re.compile(r"(?:[^#]*#){3}[^#]*#:#:#(?:[.,]#)?[^#]*"): 3}
 ZONES = (
     (re.compile(r"[Zz]$"), "(?<tzz>[Zz])", ("tzz",)),
     (re.compile(r"[+-][0-9]{2}:[0-9]{2}$"), r"(?<tzs>[+-])(?<tzh>\d{2}):(?<tzm>\d{2})", ("tzs", "tzh", "tzm")),
@@ -54,33 +59,34 @@ def _peel_zone(text: str) -> tuple[str, str, tuple[str, ...]]:
     return text, "", ()
 
 
-def _date(triple: list[str], order: str | None) -> tuple[list[str], bool]:
-    years = [i for i, t in enumerate(triple) if len(t) == 4]
-    if len(years) != 1:
-        raise Refused("twoDigitYear" if all(len(t) <= 2 for t in triple) else "missingFields")
-    a, b = (i for i in range(3) if i != years[0])
-    ambiguous = int(triple[a]) <= 12 and int(triple[b]) <= 12
-    day_first = (order or ("mdy" if years[0] == 0 else "dmy")) == "dmy" if ambiguous else int(triple[a]) > 12
-    roles = ["y"] * 3
-    roles[a], roles[b] = ("d", "mo") if day_first else ("mo", "d")
-    return roles, ambiguous
-
-
-def _roles(parts: list[str], digits: list[int], order: str | None) -> tuple[dict[int, str], bool]:
-    text = [parts[i] for i in digits]
-    if len(digits) == 1 and len(text[0]) in (10, 13):
-        return {digits[0]: "epochMs" if len(text[0]) == 13 else "epochSec"}, False
-    if len(digits) == 2 and len(text[0]) == 10 and digits[1] == digits[0] + 2 and parts[digits[0] + 1] in (".", ","):
-        return {digits[0]: "epochSec", digits[1]: "ms"}, False
-    if len(digits) not in (6, 7):
-        raise Refused("missingFields")
-    if len(digits) == 7 and parts[digits[6] - 1] not in (".", ","):
-        raise Refused("missingFields")
-    h, mi, s = digits[3:6]
-    if mi != h + 2 or s != mi + 2 or parts[h + 1] != ":" or parts[mi + 1] != ":":
-        raise Refused("missingFields")
-    names, ambiguous = _date(text[:3], order)
-    return dict(zip(digits, [*names, "h", "mi", "s", "ms"], strict=False)), ambiguous
+def layouts(numbers: list[str], outline: str) -> list[tuple[str, ...]]:
+    """All meanings, a group for each number, that the outline and the widths of the numbers allow."""
+    dated = {n for p, n in OUTLINES.items() if p.fullmatch(outline)}
+    wide = [len(x) for x in numbers]
+    if dated == {0}:
+        return [g for g in (("epochMs",), ("epochSec",), ("epochSec", "ms")) if len(g) == len(wide) and wide[0] == (13 if g == ("epochMs",) else 10)]
+    if dated != {3}:
+        return []
+    clock = (*CLOCK, "ms")[: len(wide) - 3]
+    return [(*date, *clock) for date in permutations(("y", "mo", "d")) if all((w == 4) if g == "y" else w <= 2 for g, w in zip(date, wide, strict=False))]
+
+
+def meaning(numbers: list[str], outline: str, order: str | None) -> tuple[tuple[str, ...], bool]:
+    """The meaning of the numbers, and whether another one would do as well.
+
+    Where day and month could change places, the asked order decides; without one, the month follows a leading year,
+    and the day comes first otherwise. A month beyond 12 rules a meaning out, if any other is left.
+    """
+    found = layouts(numbers, outline)
+    if not found:
+        dated = any(n and p.fullmatch(outline) for p, n in OUTLINES.items())
+        raise Refused("twoDigitYear" if dated and all(len(x) <= 2 for x in numbers[:3]) else "missingFields")
+    if len(found) == 1:
+        return found[0], False
+    real = [g for g in found if int(numbers[g.index("mo")]) <= 12]
+    day_first = order == "dmy" if order else found[0][0] != "y"
+    wanted = [g for g in real or found if (g.index("d") < g.index("mo")) == (day_first if real else True)]
+    return (wanted or real)[0], len(real) > 1
 
 
 def infer(line: str, start: int, end: int, day_month_order: str | None = None) -> Proposal:
@@ -95,9 +101,10 @@ def infer(line: str, start: int, end: int, day_month_order: str | None = None) -
     parts = re.findall(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]+", text)
     for p in parts:
         if p.isascii() and p.isalpha() and len(p) > 1:
-            raise Refused("monthName" if MONTH.fullmatch(p) else "unsupportedToken")
+            raise Refused("monthName" if p.lower() in MONTH_NAMES else "unsupportedToken")
     digits = [i for i, p in enumerate(parts) if p[0] in "0123456789"]
-    roles, ambiguous = _roles(parts, digits, day_month_order)
+    groups, ambiguous = meaning([parts[i] for i in digits], "".join("#" if i in digits else p for i, p in enumerate(parts)), day_month_order)
+    roles = dict(zip(digits, groups, strict=True))
     body = "".join(f"(?<{roles[i]}>{WIDTH[roles[i]]})" if i in roles else escape(p) for i, p in enumerate(parts))
     prefix = f".{{0,{min(start, MAX_BEFORE)}}}?" if start else ""
     return Proposal(prefix + body + zone, _name(parts, roles), (*(roles[i] for i in sorted(roles)), *zone_groups), ambiguous)

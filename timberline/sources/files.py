@@ -147,7 +147,7 @@ def open_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
         return files.drop("open"), spark.createDataFrame([], "file_index int, line_no bigint, line string")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     order = F.broadcast(files.select("file_index", plain(F.col("path")).alias("_path"), "open"))  # a row for each chosen path
-    raw = spark.read.text(paths).select(plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    raw = spark.read.text(paths).select(plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.make_valid_utf8("value").alias("line"))
     blocks = raw.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     along = Window.partitionBy("_path").orderBy("_block")
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -11,7 +11,7 @@ from timberline.options import ParseOptions
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New lines of the text files of a folder, as (path, line)."""
-    return spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("line"))
 
 
 def recognized_stream(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
