@@ -119,11 +119,12 @@ def _weight(stats: DataFrame, o: Options) -> float:
     ``stats`` has a row (n, total, squares) for each group, with its parent's (pn, ptotal). Groups spread around their
     own parent, so what tells parents apart does not count. Each parent's shares n / pn add up to 1.
     """
-    m = F.col("total") / F.col("n")
-    each = stats.where("n > 0").select("n", (F.col("n") / F.col("pn")).alias("share"), (F.col("n") * (m - F.col("ptotal") / F.col("pn")) ** 2).alias("between"), (F.col("squares") - F.col("total") * m).alias("within"))
+    at_least_one = lambda c: F.greatest(F.col(c), F.lit(1))  # noqa: E731  (no group is empty; an empty table's plan is)
+    m = F.col("total") / at_least_one("n")
+    each = stats.where("n > 0").select("n", (F.col("n") / at_least_one("pn")).alias("share"), (F.col("n") * (m - F.col("ptotal") / at_least_one("pn")) ** 2).alias("between"), (F.col("squares") - F.col("total") * m).alias("within"))
     r = each.agg(F.count("*").alias("groups"), F.sum("share").alias("parents"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("share")).alias("n2"), F.sum("between").alias("between"), F.sum("within").alias("within")).first()
     free = r["groups"] - (r["parents"] or 0.0)
-    if free < 0.5 or r["n"] <= r["groups"]:
+    if free < 0.5 or (r["n"] or 0) <= r["groups"]:
         return o.max_weight
     within = max(r["within"], 0.0) / (r["n"] - r["groups"])
     tau = (r["between"] - free * within) / (r["n"] - r["n2"])
