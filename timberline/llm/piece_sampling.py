@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -149,9 +149,13 @@ class Lattices:
     def starts(self, units: list[str]) -> np.ndarray:
         if self.states > MAX_STATES:
             self.clear()
-        if new := list(dict.fromkeys(units).keys() - self.start.keys()):
-            self._add(new)
-        return np.fromiter(map(self.start.__getitem__, units), "i8", len(units))
+        out = np.fromiter(map(self.start.get, units, repeat(-1)), "i8", len(units))
+        odd = np.flatnonzero(out < 0)
+        if len(odd):
+            new = [units[i] for i in odd.tolist()]
+            self._add(list(dict.fromkeys(new)))
+            out[odd] = np.fromiter(map(self.start.__getitem__, new), "i8", len(new))
+        return out
 
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first edge of each character, and past the last), and each edge's source, length and piece."""
@@ -282,12 +286,18 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+@lru_cache(maxsize=1)
+def lattices(path: str, alpha: float) -> Lattices:
+    """Kept by a worker from task to task: most units of a text have been met before."""
+    return Lattices(vocabulary(path), alpha)
+
+
 class Sampler:
     """Draws up to k distinct segmentations of each text of a batch; the k-th round walks the k-th path of all texts."""
 
     def __init__(self, path: str, k: int, alpha: float):
         self.vocab, self.k = vocabulary(path), k
-        self.lat = Lattices(self.vocab, alpha)
+        self.lat = lattices(path, alpha)
 
     def batch(self, texts: list[str], seeds: np.ndarray) -> list[list[tuple[float, float, float, np.ndarray]]]:
         """For each text its samples (value, log-probability, log-inclusion, ids), best value first."""
@@ -320,15 +330,17 @@ class Sampler:
             at_unit -= np.repeat(at_unit[off[size > 0]], size[size > 0])
             paths.append({"edges": edges, "off": off, "unit": at_unit})
             self._beside(r, edges, off, size, fresh, before, value, seeds, heap)
+            u = _uniform(seeds, 2000 + r, keep)
             for i in todo:
                 if turn[i] >= 0:
-                    self._same_place(r, i, int(off[i] + keep[i]), int(keep[i]), turn[i], barred[i], before, value, seeds, heap)
+                    self._same_place(r, i, int(off[i] + keep[i]), int(keep[i]), turn[i], barred[i], before, value, u[i], heap)
             live = np.zeros(d, bool)
+            u = _uniform(seeds, 3001 + r)
             for i in todo if r + 1 < self.k else []:
                 if heap[i]:
                     heap[i].sort(key=lambda x: x[0])
                     value[i], parent[i], keep[i], barred[i] = heap[i].pop()
-                    turn[i] = self._turn(paths[parent[i]]["edges"][paths[parent[i]]["off"][i] + keep[i]], barred[i], seeds[i], r + 1)
+                    turn[i] = self._turn(paths[parent[i]]["edges"][paths[parent[i]]["off"][i] + keep[i]], barred[i], u[i])
                     live[i] = True
         out = []
         for i in range(d):
@@ -370,11 +382,13 @@ class Sampler:
 
     def _beside(self, r, edges, off, size, fresh, before, value, seeds, heap):
         """The sets beside the fresh steps of the new paths; of each document the k + 1 best suffice."""
-        pos = np.arange(len(edges)) - np.repeat(off, size)
-        owner = np.repeat(np.arange(len(size)), size)
+        new = size - np.where(size > 0, fresh, 0)
+        at = _ranges(off + size - new, new)  # the fresh steps of all documents
+        owner = np.repeat(np.arange(len(size)), new)
+        pos = at - off[owner]
+        cut = np.concatenate([[0], np.cumsum(new)])
         with np.errstate(divide="ignore"):
-            mass = before + np.log1p(-self.lat.p[edges])
-        mass[pos < np.repeat(fresh, size)] = -np.inf
+            mass = before[at] + np.log1p(-self.lat.p[edges[at]])
 
         def values(where):
             u = _uniform(seeds[owner[where]], 1000 + r, pos[where])
@@ -385,24 +399,23 @@ class Sampler:
         for i in np.flatnonzero(size).tolist():
             got = best.get(i, [])
             if len(got) <= self.k or got[self.k][0] < FLOOR + REACH:  # what lies below the floor could matter
-                own = off[i] + np.flatnonzero(np.isfinite(mass[off[i] : off[i] + size[i]]))
+                own = cut[i] + np.flatnonzero(np.isfinite(mass[cut[i] : cut[i + 1]]))
                 got = self._largest(own, owner[own], values(own)).get(i, []) if len(own) > len(got) else got
-            heap[i] += [(v, r, int(pos[e]), (int(edges[e]),)) for v, e in got]
+            heap[i] += [(v, r, int(pos[e]), (int(edges[at[e]]),)) for v, e in got]
 
-    def _same_place(self, r, i, e, at, turn, barred, before, value, seeds, heap):
+    def _same_place(self, r, i, e, at, turn, barred, before, value, u, heap):
         """The set with the same prefix as the turn, but neither its edge nor those barred before."""
         barred = (*barred, int(turn))
         rest = self.lat.edges_beside(turn, barred)
         if rest:
             mass = before[e] + np.log(self.lat.p[rest].sum())
-            u = _uniform(seeds[i : i + 1], 2000 + r, at)[0]
             heap[i].append((float(-np.logaddexp(-value[i], np.log(-np.log(u)) - mass)), r, at, barred))
 
-    def _turn(self, edge, barred, seed, r) -> int:
-        """An edge beside ``edge`` that is not barred, drawn by its probability."""
+    def _turn(self, edge, barred, u) -> int:
+        """An edge beside ``edge`` that is not barred, drawn by its probability with the uniform number ``u``."""
         rest = self.lat.edges_beside(edge, barred)
         c = np.cumsum(self.lat.p[rest])
-        return rest[min(int(np.searchsorted(c, c[-1] * _uniform(np.array([seed]), 3000 + r)[0], side="right")), len(rest) - 1)]
+        return rest[min(int(np.searchsorted(c, c[-1] * u, side="right")), len(rest) - 1)]
 
     def _largest(self, where, owner, vals) -> dict[int, list[tuple[float, int]]]:
         order = np.lexsort((-vals, owner))
@@ -424,16 +437,20 @@ def decode_ids(vocab: Vocabulary, ids) -> str:
 
 def _exact(vocab: Vocabulary, texts: list[str], drawn: list[list[tuple]]) -> list[bool]:
     """Whether all samples of each text spell its very bytes."""
-    out = []
-    for t, samples in zip(texts, drawn, strict=True):
-        want = np.frombuffer((" " + t).encode("utf-8", "replace") if t else b"", "u1")
-        sure = True
-        for *_, ids in samples:
-            at = vocab.bytes_at[ids]
-            got = vocab.bytes[_ranges(at, vocab.bytes_at[ids + 1] - at)]
-            sure &= len(got) == len(want) and bool((got == want).all())
-        out.append(sure)
-    return out
+    want = [(" " + t).encode("utf-8", "replace") if t else b"" for t in texts]
+    k = [len(x) for x in drawn]
+    ids = np.concatenate([np.zeros(0, "i4"), *(x[3] for samples in drawn for x in samples)])
+    at = vocab.bytes_at[ids]
+    size = vocab.bytes_at[ids + 1] - at
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(x[3]) for samples in drawn for x in samples])]).astype("i8")]
+    same = np.diff(ends) == np.repeat([len(w) for w in want], k)
+    if same.all():  # all lengths agree, so that the bytes of all samples can be compared in place
+        wrong = np.concatenate([[0], np.cumsum(vocab.bytes[_ranges(at, size)] != np.frombuffer(b"".join(w * n for w, n in zip(want, k, strict=True)), "u1"))])
+        same = wrong[ends[1:]] == wrong[ends[:-1]]
+    else:
+        same = same & [b"".join(map(vocab.raw.__getitem__, x[3])) == w for w, samples in zip(want, drawn, strict=True) for x in samples]
+    cut = np.concatenate([[0], np.cumsum(k)]).tolist()
+    return [bool(same[a:b].all()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _sample(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float, seed: int, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
