@@ -209,6 +209,18 @@ def test_ordering_across_blocks(spark, monkeypatch):
     assert [r.p for r in again] == [None] + [r.start_line for r in left[:-1]]
 
 
+def test_gap_rows_across_blocks(spark, monkeypatch):
+    """Gaps and row numbers in one pass are those of the two passes; blocks end at gaps, and some are empty."""
+    monkeypatch.setattr(ordering, "BLOCK", 4)
+    times = [0, 1, 50, 51, 90, 91, 92, 150, 151, 152, 153, 154, 199, 200, 260]
+    t = "\n".join(f"2019-06-27T12:{x // 60:02d}:{x % 60:02d}Z m{x}" + "\n  more" * (x % 3) for x in times)
+    e = entries(spark, t).where("seq not in (5, 6, 7, 8)")
+    one = {r.seq: (r.gap_text, r._end) for r in timeline.with_gap_rows(e, 30_000).collect()}
+    n = F.size("lines") + F.col("gap_ms").isNotNull().cast("int")
+    two = {r.seq: (r.gap_text, r._end) for r in ordering.with_running_sums(timeline.with_gaps(e, 30_000), {"_end": n}).collect()}
+    assert one == two and sum(g is not None for g, _ in one.values()) == 4
+
+
 def test_layout_across_blocks(spark, monkeypatch):
     """Runs that end with, cross and fill blocks, over numbers with holes."""
     monkeypatch.setattr(ordering, "BLOCK", 5)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions.masks import HOST, TIMESTAMP, mask_copy, mask_hosts, mask_message
 from timberline.functions.timestamps import display_time
 from timberline.operators.ordering import with_running_sums
-from timberline.operators.timeline import groups, laid_out, with_gaps
+from timberline.operators.timeline import groups, laid_out, with_gap_rows
 from timberline.options import COPY_MASK, Display, Mask
 from timberline.sources.storage import staged
 
@@ -46,7 +46,8 @@ def with_parts(entries: DataFrame, d: Display, severity_width: int) -> DataFrame
 
 def _rows(df: DataFrame, texts: Column) -> DataFrame:
     """(row_no, text, source) from an array of (text, line) per entry; the numbers come from sums over entries."""
-    df = with_running_sums(df.withColumn("_rows", texts), {"_end": F.size("_rows")})
+    df = df.withColumn("_rows", texts)
+    df = df if "_end" in df.columns else with_running_sums(df, {"_end": F.size("_rows")})
     df = df.select("seq", "file_index", (F.col("_end") - F.size("_rows")).alias("_start"), F.posexplode("_rows").alias("_i", "_r"))
     source = F.when(F.col("_r.line").isNotNull(), F.struct(F.col("file_index"), F.col("_r.line").alias("line")))
     return df.select((F.col("_start") + F.col("_i") + 1).alias("row_no"), F.col("_r.text").alias("text"), source.alias("source"))
@@ -74,7 +75,7 @@ def _with_gap(rows: Column, prefix: Column) -> Column:
 def normalized(entries: DataFrame, d: Display = Display()) -> DataFrame:
     """One file: line number, time, severity, message; a row for each gap."""
     w = widths(entries)
-    df = with_parts(with_gaps(entries, d.gap_threshold_ms), d, w["severity"])
+    df = with_parts(with_gap_rows(entries, d.gap_threshold_ms), d, w["severity"])
     rows = _entry_rows(gutter(F.col("start_line"), w["gutter"]), lambda i: gutter(F.col("start_line") + i, w["gutter"]))
     return _rows(df, _with_gap(rows, gutter(F.lit(GAP_LABEL), w["gutter"])))
 
@@ -82,7 +83,7 @@ def normalized(entries: DataFrame, d: Display = Display()) -> DataFrame:
 def merged(entries: DataFrame, d: Display = Display()) -> DataFrame:
     """Several files: name and kind before each header, blanks before other rows."""
     w = widths(entries)
-    df = with_parts(with_gaps(entries, d.gap_threshold_ms), d, w["severity"])
+    df = with_parts(with_gap_rows(entries, d.gap_threshold_ms), d, w["severity"])
     blank = F.lit(" " * w["file"] + BAR + " " * w["kind"] + BAR)
     prefix = F.concat(pad(F.col("file_name"), w["file"]), F.lit(BAR), pad(F.col("kind"), w["kind"]), F.lit(BAR))
     return _rows(df, _with_gap(_entry_rows(prefix, lambda i: blank), blank))
