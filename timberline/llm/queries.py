@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from timberline.llm.chat_format import op2_chat_format
+from timberline.llm.conversation_repair import op12_conversation_repair
 from timberline.llm.decontamination import op8_decontamination
 from timberline.llm.language_id import op4_language_id
 from timberline.llm.line_dedup import op1_line_dedup
@@ -27,4 +28,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op12_conversation_repair": op12_conversation_repair,
 }
