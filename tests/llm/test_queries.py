@@ -16,7 +16,7 @@ def test_query(spark, name):
     assert got
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "conversations", "embeddings"):
+        for t in ("documents", "benchmark", "conversations", "embeddings", "pages"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         r = con.execute(ORACLES[name])
         names = [c[0] for c in r.description]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from timberline.llm.chat_format import OP2_SQL
 from timberline.llm.conversation_repair import OP12_SQL
 from timberline.llm.quality_rules import METRICS
+from timberline.llm.url_filters import OP11_SQL
 from timberline.llm.vector_codes import OP13_SQL
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -69,4 +70,4 @@ SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
 FROM d JOIN reach USING (r) JOIN d o ON o.r = reach.c LEFT JOIN n ON n.r = d.r GROUP BY d.r
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_decontamination": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_ngram_join": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_vector_codes": OP13_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_decontamination": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_url_filters": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_vector_codes": OP13_SQL}

@@ -14,6 +14,7 @@ from timberline.llm.piece_sampling import op3_piece_sampling
 from timberline.llm.quality_classifier import op7_quality_classifier
 from timberline.llm.quality_rules import op9_quality_rules
 from timberline.llm.toxicity import op6_toxicity
+from timberline.llm.url_filters import op11_url_filters
 from timberline.llm.vector_codes import op13_vector_codes
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_url_filters": op11_url_filters,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
