@@ -12,7 +12,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timberline.functions.patterns import compile_python
+from timberline.functions.patterns import SPACE_CLASS, compile_python
 from timberline.options import ParseOptions
 
 DAY_MS, YEAR_MIN, YEAR_MAX = 86_400_000, 100, 275_760
@@ -31,7 +31,7 @@ SHAPES = {
     "iso8601": ISO,
     "slash-date": rf"(?P<y>[0-9]{{4}})/(?P<mo>[0-9]{{1,2}})/(?P<d>[0-9]{{1,2}})[T ](?P<h>[0-9]{{1,2}}):(?P<mi>[0-9]{{2}}):(?P<s>[0-9]{{2}}){FRACTION}",
     "apache-access-log": rf"\[(?P<d>[0-9]{{2}})/(?P<mon>[A-Za-z]{{3}})/(?P<y>[0-9]{{4}}):{CLOCK}(?: (?P<tzs>[+-])(?P<tzh>[0-9]{{2}})(?P<tzm>[0-9]{{2}}))?\]",
-    "syslog": rf"(?P<mon>[A-Za-z]{{3}})\s+(?P<d>[0-9]{{1,2}})\s{CLOCK}",
+    "syslog": rf"(?P<mon>[A-Za-z]{{3}})[{SPACE_CLASS}]+(?P<d>[0-9]{{1,2}})[{SPACE_CLASS}]{CLOCK}",
     "epoch": r"(?:(?P<epochMs>[0-9]{13})|(?P<epochSec>[0-9]{10})(?:[.,](?P<ms>[0-9]{1,9}))?)(?![0-9])",
 }
 

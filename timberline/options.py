@@ -39,13 +39,18 @@ class HighlightRule:
 
 @dataclass(frozen=True)
 class ParseOptions:
-    """reference_time_ms dates log lines without a year; set it for repeatable results."""
+    """reference_time_ms dates log lines without a year; set it for repeatable results.
+
+    json_lines = False takes the log to hold text alone: a line that starts with a brace is not looked at as a JSON record,
+    and no line leaves the JVM.
+    """
 
     formats: tuple[TimestampFormat, ...] = ()
     severity_tokens: tuple[str, ...] = ()
     source_offset_min: int = 0
     assumed_year: int | None = None
     reference_time_ms: int = 1_735_689_600_000
+    json_lines: bool = True
 
 
 @dataclass(frozen=True)

@@ -32,6 +32,9 @@ def _chosen(*choices):
     return out
 
 
+TEXT = ParseOptions(reference_time_ms=1_735_603_200_000, json_lines=False)
+
+
 def _found(spark, sf_dir, line, options: ParseOptions = ParseOptions(reference_time_ms=1_735_603_200_000)) -> DataFrame:
     """What each event's line is recognised as, line by line."""
     lines = log.events(spark, sf_dir).select("file_index", "line_no", line.alias("line"))
@@ -92,7 +95,7 @@ def parse_leading_fields(spark, sf_dir):
         F.lit("10.1.2.3 - bob "), F.lit("a=1 b=2 c=3 d=4 "), F.lit("k=" + "v" * 62 + " "), F.lit("k=1 " + "m" * 58 + "=2 [a] "),
     )
     stamp = F.when(F.col("event_id") % 8 == 4, log.stamp("bracketed")).otherwise(stamp)
-    return _found(spark, sf_dir, _text(head, stamp, tail)).drop("timestamp_format")
+    return _found(spark, sf_dir, _text(head, stamp, tail), TEXT).drop("timestamp_format")
 
 
 @query("parse_validation", f"{E} SELECT line_no, CASE event_id % 8 WHEN 0 THEN ms - 20700000 WHEN 1 THEN ms + 12600000 WHEN 2 THEN ms - 32400000 WHEN 3 THEN ms END AS timestamp_ms FROM e")
@@ -100,13 +103,13 @@ def parse_validation(spark, sf_dir):
     """Written offsets in all spellings; offsets, days, months and clocks that do not exist are no timestamps."""
     iso, t = log.stamp("local"), F.col("text")
     line = _chosen(_text(iso, "+05:45 x"), _text(iso, "-0330 x"), _text(iso, "+09 x"), _text(iso, "z x"), _text(iso, "+14:01 x"), _text("2024-02-30T", t.substr(12, 8), " x"), _text("2024-13-01T", t.substr(12, 8), " x"), _text(t.substr(1, 10), "T24:00:00 x"))
-    return _found(spark, sf_dir, line).select("line_no", "timestamp_ms")
+    return _found(spark, sf_dir, line, TEXT).select("line_no", "timestamp_ms")
 
 
 @query("parse_syslog_year", f"""{E} SELECT line_no, CASE WHEN {SECOND} > 1705276800000 + 86400000 THEN epoch_ms(date_trunc('second', ts) - INTERVAL 1 YEAR) ELSE {SECOND} END AS timestamp_ms FROM e""")
 def parse_syslog_year(spark, sf_dir):
     """Lines without a year, read on 2024-01-15: what would lie more than a day ahead is of the year before."""
-    return _found(spark, sf_dir, _text(log.stamp("syslog"), " h x"), ParseOptions(reference_time_ms=1_705_276_800_000)).select("line_no", "timestamp_ms")
+    return _found(spark, sf_dir, _text(log.stamp("syslog"), " h x"), ParseOptions(reference_time_ms=1_705_276_800_000, json_lines=False)).select("line_no", "timestamp_ms")
 
 
 @query("clock_skew", f"{E} SELECT line_no AS start_line, file_name, ms + CASE file_index WHEN 1 THEN 1500 WHEN 2 THEN -250 ELSE 0 END AS timestamp_ms, iso || 'Z' AS raw_timestamp FROM e")

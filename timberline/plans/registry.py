@@ -6,6 +6,8 @@ the same columns from the table itself. Only integers, texts and booleans are co
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def query(name: str, sql: str | None = None):
 
 def single(spark: SparkSession, sf_dir: str, fmt: str = "iso", **kw) -> DataFrame:
     """Parsed entries of all events, as one file."""
-    return log.with_names(parse_lines(log.lines(spark, sf_dir, fmt, **kw), REFERENCE))
+    options = replace(REFERENCE, json_lines=fmt in ("jsonl", "mixed"))  # the others are text alone
+    return log.with_names(parse_lines(log.lines(spark, sf_dir, fmt, **kw), options))
 
 
 def one_file(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
