@@ -10,7 +10,7 @@ from timberline.functions import masks
 from timberline.functions.patterns import PatternError, compile_python, java_source
 from timberline.operators import filters, highlight, infer, ordering, render, timeline
 from timberline.operators.parse import parse_files
-from timberline.options import Display, Mask
+from timberline.options import Criteria, Display, Mask
 from timberline.plans.session import LogSession, compare, copy_masked
 from timberline.settings import CriteriaForm, compile_clock_skews, compile_criteria, compile_file_offsets, compile_highlights, resolve, severity_tokens, updated_severities
 from timberline.sources import storage
@@ -155,7 +155,7 @@ def test_highlights(spark):
     rows = spark.createDataFrame([("pipe leak found, pipe shut",), ("🛠 LEAK",), ("dry",)], "text string")
     got = {r.text: [tuple(x) for x in r.ranges] for r in highlight.highlights(rows, rules).collect()}
     assert got == {"pipe leak found, pipe shut": [(5, 9, "green"), (17, 26, "purple")], "🛠 LEAK": [(3, 7, "green")]}
-    assert highlight.ranges("a" * 40 + "b", [(regex.compile("(a|aa)+$"), "red")], 0.05) == []
+    assert highlight.ranges("a" * 40 + "b", [(regex.compile("(a|aa)+$"), "red")], 0.05) == ([], "timeout")
 
 
 def test_criteria_forms():
@@ -237,3 +237,63 @@ def test_layout_across_blocks(spark, monkeypatch):
 def test_gap_text(spark):
     got = spark.createDataFrame([(30_000,), (30_049,), (30_050,), (61_234,)], "ms long").select(timeline.gap_text(F.col("ms"))).collect()
     assert [r[0] for r in got] == ["30s gap", "30s gap", "30.1s gap", "61.2s gap"]
+
+
+SAFE = {r"did (view|click)$": True, r"user [0-9]*5\b": True, "a.*b.*c": True, "(ab)+": True, "(?:x{3})y": True, r"\(a+\)": True, "[(]+": True, r"(?<k>\d+) x": True, "(a+)?b": True,
+        "(a|aa)+$": False, "(a+)+b": False, "(a*)*": False, "a*b*c*": False, r"(\w)\1": False, "(?=x)y": False, "(?<!x)y": False, "(a|b){2,}": False, "(?:a?){9}": False, "()+": False, r"(?<a>x)\k<a>": False, "((ab)+c)+": False, "a{1,500}b{2,9}c+": False}
+
+
+@pytest.mark.parametrize(("pattern", "safe"), SAFE.items())
+def test_what_runs_without_a_limit(pattern, safe):
+    from timberline.functions.patterns import checked
+
+    assert bool(checked(pattern, "im").java) == safe
+
+
+@pytest.mark.parametrize(("pattern", "flags", "literal"), [("(a|b)+ did view", "", " did view"), ("x|yy", "", ""), (r"ab\.cd*e", "", "ab.c"), ("(long one)+ab", "", "ab"), ("Disk", "i", "D"), ("naïve", "i", "na"), (r"\d+", "", ""), ("a?bc", "", "bc"), ("a{2}bc", "", "bc"), ("[abc]{2}", "", "")])
+def test_what_every_match_holds(pattern, flags, literal):
+    from timberline.functions.patterns import checked, required_literal
+
+    assert required_literal(pattern, "i" in flags) == literal
+    assert not literal or checked(pattern, flags).literal == literal
+
+
+def test_patterns_on_the_jvm_and_under_a_limit_agree(spark):
+    """The same rows from both engines, over texts with other alphabets and line ends."""
+    import regex
+
+    from timberline.functions.patterns import checked
+
+    texts = ["user 15 did view", "USER 5\nuser 25", "a\u2028user 5", "x5 é5 5é", "Kelvin \u212a", "ſtop", "a.b", "ab", "", "a\rb$", "tab\tuser 5 ", "日本 5", "\ufeffuser 5", "a b", None]
+    patterns = [r"user [0-9]*5\b", "^user 5$", r"\s\d", "kelvin k", "STOP", "a.b", r"[^\s]5", "a$", "(?:us|x)er? ?5", "É5", r"\bé", "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for p in patterns:
+        p = checked(p, "im")
+        assert p.java
+        want = {i for i, t in enumerate(texts) if t is not None and regex.search(str(p), t)}
+        found = df.where(filters.found_in(F.col("t"), (p,)))
+        assert {r.i for r in found.collect()} == want, p
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.i for r in df.where(filters.found_in(F.col("t"), (str(p),))).collect()} == want, p
+
+
+def test_fallback_of_a_view(spark):
+    """A pattern that fails drops match and ignore alike, but only where an entry that is otherwise kept shows it."""
+    from timberline.operators import ordering
+    from timberline.operators.parse import parse_files
+    from timberline.plans.session import View
+
+    text = "2019-06-27T12:34:56Z ERROR one\n2019-06-27T12:34:57Z WARN " + "a" * 60 + "b\n2019-06-27T12:34:58Z ERROR two\n"
+    log = ordering.by_line(parse_files(from_texts(spark, [("a.log", text)])))
+    view = lambda **kw: View(log, False, compile_criteria(CriteriaForm(**kw))[0], limit_s=0.1)
+    shown = lambda v: sorted(r.message[:3].strip() for r in v.shown().collect())
+    slow = ((r"(a|aa)+$", True),)
+    v = view(match=(("one", True),), ignore=slow)
+    assert shown(v) == ["one"] and v.filter_failure() is None  # what match leaves out is not searched
+    v = view(ignore=slow)
+    assert shown(v) == ["aaa", "one", "two"] and v.filter_failure() == "timeout"
+    assert {r.failure for r in v.payload()["filter_failure"].collect()} == {"timeout"}
+    v = view(severities=("ERROR",), match=(("two", True), *slow))
+    assert shown(v) == ["two"] and v.filter_failure() is None and v.payload()["filter_failure"].count() == 0
+    v = View(log, False, Criteria(match=("(",)), limit_s=0.1)
+    assert shown(v) == ["aaa", "one", "two"] and v.filter_failure() == "error"

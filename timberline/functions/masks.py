@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timberline.functions.patterns import LIMIT_S, compile_python, user_patterns
+from timberline.functions.patterns import LIMIT_S, compile_python, user_patterns, within
 from timberline.options import Mask
 from timberline.settings import key_mask_pattern
 
@@ -96,7 +96,7 @@ def mask_keys(text: Column, keys: str) -> Column:
 def mask_patterns(text: Column, patterns: tuple[str, ...], limit_s: float = LIMIT_S) -> Column:
     """A struct (text, failure): all matches of the users' own patterns (Python sources) masked, line by line.
 
-    A literal replacement keeps backslashes plain. Where a pattern takes longer than ``limit_s`` on a text, or is none,
+    A literal replacement keeps backslashes plain. Where a pattern takes longer than ``limit_s`` on a text (see ``within``), or is none,
     the text stays as it was and ``failure`` says why: timeout or error.
     """
 
@@ -110,7 +110,7 @@ def mask_patterns(text: Column, patterns: tuple[str, ...], limit_s: float = LIMI
         def one(t):
             lines = t.split("\n")
             for p in compiled:
-                lines = [p.sub(lambda m: MASKED if m[0] else "", x, timeout=limit_s) for x in lines]
+                lines = [within(limit_s, lambda limit, p=p, x=x: p.sub(lambda m: MASKED if m[0] else "", x, timeout=limit)) for x in lines]
             return "\n".join(lines)
 
         out = []

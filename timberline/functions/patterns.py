@@ -110,7 +110,103 @@ def user_patterns(sources) -> list:
     """Users' patterns (Python sources), compiled by an engine whose searches can be given up after a time."""
     import regex
 
-    return [regex.compile(s) for s in sources]
+    return [regex.compile(str(s)) for s in sources]
+
+
+def within(limit_s: float, search):
+    """The result of ``search`` (of a time limit). One given up is tried once more with four times the limit, so that a
+    pause of the machine is not taken for a slow pattern; the second time it raises TimeoutError."""
+    try:
+        return search(limit_s)
+    except TimeoutError:
+        return search(4 * limit_s)
+
+
+class UserPattern(str):
+    """A user's pattern, as Python source. ``java`` is the same for the JVM, where it is safe there (see ``java_safe``);
+    ``literal`` a text that every match holds, in any case of its letters if ``caseless``."""
+
+    java: str | None = None
+    literal: str = ""
+    caseless: bool = False
+
+
+def checked(pattern: str, flags: str = "") -> UserPattern:
+    """A user's pattern; PatternError where it is none."""
+    out = UserPattern(compile_python(pattern, flags).pattern)
+    out.literal, out.caseless = required_literal(pattern, "i" in flags), "i" in flags
+    if java_safe(pattern):
+        try:
+            out.java = java_source(pattern, flags)
+        except PatternError:  # a group's name that Java does not allow
+            pass
+    return out
+
+
+#: Repeats of open length that a pattern may have on the JVM: each adds a factor of the line's length to the worst case.
+MAX_OPEN = 2
+TOKEN = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\k<[^>]*>|\\.|\[(?:\\.|[^\]\\])*\]|\(\?(?:[:=!]|<[=!]|<[^>]*>)|[*+?]\??|\{[0-9]+(?:,[0-9]*)?\}\??|.", re.S)
+
+
+def _tokens(pattern: str) -> list[str]:
+    return TOKEN.findall(pattern)
+
+
+def _quantifier(token: str) -> bool:
+    return token[0] in "*+?" or bool(re.match(r"\{[0-9]", token)) and token.rstrip("?")[-1] == "}"
+
+
+def java_safe(pattern: str) -> bool:
+    """Whether an engine without a time limit may search for a pattern: its worst case is a small power of the text's length.
+
+    It has no back reference and no look-around, repeats no group that holds a repeat, a choice or nothing, and has at most
+    MAX_OPEN repeats of open length.
+    """
+    loose, opened = [False], 0  # of each open group: whether it must not be repeated
+    tokens = _tokens(pattern)
+    for i, t in enumerate(tokens):
+        follows = tokens[i + 1] if i + 1 < len(tokens) else ""
+        if t.startswith("(?") and t not in ("(?:",) and not re.fullmatch(r"\(\?<[^=!].*>", t) or re.fullmatch(r"\\(?:[1-9]|k.*)", t, re.S):
+            return False
+        if t.startswith("("):
+            loose.append(follows == ")")
+        elif t == ")":
+            if len(loose) == 1:
+                return False
+            inner = loose.pop()
+            again = _quantifier(follows) and follows[0] != "?" if follows else False
+            if again and inner:
+                return False
+            loose[-1] = loose[-1] or inner or bool(follows and _quantifier(follows))
+        elif t == "|":
+            loose[-1] = True
+        elif _quantifier(t):
+            loose[-1] = True
+            m = re.match(r"\{([0-9]+)(,?)([0-9]*)\}", t)
+            opened += t[0] in "*+" or bool(m and m[2] and m[3] != m[1])
+    return len(loose) == 1 and opened <= MAX_OPEN
+
+
+def required_literal(pattern: str, caseless: bool) -> str:
+    """The longest run of plain characters that stands in every match, outside groups and choices; empty if there is none.
+
+    Without regard to case only characters count that have two cases at most.
+    """
+    best = now = ""
+    depth, tokens = 0, _tokens(pattern)
+    for i, t in enumerate(tokens):
+        follows = tokens[i + 1] if i + 1 < len(tokens) else ""
+        plain = t[1] if len(t) == 2 and t[0] == "\\" and not t[1].isalnum() else t if len(t) == 1 and t not in "^$.|()[]*+?{}\\" else ""
+        if t == "|" and not depth:
+            return ""
+        depth += t.startswith("(") - (t == ")")
+        fits = plain and not depth and (not caseless or plain.isascii() and plain not in "iIkKsS")
+        if fits and not (follows and _quantifier(follows)):
+            now += plain
+            best = max(best, now, key=len)
+        else:
+            now = ""
+    return best
 
 
 def java_source(pattern: str, flags: str = "") -> str:

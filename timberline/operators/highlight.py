@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.patterns import LIMIT_S, user_patterns
+from timberline.functions.patterns import LIMIT_S, user_patterns, within
 from timberline.options import HighlightRule
 
 RANGES = "array<struct<start:int,end:int,color:string>>"
@@ -17,15 +17,15 @@ def utf16(text: str, at: int) -> int:
     return at + sum(c > "￿" for c in text[:at])
 
 
-def ranges(text: str, rules: list[tuple], limit_s: float = LIMIT_S) -> list[tuple[int, int, str]]:
-    """Non-empty matches of all rules (pattern, color); of two that overlap the earlier rule's stays.
+def ranges(text: str, rules: list[tuple], limit_s: float = LIMIT_S) -> tuple[list[tuple[int, int, str]], str | None]:
+    """(ranges, failure): non-empty matches of all rules (pattern, color); of two that overlap the earlier rule's stays.
 
-    A text on which a pattern takes longer than ``limit_s`` is shown without highlights.
+    A text on which a pattern takes longer than ``limit_s`` (see ``within``) has no ranges, and failure is ``timeout``.
     """
     try:
-        return _ranges(text, rules, limit_s)
+        return within(limit_s, lambda limit: _ranges(text, rules, limit)), None
     except TimeoutError:
-        return []
+        return [], "timeout"
 
 
 def _ranges(text: str, rules: list[tuple], limit_s: float) -> list[tuple[int, int, str]]:
@@ -38,13 +38,20 @@ def _ranges(text: str, rules: list[tuple], limit_s: float) -> list[tuple[int, in
     return [(utf16(text, a), utf16(text, b), c) for a, b, c in sorted(taken)]
 
 
-def highlights(rows: DataFrame, rules: list[HighlightRule]) -> DataFrame:
-    """(text, ranges) for each distinct text with a highlight; join back by text."""
+def highlights(rows: DataFrame, rules: list[HighlightRule], limit_s: float = LIMIT_S) -> DataFrame:
+    """(text, ranges, failure) for each distinct text with a highlight, or on which highlighting failed; join back by text.
 
-    @F.pandas_udf(RANGES)
-    def run(s: pd.Series) -> pd.Series:
-        compiled = list(zip(user_patterns(r.pattern for r in rules), (r.color for r in rules), strict=True))
-        return s.map(lambda t: [{"start": a, "end": b, "color": c} for a, b, c in ranges(t, compiled)])
+    failure is null, ``timeout``, or ``error`` for every text where a rule's pattern is none.
+    """
+
+    @F.pandas_udf(f"ranges {RANGES}, failure string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        try:
+            compiled = list(zip(user_patterns(r.pattern for r in rules), (r.color for r in rules), strict=True))
+        except Exception:
+            return pd.DataFrame({"ranges": [[] for _ in s], "failure": "error"})
+        found = [ranges(t, compiled, limit_s) for t in s]
+        return pd.DataFrame({"ranges": [[{"start": a, "end": b, "color": c} for a, b, c in r] for r, _ in found], "failure": pd.Series([f for _, f in found], dtype=object)})
 
     texts = rows.select("text").where(F.col("text").isNotNull()).distinct()
-    return texts.withColumn("ranges", run("text")).where(F.size("ranges") > 0)
+    return texts.withColumn("_h", run("text")).select("text", "_h.ranges", "_h.failure").where((F.size("ranges") > 0) | F.col("failure").isNotNull())

@@ -183,7 +183,44 @@ def pattern_time_limit(spark, sf_dir):
     """A pattern that never ends on some messages leaves these unmasked, and says so."""
     message = F.when(F.col("event_id") % 1000 == 1, "a" * 40 + "b").otherwise("aaa")
     e = single(spark, sf_dir, message=message)
-    return e.select("start_line", masks.mask_patterns(F.col("message"), ("(a|aa)+$",), 0.05).alias("m")).select("start_line", "m.failure", "m.text")
+    return e.select("start_line", masks.mask_patterns(F.col("message"), ("(a|aa)+$",), 0.2).alias("m")).select("start_line", "m.failure", "m.text")
+
+
+#: Every 5,000th message is one that the pattern never ends on; the pattern asks for a time limit wherever it runs.
+ENDLESS = r"(a|aa)+$"
+
+
+def _slow():
+    return F.when(F.col("event_id") % 5000 == 1, "a" * 60 + "b").otherwise(log.body())
+
+
+def _limited_view(spark, sf_dir, form: CriteriaForm, message, **kw) -> View:
+    criteria, errors = compile_criteria(form)
+    assert not errors
+    return View(ordering.by_time(single(spark, sf_dir, message=message)), True, criteria, limit_s=0.2, **kw)
+
+
+@query("filter_fallback", f"""{E} SELECT row_number() OVER (ORDER BY ms, file_index, line_no) AS row_no, line_no AS source_line, 'timeout' AS failure FROM e WHERE severity IN ('WARN', 'NOTICE') AND
+    (SELECT count(*) FROM e WHERE event_id % 5000 = 1 AND severity IN ('WARN', 'NOTICE')) > 0 UNION ALL SELECT row_number() OVER (ORDER BY ms, file_index, line_no), line_no, NULL FROM e WHERE severity IN ('WARN', 'NOTICE') AND user_id <> 7 AND (SELECT count(*) FROM e WHERE event_id % 5000 = 1 AND severity IN ('WARN', 'NOTICE')) = 0""")
+def filter_fallback(spark, sf_dir):
+    """An ignore pattern that never ends on an entry that the other criteria keep: the view shows what these keep, and says why."""
+    v = _limited_view(spark, sf_dir, CriteriaForm(severities=("WARN", "NOTICE"), ignore=((ENDLESS, True), (r"user 7\b", True))), _slow(), display=Display(gap_threshold_ms=0))
+    return v.rows().select("row_no", F.col("source.line").cast("bigint").alias("source_line"), F.lit(v.filter_failure()).cast("string").alias("failure"))
+
+
+@query("filter_timed", f"{E} SELECT line_no AS start_line, CAST(NULL AS VARCHAR) AS failure FROM e WHERE (user_id % 10 = 5 OR event_type = 'view') AND event_type <> 'signup'")
+def filter_timed(spark, sf_dir):
+    """Patterns that need a time limit, and hold: what safe ones beside them decide never reaches the limited engine."""
+    v = _limited_view(spark, sf_dir, CriteriaForm(match=((r"user (?:\d|\d\d)*5 did", True), ("did view$", True)), ignore=((r"(?:[st]ig|x)+nup", True),)), log.body())
+    return v.shown().select("start_line", F.lit(v.filter_failure()).cast("string").alias("failure"))
+
+
+@query("highlight_failure", f"{E} SELECT text, max(failure) AS failure, CAST(max(n) AS INTEGER) AS n FROM (SELECT CASE WHEN event_id % 5000 = 1 THEN repeat('a', 60) || 'b' ELSE message END AS text, CASE WHEN event_id % 5000 = 1 THEN 'timeout' END AS failure, CASE WHEN event_id % 5000 = 1 THEN 0 ELSE 1 END AS n FROM e) GROUP BY text")
+def highlight_failure(spark, sf_dir):
+    """Texts on which a rule never ends have no highlights, and say so; all others have theirs."""
+    rules, _ = compile_highlights([{"pattern": ENDLESS}, {"pattern": r"did \w+"}])
+    h = highlight.highlights(single(spark, sf_dir, message=_slow()).select(F.col("message").alias("text")), rules, 0.2)
+    return h.select("text", "failure", F.size("ranges").alias("n"))
 
 
 @query("mask_failure", f"{E} SELECT 'error' AS failure, count(*) AS n FROM e")

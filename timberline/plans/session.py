@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.masks import mask_keys, mask_patterns
+from timberline.functions.patterns import LIMIT_S
 from timberline.operators import assess, filters, ordering, render, timeline
 from timberline.operators.parse import parse_files
 from timberline.options import Criteria, Display, ParseOptions
@@ -19,7 +20,8 @@ from timberline.sources.storage import staged
 class View:
     """Numbered entries under criteria, masks and display options. Each view starts from all entries.
 
-    Rows are lazy. What folds repeats is made from the view's laid-out entries, which are written once, when first
+    Rows are lazy, unless a match or ignore pattern needs a time limit: then they are written, and if it fails on any entry
+    the view is shown without these patterns and :meth:`filter_failure` says why. What folds repeats is made from the view's laid-out entries, which are written once, when first
     asked for; so a whole redraw (:meth:`payload`) writes one table, and further results of the view none.
     """
 
@@ -29,15 +31,26 @@ class View:
     display: Display = Display()
     mask_key_names: str = ""
     mask_pattern_sources: tuple[str, ...] = ()
+    limit_s: float = LIMIT_S
     _made: dict = field(default_factory=dict, repr=False, compare=False)
 
     def with_criteria(self, criteria: Criteria) -> View:
         return replace(self, criteria=criteria, _made={})
 
+    def filtered(self) -> tuple[DataFrame, str | None]:
+        """The entries that meet the criteria, and why match and ignore were left out, if a pattern failed."""
+        if "filtered" not in self._made:
+            self._made["filtered"] = filters.with_fallback(self.entries, self.criteria, self.limit_s)
+        return self._made["filtered"]
+
+    def filter_failure(self) -> str | None:
+        """``timeout`` or ``error`` where the view is shown without match and ignore patterns, else None."""
+        return self.filtered()[1]
+
     def shown(self) -> DataFrame:
         """Filtered, then masked entries in order: filters see unmasked text. mask_failure says where a mask failed."""
-        e = filters.apply(self.entries, self.criteria)
-        masked = mask_patterns(mask_keys(F.col("message"), self.mask_key_names), self.mask_pattern_sources)
+        e = self.filtered()[0]
+        masked = mask_patterns(mask_keys(F.col("message"), self.mask_key_names), self.mask_pattern_sources, self.limit_s)
         e = e.withColumn("_masked", masked)
         return e.withColumns({"message": F.col("_masked.text"), "mask_failure": F.col("_masked.failure")}).drop("_masked")
 
@@ -76,6 +89,7 @@ class View:
             "rows": render.limit_rows(self.rows(), self.display.max_lines),
             "items": self.items(),
             "mask_failures": self.mask_failures(),
+            "filter_failure": self.entries.sparkSession.range(1).select(F.lit(self.filter_failure()).cast("string").alias("failure")).where("failure IS NOT NULL"),
         }
 
     def write_text(self, path: str, collapsed: bool = False) -> None:

@@ -7,7 +7,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from timberline.functions.patterns import PatternError, compile_python, escape
+from timberline.functions.patterns import PatternError, checked, compile_python, escape
 from timberline.functions.timestamps import date_boundary, parse_offset
 from timberline.options import Criteria, HighlightRule, Rule, SettingsError, TimestampFormat
 
@@ -127,13 +127,13 @@ class CriteriaForm:
 
 
 def compile_patterns(rows, flags: str = "im") -> tuple[tuple[str, ...], list[SettingsError]]:
-    """Python sources of the enabled, non-blank rows, without blanks around them."""
+    """The patterns of the enabled, non-blank rows, without blanks around them."""
     good, bad = [], []
     for i, (text, enabled) in enumerate(rows):
         if not enabled or not text.strip():
             continue
         try:
-            good.append(compile_python(text.strip(), flags).pattern)
+            good.append(checked(text.strip(), flags))
         except PatternError as e:
             bad.append(SettingsError("invalidRegexProperty", i, str(e)))
     return tuple(good), bad
