@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +15,12 @@ from timberline.operators import filters, highlight, infer, ordering, render
 from timberline.operators.parse import parse_files, parse_lines, recognize_lines
 from timberline.options import Criteria, Display, Mask, ParseOptions, Rule, TimestampFormat
 from timberline.plans import rendered as log
-from timberline.plans.registry import GAP, RUNS, SECOND, SUFFIX, E, query, single
+from timberline.plans.registry import GAP, REFERENCE, RUNS, SECOND, SUFFIX, E, query, single
 from timberline.plans.session import LogSession, View
 from timberline.settings import CriteriaForm, compile_criteria, compile_formats, compile_highlights, updated_severities
 from timberline.sources import files as source
 from timberline.sources.storage import shared_dir
+from timberline.streaming import entries
 
 
 def _text(*parts):
@@ -355,3 +358,35 @@ def filter_prompted(spark, sf_dir):
     form = CriteriaForm(start=" 2024-01-05 10:00 ", end="2024-01-06 09:59", match=(("  user \\d*5\\b ", True), ("x(", False)), ignore=((" DID view  ", True), ("  ", True)))
     criteria, errors = compile_criteria(form, zone="Europe/Berlin")
     return filters.apply(single(spark, sf_dir), criteria).select("start_line").where(F.lit(not errors))
+
+
+#: Line numbers of one piece of a growing log; every other cut parts an entry.
+PIECE = 4002
+
+
+@query("stream_entries", f"""{E} SELECT file_index, ms AS timestamp_ms, severity, CAST(event_id % 3 + 1 AS INTEGER) AS n_lines,
+    message || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '  at frame 1' ELSE chr(10) || '  at frame 1' || chr(10) || '  at frame 2' END AS message FROM e""")
+def stream_entries(spark, sf_dir):
+    """Entries of logs that arrive in pieces: half of them, then, after a restart from the checkpoint, the others."""
+    base = f"{shared_dir(spark)}/timberline/stream-{uuid.uuid4().hex}"
+    lines = log.with_continuations(log.lines(spark, sf_dir)).withColumn("piece", F.floor(F.col("line_no") / PIECE))
+    last = lines.agg(F.max("piece")).first()[0] or 0
+    silence = spark.createDataFrame([(9, 0, 0, "the others are silent")], "file_index int, piece int, line_no int, line string")
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", entries.PROVIDER), _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+        for new in (lines.where(F.col("piece") <= last // 2), lines.where(F.col("piece") > last // 2), silence):
+            named = new.select(F.col("file_index").alias("log"), F.format_string("%012d", F.col("piece").cast("bigint")).alias("piece"), "line_no", "line")
+            named.repartition("log", "piece").sortWithinPartitions("log", "piece", "line_no").select("log", "piece", "line").write.mode("append").partitionBy("log", "piece").text(f"{base}/in")
+            e = entries.entry_stream(entries.read_pieces(spark, f"{base}/in", "log=([0-9]+)"), replace(REFERENCE, json_lines=False), idle_ms=1)
+            e.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("log").cast("int").alias("file_index"), "timestamp_ms", "severity", F.size("lines").alias("n_lines"), "message")
+
+
+@contextmanager
+def _setting(spark, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
