@@ -186,3 +186,30 @@ def test_encodings(spark, tmp_path):
     assert read_files(spark, [str(tmp_path / "y")], "ShiftJIS").first().text == "日誌"
     with pytest.warns(UserWarning, match="cp437"):
         assert read_files(spark, [str(tmp_path / "y")], "cp437").first().text != "日誌"
+
+
+TEXT = "".join(f"2019-06-27T12:34:56Z żółw №{i} 日誌ア{'x' * (i % 40)}\r\n  et cætera\n" for i in range(200))
+#: In one order of bytes or the other these look like a line feed between their units.
+SPLIT = "ਅĀ਀Ā Āਊ\u0a00\u0100\n"
+
+
+@pytest.mark.parametrize("encoding", ["utf16le", "utf16be", "shiftjis", "eucjp", "gb18030", "cp950", "euckr", "windows1250", "iso2022jp", "koi8r"])
+@pytest.mark.parametrize("tail", ["", "\r\n", "\r", "\n\n", "odd"])
+def test_encoded_files_are_cut_in_blocks(spark, tmp_path, encoding, tail):
+    """Many small splits give the lines of the whole text, with marks, all line ends and bytes that are none."""
+    from timberline.sources.files import codec_of, open_files
+
+    codec = codec_of(encoding)
+    wide = encoding.startswith("utf16")
+    body = ("\ufeff" if wide else "") + TEXT + ("one\rtwo\r\rthree" if tail != "odd" else "") + (tail if tail != "odd" else "")
+    data = body.encode(codec, "replace") + (b"\x41" if tail == "odd" else b"") + (SPLIT.encode(codec) + b"" if wide and tail == "\n\n" else b"")
+    (tmp_path / "a.log").write_bytes(data)
+    (tmp_path / "b.log").write_bytes("plain\n".encode(codec))
+    (tmp_path / "c.log").write_bytes(b"")
+    paths = [str(tmp_path / n) for n in ("a.log", "b.log", "c.log")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = sorted((r.file_index, r.line_no, r.line) for r in open_files(spark, paths, encoding)[1].collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((r.file_index, r.line_no, r.line) for r in split_lines(read_files(spark, paths, encoding)).collect())

@@ -135,7 +135,7 @@ def source_offset_again(spark, sf_dir):
 
 def _log_files(spark, sf_dir, encoding: str = "UTF-8") -> list[str]:
     """The events as text files, sorted, each with two lines more for every event of a click."""
-    lines = log.lines(spark, sf_dir).where("file_index = 0").repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    lines = log.lines(spark, sf_dir).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
     more = F.when(F.col("line").contains("click"), F.array("line", F.lit("" if encoding == "UTF-8" else "-"), F.lit("  more"))).otherwise(F.array("line"))
     path = f"{shared_dir(spark)}/timberline/log-files-{uuid.uuid4().hex}"
     lines = lines.select(F.explode(more))
@@ -146,8 +146,8 @@ def _log_files(spark, sf_dir, encoding: str = "UTF-8") -> list[str]:
     return sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect())
 
 
-OPENED = f"""{E}, f AS (SELECT * FROM e WHERE file_index = 0) SELECT ms AS timestamp_ms, severity, message || CASE WHEN event_type = 'click' THEN chr(10) || chr(10) || '  more' ELSE '' END AS message,
-    CAST(CASE WHEN event_type = 'click' THEN 3 ELSE 1 END AS INTEGER) AS n_lines FROM f"""
+OPENED = f"""{E} SELECT ms AS timestamp_ms, severity, message || CASE WHEN event_type = 'click' THEN chr(10) || chr(10) || '  more' ELSE '' END AS message,
+    CAST(CASE WHEN event_type = 'click' THEN 3 ELSE 1 END AS INTEGER) AS n_lines FROM e"""
 
 
 def _entries(session: LogSession) -> DataFrame:
@@ -165,7 +165,10 @@ def open_files(spark, sf_dir):
 
 @query("open_encoded_files", OPENED.replace("chr(10) || chr(10)", "chr(10) || '-' || chr(10)"))
 def open_encoded_files(spark, sf_dir):
-    return _entries(LogSession(spark).open(_log_files(spark, sf_dir, "UTF-16LE"), "utf16le"))
+    """Files of two bytes a unit, each read in several splits."""
+    paths = _log_files(spark, sf_dir, "UTF-16LE")
+    with _setting(spark, "spark.sql.files.maxPartitionBytes", "64k"):
+        return _entries(LogSession(spark).open(paths, "utf16le"))  # parsed and written here
 
 
 @query("decode_documents", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")

@@ -108,12 +108,10 @@ class LogSession:
         self._log: DataFrame | None = None
 
     def open(self, paths: list[str], encoding: str = "utf8") -> LogSession:
-        """Opens files, of any size where they are UTF-8; folders among the paths are left out."""
+        """Opens files of any size; folders among the paths are left out."""
         paths = source.without_folders(self.spark, source.select_new(paths, []))
-        if source.ENCODINGS.get(encoding.lower()) == "utf-8":
-            files, lines = source.open_files(self.spark, paths)
-            return self._set(files, len(paths), lines)
-        return self._set(source.read_files(self.spark, paths, encoding), len(paths))
+        files, lines = source.open_files(self.spark, paths, encoding)
+        return self._set(files, len(paths), lines)
 
     def open_texts(self, texts: list[tuple[str, str]]) -> LogSession:
         return self._set(source.from_texts(self.spark, texts), len(texts))

@@ -70,11 +70,13 @@ def codec_of(encoding: str) -> str:
     return found or "utf-8"
 
 
+def _text_of(content: Column, codec: str) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda b: None if b is None else bytes(b).decode(codec, "replace")), "string")(content)
+
+
 def decoded(content: Column, encoding: str = "utf8") -> Column:
     """Text of bytes, without a leading byte order mark; bad bytes become replacement characters."""
-    name = codec_of(encoding)
-    replace = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else bytes(b).decode(name, "replace")), "string")
-    return F.regexp_replace(replace(content), "^\ufeff", "")
+    return F.regexp_replace(_text_of(content, codec_of(encoding)), "^\ufeff", "")
 
 
 def _status(spark: SparkSession, path: str):
@@ -88,15 +90,16 @@ def without_folders(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if not _status(spark, p)[2].isDirectory()]
 
 
-def _ends_open(spark: SparkSession, path: str) -> bool:
-    """Whether a file's last byte is a line end, so that an empty line follows it. One byte is read."""
+def _ends_open(spark: SparkSession, path: str, codec: str = "utf-8") -> bool:
+    """Whether a file's last character is a line end, so that an empty line follows it. One character is read."""
     fs, p, status = _status(spark, path)
-    if not status.getLen():
+    size = 2 if codec in WIDE else 1
+    if status.getLen() < size:
         return False
     f = fs.open(p)
     try:
-        f.seek(status.getLen() - 1)
-        return f.read() in (10, 13)
+        f.seek(status.getLen() - size)
+        return bytes(f.read() for _ in range(size)).decode(codec, "replace") in ("\n", "\r")
     finally:
         f.close()
 
@@ -134,24 +137,78 @@ def split_lines(files: DataFrame) -> DataFrame:
     return files.where(F.col("text") != "").select("file_index", F.posexplode(F.split("text", LINE_ENDS, -1)).alias("_i", "line")).select("file_index", (F.col("_i") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def open_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(files, lines) of UTF-8 files of any size: (file_index, file_name, path) and (file_index, line_no, line).
+#: Two bytes a unit, so that a byte of a line feed may be part of another character.
+WIDE = {"utf-16-le": "\n\x00", "utf-16-be": "\x00\n"}
+#: Shifts that last until they are undone: such texts are decoded whole.
+SHIFTING = ("iso2022_jp",)
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
 
-    Files are read in blocks by Spark's line reader, so that a large one is no single row or task. Lines are numbered by
-    the counts of the blocks before and the place within the block. As with whole texts, a final line end leaves an
-    empty line, and an empty file has none.
+def _byte_lines(spark: SparkSession, paths: list[str], codec: str) -> DataFrame:
+    """(_path, _block, bytes): the files cut at line feeds by Spark's reader, which does not look at the bytes between."""
+    reader = spark.read.option("lineSep", WIDE[codec]) if codec in WIDE else spark.read
+    return reader.text(paths).select(_plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"))
+
+
+def _misaligned(spark: SparkSession, paths: list[str], codec: str) -> set[str]:
+    """Of files of two bytes a unit those where a cut may lie within a unit.
+
+    The first line of a file starts at a unit, and each line where the one before ended, block after block. So if all lines
+    have an even length every cut is between units; and a cut within a unit leaves a line of odd length before it.
     """
-    named = [(i, p.rstrip("/").rsplit("/", 1)[-1], p, _ends_open(spark, p)) for i, p in enumerate(paths)]
+    odd = _byte_lines(spark, paths, codec).where(F.octet_length("value") % 2 == 1).select("_path").distinct().collect()
+    found = {r["_path"] for r in odd}
+    return {p for p in paths if re.sub("^file:/+", "/", p) in found}
+
+
+def _cut_lines(spark: SparkSession, paths: list[str], codec: str) -> DataFrame:
+    """(_path, _block, _id, line) with ids that ascend within a block."""
+    raw = _byte_lines(spark, paths, codec)
+    if codec == "utf-8":
+        raw = raw.select("_path", "_block", F.make_valid_utf8("value").alias("line"))
+    elif codec not in WIDE:
+        raw = raw.select("_path", "_block", _text_of(F.col("value").cast("binary"), codec).alias("line"))
+    else:  # Spark cut at line feeds alone
+        text = F.regexp_replace(_text_of(F.col("value").cast("binary"), codec), "\r\\z", "")
+        raw = raw.select("_path", "_block", F.explode(F.split(text, "\r", -1)).alias("line"))
+    return raw.withColumn("_id", F.monotonically_increasing_id())
+
+
+def open_files(spark: SparkSession, paths: list[str], encoding: str = "utf8") -> tuple[DataFrame, DataFrame]:
+    """(files, lines) of files of any size: (file_index, file_name, path) and (file_index, line_no, line).
+
+    Files are read in blocks by Spark's line reader, so that a large one is no single row or task. It cuts at the bytes of
+    line ends, which in all encodings of one byte, and in those of more that keep ASCII apart, are nothing else; each line
+    is then decoded by itself. UTF-16 is cut at its own line feeds, after a pass that finds files where a cut falls within
+    a unit; these alone, and encodings with lasting shifts, are read whole. In UTF-16 lines that only carriage returns end
+    come in one row of the reader.
+
+    Lines are numbered by the counts of the blocks before and the place within the block. As with whole texts, a final line
+    end leaves an empty line, and an empty file has none.
+    """
+    codec = codec_of(encoding)
+    named = [(i, p.rstrip("/").rsplit("/", 1)[-1], p, _ends_open(spark, p, codec)) for i, p in enumerate(paths)]
     files = spark.createDataFrame(named, "file_index int, file_name string, path string, open boolean")
-    if not paths:
-        return files.drop("open"), spark.createDataFrame([], "file_index int, line_no bigint, line string")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    order = F.broadcast(files.select("file_index", plain(F.col("path")).alias("_path"), "open"))  # a row for each chosen path
-    raw = spark.read.text(paths).select(plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.make_valid_utf8("value").alias("line"))
-    blocks = raw.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    along = Window.partitionBy("_path").orderBy("_block")
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lines = raw.join(blocks.select("_path", "_block", "_first", "_before"), ["_path", "_block"]).join(order, "_path")
-    lines = lines.select("file_index", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
-    last = blocks.groupBy("_path").agg(F.sum("_n").alias("_n")).join(order, "_path").where("open").select("file_index", (F.col("_n") + 1).alias("line_no"), F.lit("").alias("line"))
-    return files.drop("open"), lines.unionByName(last)
+    none = spark.createDataFrame([], "file_index int, line_no bigint, line string")
+    whole = set(paths) if codec in SHIFTING else _misaligned(spark, paths, codec) if codec in WIDE and paths else set()
+    cut = [p for p in paths if p not in whole]
+    order = F.broadcast(files.select("file_index", _plain(F.col("path")).alias("_path"), "open"))  # a row for each chosen path
+    lines = none
+    if cut:
+        raw = _cut_lines(spark, cut, codec)
+        blocks = raw.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+        along = Window.partitionBy("_path").orderBy("_block")
+        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        lines = raw.join(blocks.select("_path", "_block", "_first", "_before"), ["_path", "_block"]).join(order, "_path")
+        lines = lines.select("file_index", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+        if codec != "utf-8":  # the line reader knows that mark alone
+            lines = lines.withColumn("line", F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+        last = blocks.groupBy("_path").agg(F.sum("_n").alias("_n")).join(order, "_path").where("open").select("file_index", (F.col("_n") + 1).alias("line_no"), F.lit("").alias("line"))
+        lines = lines.unionByName(last)
+    if whole:
+        texts = read_files(spark, sorted(whole), encoding).drop("file_index").withColumn("_path", _plain(F.col("path"))).join(order, "_path")
+        lines = lines.unionByName(split_lines(texts))
+    return files.drop("open"), lines
