@@ -160,6 +160,26 @@ def test_custom_formats():
     assert r.line("27 числа 6 месяца 2019, 12:34:56 NOTICE да", 0)[:3] == (NOON, "27 числа 6 месяца 2019, 12:34:56", "ru")
 
 
+def test_formats_with_a_function(spark):
+    """The function is called once a batch; what it refuses goes to the next format or field, its offset is the source's."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from timberline.functions.recognize import recognized
+    from timberline.options import TimestampFormat
+
+    def hours(m):
+        n = m["n"].astype(int)
+        return pd.Series([x * 3_600_000 - o * 60_000 if x % 2 == 0 and len(m) > 3 else None for x, o in zip(n, m["offset_min"], strict=True)], dtype="Int64")
+
+    own = (TimestampFormat("hours", r"h(?P<n>[0-9]+)", hours), TimestampFormat("odd", r"h(?P<epochMs>[0-9]*[13579])"))
+    lines = ["h2 WARN a", "h3 b", "h4", "k=1 h6 c", "[h8] h10 d", "x h2", '{"ts":"h12","msg":"e"}', "h2500000002", None]
+    df = spark.createDataFrame([(i, x, 60 * (i % 2)) for i, x in enumerate(lines)], "i int, line string, off int").coalesce(1)
+    got = [(r.r.ms, r.r.format, r.r.message) for r in df.withColumn("r", recognized(F.col("line"), F.col("off"), ParseOptions(formats=own))).orderBy("i").collect()]
+    h = 3_600_000
+    assert got == [(2 * h, "hours", "a"), (3, "odd", "b"), (4 * h, "hours", ""), (5 * h, "hours", "k=1 c"), (10 * h, "hours", "[h8] d"), (None, None, None), (12 * h, "json-lines", "e"), (25, "odd", "00000002"), (None, None, None)]
+
+
 def test_files_of_any_size_and_folders(spark, tmp_path):
     from timberline.plans.session import LogSession
 

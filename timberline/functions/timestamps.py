@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,19 +136,39 @@ def instant(groups: dict[str, str | None], source_offset_min: int, options: Pars
 class Matcher:
     name: str
     match: Callable[[str, int], re.Match | None]
+    instants: Callable[[pd.DataFrame], pd.Series] | None = None
 
 
 def matchers(options: ParseOptions) -> list[Matcher]:
     """Custom formats first, then the built-in ones, the most ambiguous last."""
-    own = [Matcher(f.name, compile_python(f"(?:{f.pattern})").match) for f in options.formats]
+    own = [Matcher(f.name, compile_python(f"(?:{f.pattern})").match, f.instants) for f in options.formats]
     return own + [Matcher(n, re.compile(p, re.ASCII).match) for n, p in SHAPES.items()]
 
 
-def recognize_at(line: str, at: int, formats: list[Matcher], offset: int, options: ParseOptions) -> tuple[str, re.Match, int] | None:
-    """The first format that matches at a place and names a real instant."""
-    for f in formats:
-        if (m := f.match(line, at)) and (ms := instant(m.groupdict(), offset, options)) is not None:
-            return f.name, m, ms
+def instants_of(texts: list[tuple[str, int]], formats: list[Matcher], places: Callable[[str], list[int]]) -> dict[tuple, int]:
+    """What the formats' own functions make of (text, offset_min) pairs, at all places where they may match: each function
+    is called once. Keys are (number of the format, text, place, offset_min)."""
+    out = {}
+    for i, f in enumerate(formats):
+        if f.instants is None:
+            continue
+        keys = [((i, t, at, offset), m) for t, offset in dict.fromkeys(texts) for at in places(t) if (m := f.match(t, at))]
+        if not keys:
+            continue
+        found = f.instants(pd.DataFrame([m.groupdict() | {"text": m[0], "offset_min": k[3]} for k, m in keys]))
+        for (k, _), ms in zip(keys, found.reindex(range(len(keys))), strict=True):
+            if not pd.isna(ms) and (ms := _clipped(ms)) is not None:
+                out[k] = ms
+    return out
+
+
+def recognize_at(line: str, at: int, formats: list[Matcher], offset: int, options: ParseOptions, known: dict[tuple, int] | None = None) -> tuple[str, re.Match, int] | None:
+    """The first format that matches at a place and names a real instant; ``known`` are those of ``instants_of``."""
+    for i, f in enumerate(formats):
+        if m := f.match(line, at):
+            ms = instant(m.groupdict(), offset, options) if f.instants is None else (known or {}).get((i, line, at, offset))
+            if ms is not None:
+                return f.name, m, ms
     return None
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
+
 
 @dataclass(frozen=True)
 class SettingsError:
@@ -16,10 +19,17 @@ class SettingsError:
 
 @dataclass(frozen=True)
 class TimestampFormat:
-    """A named pattern; its groups y mo d h mi s (ms tzz tzs tzh tzm) or epochMs / epochSec (ms) give the instant."""
+    """A named pattern; its groups y mo d h mi s (ms tzz tzs tzh tzm) or epochMs / epochSec (ms) give the instant.
+
+    Or ``instants`` does, for what groups cannot say: it gets a DataFrame with a row for each match, the groups as texts
+    (None where one took no part) beside ``text``, all of the match, and ``offset_min``, the source's offset. It returns
+    a Series of milliseconds since 1970 by the same index; a missing one refuses the match, so that the next format or field
+    is tried. It is called once a batch of lines and must not depend on what else is in the batch.
+    """
 
     name: str
     pattern: str
+    instants: Callable[[pd.DataFrame], pd.Series] | None = None
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ import uuid
 from contextlib import contextmanager
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,24 @@ def parse_custom_odd(spark, sf_dir):
     return _found(spark, sf_dir, line, options)
 
 
+def ordinal_instants(m: pd.DataFrame) -> pd.Series:
+    """Milliseconds of year, day of the year and clock; a day that the year lacks is none."""
+    day = pd.to_datetime(m["y"] + m["doy"], format="%Y%j", errors="coerce")
+    ms = (day - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1) + pd.to_timedelta(m["clock"]) // pd.Timedelta(milliseconds=1) - m["offset_min"] * 60_000
+    return ms.where(day.dt.year == m["y"].astype(int))
+
+
+@query("parse_format_function", f"""{E} SELECT line_no, CASE event_id % 4 WHEN 3 THEN NULL ELSE {SECOND} - 3600000 END AS timestamp_ms, CASE event_id % 4 WHEN 1 THEN 'json-lines' WHEN 3 THEN NULL ELSE 'ordinal' END AS timestamp_format,
+    CASE WHEN event_id % 4 <> 3 THEN severity END AS severity, CASE event_id % 4 WHEN 0 THEN message WHEN 1 THEN 'x' WHEN 2 THEN 'k=v ' || message END AS message FROM e""")
+def parse_format_function(spark, sf_dir):
+    """A format with a function of its own: days of the year, at a source offset; a day that does not exist is refused."""
+    t, day = F.col("text"), F.lpad(F.dayofyear("ts").cast("string"), 3, "0")
+    y, clock, tail = t.substr(1, 4), t.substr(12, 8), _text(" ", F.col("severity"), " ", log.body())
+    line = _chosen(_text(y, ".", day, "T", clock, tail), _text('{"ts":"', y, ".", day, "T", clock, '","level":"', F.col("severity"), '","msg":"x"}'), _text("k=v ", y, ".", day, "T", clock, tail), _text(y, ".367T", clock, tail))
+    own = TimestampFormat("ordinal", compile_python(r"(?<y>\d{4})\.(?<doy>\d{3})T(?<clock>\d{2}:\d{2}:\d{2})").pattern, ordinal_instants)
+    return _found(spark, sf_dir, line, ParseOptions(formats=(own,), source_offset_min=60))
+
+
 @query("parse_leading_fields", f"""{E} SELECT line_no, CASE WHEN event_id % 8 IN (5, 6, 7) THEN NULL ELSE ms END AS timestamp_ms, CASE WHEN event_id % 8 NOT IN (5, 6, 7) THEN severity END AS severity,
     CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN '[w-' || user_id || '] ' WHEN 2 THEN 'k=' || user_id || ' [x] ' WHEN 3 THEN 'a=1 b=2 c=3 ' WHEN 4 THEN '10.1.2.3 - bob ' END || message AS message
     FROM e""")
