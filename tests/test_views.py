@@ -297,3 +297,33 @@ def test_fallback_of_a_view(spark):
     assert shown(v) == ["two"] and v.filter_failure() is None and v.payload()["filter_failure"].count() == 0
     v = View(log, False, Criteria(match=("(",)), limit_s=0.1)
     assert shown(v) == ["aaa", "one", "two"] and v.filter_failure() == "error"
+
+
+def test_pages_read_only_their_blocks(spark, monkeypatch):
+    """Pages put together are all rows, gaps at the edges of blocks included; the scan gets the block's bounds."""
+    from timberline.plans.session import View
+
+    monkeypatch.setattr(ordering, "BLOCK", 5)
+    text = "".join(f"2019-06-27T12:{34 + i // 7}:{i % 7:02d}Z {'ERROR' if i % 3 else 'WARNING'} n{i}\n" + "  more\n" * (i % 4) for i in range(60))
+    log = ordering.by_line(parse_files(from_texts(spark, [("a.log", text)])))
+    v = View(log, False, display=Display(gap_threshold_ms=2000, max_lines=17))
+    rows = [(r.row_no, r.text, r.source) for r in v.rows().orderBy("row_no").collect()]
+    paged = [tuple(r) for a in range(1, len(rows) + 1, 13) for r in v.page(a, a + 12).orderBy("row_no").collect()]
+    assert paged == rows and len(rows) > 150
+    assert v.page(len(rows) + 1, len(rows) + 5).count() == v.page(-5, 0).count() == 0
+    assert [tuple(r) for r in v.first_rows().orderBy("row_no").collect()] == rows[:17]
+    plan = v.page(40, 41)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(seq), GreaterThanOrEqual(seq," in plan
+    files = spark.createDataFrame([(0, "a.log", "/a.log")], "file_index int, file_name string, path string")
+    for no, _, source in rows[30:36]:
+        assert [r.line for r in v.source_of(no, files).collect()] == ([source.line] if source else [])
+
+
+def test_sink_by_size(spark, tmp_path):
+    v = LogSession(spark).open_texts([("a.log", TRACE)]).view()
+    want = "\n".join(text(v.rows()))
+    assert v.text_or_files(str(tmp_path / "a")) == (want, len(want.encode()))
+    assert v.text_or_files(str(tmp_path / "b"), limit=10) == (None, len(want.encode()))
+    assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "b")).collect()) == want
+    none = LogSession(spark).open_texts([("a.log", "")]).view()
+    assert none.text_or_files(str(tmp_path / "c")) == ("", 0) and none.page(1, 9).count() == 0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from timberline.functions.masks import HOST, TIMESTAMP, mask_copy, mask_hosts, mask_message
 from timberline.functions.timestamps import display_time
-from timberline.operators.ordering import with_running_sums
-from timberline.operators.timeline import groups, laid_out, with_gap_rows
+from timberline.operators.ordering import block_of, with_running_sums
+from timberline.operators.timeline import groups, laid_out, with_gap_rows, with_gaps
 from timberline.options import COPY_MASK, Display, Mask
 from timberline.sources.storage import staged
 
@@ -25,11 +26,20 @@ def gutter(label: Column, width: int) -> Column:
     return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(label), F.lit(0))), label, F.lit(BAR))
 
 
+def measures(entries: DataFrame) -> list[Column]:
+    """Aggregates from which the widths of columns follow, and the number of lines; also for an Observation."""
+    timed = F.col("matched") & F.col("timestamp_ms").isNotNull()
+    named = lambda n: F.max(F.length(n)) if n in entries.columns else F.max(F.lit(0))
+    return [F.max(F.col("start_line") + F.size("lines") - 1).alias("line"), F.max(F.when(timed, F.length(F.coalesce("severity", F.lit(UNKNOWN))))).alias("severity"), named("file_name").alias("file"), named("kind").alias("kind"), F.sum(F.size("lines")).alias("lines")]
+
+
+def widths_of(measured: dict) -> dict[str, int]:
+    return {"gutter": len(str(measured["line"] or 0)), **{n: measured[n] or 0 for n in ("severity", "file", "kind")}}
+
+
 def widths(entries: DataFrame) -> dict[str, int]:
     """The widths of columns; one small row that every task needs."""
-    timed = F.col("matched") & F.col("timestamp_ms").isNotNull()
-    r = entries.agg(F.max(F.col("start_line") + F.size("lines") - 1).alias("line"), F.max(F.when(timed, F.length(F.coalesce("severity", F.lit(UNKNOWN))))).alias("severity"), F.max(F.length("file_name")).alias("file") if "file_name" in entries.columns else F.lit(0).alias("file"), F.max(F.length("kind")).alias("kind") if "kind" in entries.columns else F.lit(0).alias("kind")).first()
-    return {"gutter": len(str(r["line"] or 0)), "severity": r["severity"] or 0, "file": r["file"] or 0, "kind": r["kind"] or 0}
+    return widths_of(entries.agg(*measures(entries)).first().asDict())
 
 
 def shown_time(ms: Column, d: Display) -> Column:
@@ -72,17 +82,17 @@ def _with_gap(rows: Column, prefix: Column) -> Column:
     return F.when(F.col("gap_text").isNull(), rows).otherwise(F.concat(gap, rows))
 
 
-def normalized(entries: DataFrame, d: Display = Display()) -> DataFrame:
-    """One file: line number, time, severity, message; a row for each gap."""
-    w = widths(entries)
+def normalized(entries: DataFrame, d: Display = Display(), w: dict[str, int] | None = None) -> DataFrame:
+    """One file: line number, time, severity, message; a row for each gap. ``w``: the widths, where they are known."""
+    w = w or widths(entries)
     df = with_parts(with_gap_rows(entries, d.gap_threshold_ms), d, w["severity"])
     rows = _entry_rows(gutter(F.col("start_line"), w["gutter"]), lambda i: gutter(F.col("start_line") + i, w["gutter"]))
     return _rows(df, _with_gap(rows, gutter(F.lit(GAP_LABEL), w["gutter"])))
 
 
-def merged(entries: DataFrame, d: Display = Display()) -> DataFrame:
-    """Several files: name and kind before each header, blanks before other rows."""
-    w = widths(entries)
+def merged(entries: DataFrame, d: Display = Display(), w: dict[str, int] | None = None) -> DataFrame:
+    """Several files: name and kind before each header, blanks before other rows. ``w``: the widths, where they are known."""
+    w = w or widths(entries)
     df = with_parts(with_gap_rows(entries, d.gap_threshold_ms), d, w["severity"])
     blank = F.lit(" " * w["file"] + BAR + " " * w["kind"] + BAR)
     prefix = F.concat(pad(F.col("file_name"), w["file"]), F.lit(BAR), pad(F.col("kind"), w["kind"]), F.lit(BAR))
@@ -172,6 +182,17 @@ def limit_items(items: DataFrame, max_lines: int) -> DataFrame:
     return df.where(keep).withColumn("lines", cut).drop("_end")
 
 
+def row_index(laid_out: DataFrame, d: Display = Display()) -> DataFrame:
+    """(lo, hi, before, rows) of every block of laid-out entries: their numbers, the rows before and those of its own.
+
+    A small table; with it a row is found without rendering what stands before it.
+    """
+    df = with_gaps(laid_out, d.gap_threshold_ms).withColumn("_n", F.size(F.split("message", "\n", -1)) + F.col("gap_ms").isNotNull().cast("int"))
+    blocks = df.groupBy(block_of().alias("_block")).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.sum("_n").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.withColumn("before", before).select("lo", "hi", "before", "rows")
+
+
 def limit_rows(rows: DataFrame, max_lines: int) -> DataFrame:
     return rows if max_lines <= 0 else rows.where(F.col("row_no") <= max_lines)
 

@@ -305,6 +305,33 @@ def view_rows(spark, sf_dir):
     return _view(spark, sf_dir, c, display, mask_pattern_sources=("error|view",)).payload()["rows"].select("row_no", "text")
 
 
+ALL_ROWS = f"""{SHOWN}, g AS (SELECT *, ms - lag(ms) OVER (ORDER BY ms, file_index, line_no) AS gap FROM e),
+    r AS (SELECT ms AS t, file_index AS f, line_no AS place, 1 AS sub, {CELLS} || event_type AS text, line_no AS source_line FROM g UNION ALL SELECT ms, file_index, line_no, 0, repeat(' ', 18) || ' |     | ' || {GAP}, NULL FROM g WHERE gap >= 600000),
+    n AS (SELECT row_number() OVER (ORDER BY t, f, place, sub) AS row_no, text, source_line, f FROM r)"""
+
+
+@query("view_page", ALL_ROWS + " SELECT row_no, text, source_line FROM n WHERE row_no BETWEEN 301 AND 450")
+def view_page(spark, sf_dir):
+    """A page of rows: the index tells which entries to read."""
+    return _view(spark, sf_dir, ERRORS).page(301, 450).select("row_no", "text", F.col("source.line").alias("source_line"))
+
+
+@query("source_of_row", ALL_ROWS + " SELECT f AS file_index, 'f' || f AS file_name, '/logs/' || f AS path, source_line AS line FROM n WHERE row_no = 318 AND source_line IS NOT NULL")
+def source_of_row(spark, sf_dir):
+    """Where a shown row comes from, found through the index."""
+    files = spark.range(3).select(F.col("id").cast("int").alias("file_index"), _text("f", F.col("id")).alias("file_name"), _text("/logs/", F.col("id")).alias("path"))
+    return _view(spark, sf_dir, ERRORS).source_of(318, files)
+
+
+@query("view_sized_sink", ALL_ROWS + ", s AS (SELECT string_agg(text, chr(10) ORDER BY row_no) AS t FROM n) SELECT md5(t) AS small_md5, strlen(t) AS small_bytes, true AS large_in_files, strlen(t) AS large_bytes FROM s")
+def view_sized_sink(spark, sf_dir):
+    """A small result comes as a text, one beyond the limit stays in files."""
+    v, path = _view(spark, sf_dir, ERRORS), f"{shared_dir(spark)}/timberline/sink-{uuid.uuid4().hex}"
+    (small, n), (large, m) = v.text_or_files(f"{path}-a"), v.text_or_files(f"{path}-b", limit=1000)
+    read = spark.read.text(f"{path}-b").agg(F.sum(F.octet_length("value") + 1).alias("b"))
+    return read.select(F.md5(F.lit(small).cast("binary")).alias("small_md5"), F.lit(n).cast("bigint").alias("small_bytes"), F.lit(large is None).alias("large_in_files"), (F.col("b") - 1).alias("large_bytes"))
+
+
 SHOWN_RUNS = RUNS.replace("ORDER_BY", "ms, file_index, line_no").replace(E, SHOWN)
 SHOWN_FOLDED = SHOWN_RUNS + """, s AS (SELECT *, last_value(iso) OVER w AS last_iso, first_value(seq) OVER w AS first_seq FROM c WINDOW w AS (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
     m AS (SELECT run, count(DISTINCT file_index) AS files FROM c WHERE n >= 3 GROUP BY run),

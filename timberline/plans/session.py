@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.masks import mask_keys, mask_patterns
@@ -16,6 +16,10 @@ from timberline.sources import files as source
 from timberline.sources.storage import staged
 
 
+#: Fixed value: bytes from which a result goes to files.
+LARGE = 50 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class View:
     """Numbered entries under criteria, masks and display options. Each view starts from all entries.
@@ -55,13 +59,46 @@ class View:
         return e.withColumns({"message": F.col("_masked.text"), "mask_failure": F.col("_masked.failure")}).drop("_masked")
 
     def laid_out(self) -> DataFrame:
-        """The shown entries numbered without holes, with the time before and their run; written once."""
+        """The shown entries numbered without holes, with the time before and their run; written once.
+
+        The widths of columns and the number of lines are observed on the way, so that no later job asks for them.
+        """
         if "laid_out" not in self._made:
-            self._made["laid_out"] = staged(timeline.laid_out(self.shown(), self.display.mask), "laid-out")
+            seen, e = Observation(), timeline.laid_out(self.shown(), self.display.mask)
+            self._made["laid_out"] = staged(e.observe(seen, *render.measures(e)), "laid-out")
+            self._made["measured"] = seen.get
         return self._made["laid_out"]
 
+    def _rendered(self, entries: DataFrame) -> DataFrame:
+        measured = self._made.get("measured")
+        return (render.merged if self.several else render.normalized)(entries, self.display, render.widths_of(measured) if measured else None)
+
     def rows(self) -> DataFrame:
-        return (render.merged if self.several else render.normalized)(self._made.get("laid_out", self.shown()), self.display)
+        return self._rendered(self._made.get("laid_out", self.shown()))
+
+    def first_rows(self) -> DataFrame:
+        """The rows within the display's budget. No entry has less than one, so later entries are not read."""
+        n = self.display.max_lines
+        return self.rows() if n <= 0 else render.limit_rows(self._rendered(self.laid_out().where(F.col("seq") <= n)), n)
+
+    def row_index(self) -> DataFrame:
+        """Which entries hold which rows, block by block; written once."""
+        if "index" not in self._made:
+            self._made["index"] = staged(render.row_index(self.laid_out(), self.display), "row-index")
+        return self._made["index"]
+
+    def page(self, first: int, last: int) -> DataFrame:
+        """The rows from ``first`` to ``last``. Only the blocks of entries that hold them are read and rendered: their
+        numbers are bounds that reach the Parquet scan."""
+        inside = (F.col("before") < last) & (F.col("before") + F.col("rows") >= first)
+        at = self.row_index().where(inside).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before")).first()
+        entries = self.laid_out().where(F.col("seq").between(at["lo"] or 1, at["hi"] or 0))
+        rows = self._rendered(entries)
+        return rows.withColumn("row_no", F.col("row_no") + F.lit(at["before"] or 0)).where(F.col("row_no").between(first, last))
+
+    def source_of(self, row_no: int, files: DataFrame) -> DataFrame:
+        """(file_index, file_name, path, line) that a row shows; no row for generated ones."""
+        return render.resolve_source(self.page(row_no, row_no), files, row_no)
 
     def items(self) -> DataFrame:
         n = self.display.max_lines
@@ -86,7 +123,7 @@ class View:
         return {
             "severities": assess.distinct_severities(self.entries),
             "counts": assess.hidden_lines(self.entries, shown),
-            "rows": render.limit_rows(self.rows(), self.display.max_lines),
+            "rows": self.first_rows(),
             "items": self.items(),
             "mask_failures": self.mask_failures(),
             "filter_failure": self.entries.sparkSession.range(1).select(F.lit(self.filter_failure()).cast("string").alias("failure")).where("failure IS NOT NULL"),
@@ -96,6 +133,18 @@ class View:
         """The rows as text files, in order."""
         self.export(collapsed).orderBy("row_no").select("text").write.mode("overwrite").text(path)
 
+    def text_or_files(self, path: str, collapsed: bool = False, limit: int = LARGE) -> tuple[str | None, int]:
+        """(text, bytes): the rows as one text where it has less than ``limit`` bytes; else None, and they are in files at
+        ``path``. The rows are written once and measured on the way, so that only a small result comes to the driver."""
+        seen, rows = Observation(), self.export(collapsed).orderBy("row_no").select("text")
+        rows = rows.observe(seen, F.sum(F.octet_length("text") + 1).alias("bytes"))
+        rows.write.mode("overwrite").text(path)
+        size = max((seen.get["bytes"] or 0) - 1, 0)
+        if size >= limit:
+            return None, size
+        parts = self.entries.sparkSession.read.text(path, wholetext=True).select("value", "_metadata.file_path").collect()
+        return "".join(r["value"] for r in sorted(parts, key=lambda r: r["file_path"]))[:-1], size
+
 
 class LogSession:
     """Opened files with their settings. They are parsed, sorted and written once, whatever views follow."""
