@@ -136,13 +136,9 @@ def collapsed(entries: DataFrame, d: Display = Display()) -> DataFrame:
     return _rows(df, rows)
 
 
-def display_items(entries: DataFrame, d: Display = Display(), several_files: bool = False, max_lines: int = 0) -> DataFrame:
-    """(item_no, kind, text, lines, header_file_indices): a line for each row of single entries, a group for each run.
-
-    ``lines`` holds a group's rows (text, source) in order. A group over several files names the first one with
-    ", etc."; so does its kind where kinds differ. With ``max_lines`` only what :func:`limit_items` may show is built:
-    of longer groups no more rows than tell that they are too long.
-    """
+def _parts(entries: DataFrame, d: Display, several_files: bool, max_lines: int) -> tuple[DataFrame, Column, Column, Column]:
+    """Entries with their groups, _items (items up to and with theirs) and _spent (rows so far); and their rows, whether they
+    head a group, and the text of the header."""
     w = widths(entries)
     df = with_parts(with_groups(entries, d), d, w["severity"])
     mark = lambda c, many: F.when(F.col("is_group") & many, F.concat(c, F.lit(MORE))).otherwise(c)
@@ -160,14 +156,36 @@ def display_items(entries: DataFrame, d: Display = Display(), several_files: boo
     df = with_running_sums(df, {"_items": F.when(F.col("is_group"), heads.cast("int")).otherwise(n), "_spent": n + heads.cast("int")})
     df = df.where(F.col("_spent") - n <= max_lines + 1) if max_lines > 0 else df
     rows = F.transform(_entry_rows(first, further), lambda x: F.struct(x["text"].alias("text"), F.struct(F.col("file_index"), x["line"].alias("line")).alias("source")))
-    lines = df.where(~F.col("is_group")).select((F.col("_items") - n).alias("_before"), F.posexplode(rows).alias("_i", "_x"))
-    lines = lines.select((F.col("_before") + F.col("_i") + 1).alias("item_no"), F.lit("line").alias("kind"), F.col("_x.text").alias("text"), F.array("_x").alias("lines"), F.lit(None).cast("array<int>").alias("header_file_indices"))
-    header = F.when(heads, F.concat(head, F.col("_head"), F.col("_lines")[0], _suffix(d)))
+    return df, rows, heads, F.when(heads, F.concat(head, F.col("_head"), F.col("_lines")[0], _suffix(d)))
+
+
+def _single_lines(df: DataFrame, rows: Column) -> DataFrame:
+    """(item_no, _x) of the rows of entries outside groups."""
+    lines = df.where(~F.col("is_group")).select((F.col("_items") - F.size("_lines")).alias("_before"), F.posexplode(rows).alias("_i", "_x"))
+    return lines.select((F.col("_before") + F.col("_i") + 1).alias("item_no"), "_x")
+
+
+def display_items(entries: DataFrame, d: Display = Display(), several_files: bool = False, max_lines: int = 0) -> DataFrame:
+    """(item_no, kind, text, lines, header_file_indices): a line for each row of single entries, a group for each run.
+
+    ``lines`` holds a group's rows (text, source) in order. A group over several files names the first one with
+    ", etc."; so does its kind where kinds differ. With ``max_lines`` only what :func:`limit_items` may show is built:
+    of longer groups no more rows than tell that they are too long.
+    """
+    df, rows, _, header = _parts(entries, d, several_files, max_lines)
+    lines = _single_lines(df, rows).select("item_no", F.lit("line").alias("kind"), F.col("_x.text").alias("text"), F.array("_x").alias("lines"), F.lit(None).cast("array<int>").alias("header_file_indices"))
     g = df.where("is_group").select("_items", "seq", header.alias("_header"), "_files", rows.alias("_own")).groupBy(F.col("_items").alias("item_no"))
     g = g.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "_own"))), lambda x: x["_own"])).alias("lines"), F.max("_header").alias("text"), F.first("_files").alias("header_file_indices"))
     return lines.unionByName(g.withColumn("kind", F.lit("group")))
 
 
+def folded_rows(entries: DataFrame, d: Display = Display()) -> DataFrame:
+    """(row_no, text, source) of several files with runs folded, groups by their header alone; no group is gathered."""
+    df, rows, heads, header = _parts(entries, d, True, 0)
+    lines = _single_lines(df, rows).select(F.col("item_no").alias("row_no"), "_x.text", "_x.source")
+    return lines.unionByName(df.where(heads).select(F.col("_items").alias("row_no"), header.alias("text"), rows[0]["source"].alias("source")))
+
+
 def limit_items(items: DataFrame, max_lines: int) -> DataFrame:
     """Items from the first on, as long as they fit in whole; a group costs a row more than its lines.
 
@@ -197,11 +215,6 @@ def limit_rows(rows: DataFrame, max_lines: int) -> DataFrame:
     return rows if max_lines <= 0 else rows.where(F.col("row_no") <= max_lines)
 
 
-def headers(items: DataFrame) -> DataFrame:
-    """Items as rows of text, groups by their header alone."""
-    return items.select(F.col("item_no").alias("row_no"), "text", F.col("lines")[0]["source"].alias("source"))
-
-
 def compare_rows(entries: DataFrame) -> DataFrame:
     """Rows for a comparison: line number, no times, masked hosts, neither padding nor indents."""
     w = widths(entries)["gutter"]

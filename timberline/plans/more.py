@@ -17,7 +17,7 @@ from timberline.operators.parse import parse_files, parse_lines, recognize_lines
 from timberline.options import Criteria, Display, Mask, ParseOptions, Rule, TimestampFormat
 from timberline.plans import rendered as log
 from timberline.plans.registry import GAP, REFERENCE, RUNS, SECOND, SUFFIX, E, query, single
-from timberline.plans.session import LogSession, View
+from timberline.plans.session import LogSession, View, compare
 from timberline.settings import CriteriaForm, compile_criteria, compile_formats, compile_highlights, updated_severities
 from timberline.sources import files as source
 from timberline.sources.storage import shared_dir
@@ -409,6 +409,28 @@ def filter_prompted(spark, sf_dir):
     return filters.apply(single(spark, sf_dir), criteria).select("start_line").where(F.lit(not errors))
 
 
+def _nation_text(spark, sf_dir, keep=None) -> str:
+    """The nations as a log in memory, as an editor would hand it over."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = (n if keep is None else n.where(keep)).orderBy("n_nationkey").collect()
+    return "\n".join(f"2024-01-01T{r.n_nationkey // 60:02d}:{r.n_nationkey % 60:02d}:00Z INFO {r.n_name}\n  in region {r.n_regionkey}" for r in rows)
+
+
+@query("texts_in_memory", """SELECT CAST(0 AS INTEGER) AS file_index, row_number() OVER (ORDER BY n_nationkey) * 2 - 1 AS start_line, 1704067200000 + n_nationkey * 60000 AS timestamp_ms, 'INFO' AS severity,
+    n_name || chr(10) || '  in region ' || n_regionkey AS message FROM nation UNION ALL SELECT 1, 1, NULL, NULL, 'unsaved'""")
+def texts_in_memory(spark, sf_dir):
+    """Texts that are in no file."""
+    s = LogSession(spark).open_texts([("nations.log", _nation_text(spark, sf_dir)), ("other", "unsaved"), ("none", "")])
+    return s.entries().select("file_index", F.col("start_line").cast("bigint").alias("start_line"), "timestamp_ms", "severity", "message")
+
+
+@query("compare_texts", """SELECT 'left' AS side, '<TIMESTAMP> INFO ' || n_name AS text, CAST(1 AS BIGINT) AS n FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'left', '  in region 2', count(*) FROM nation WHERE n_regionkey = 2 HAVING count(*) > 0""")
+def compare_texts(spark, sf_dir):
+    """Two texts as comparable rows, and what one has more often than the other."""
+    left, right = compare(spark, _nation_text(spark, sf_dir), _nation_text(spark, sf_dir, "n_regionkey <> 2"))
+    return render.differences(left, right)
+
+
 #: Line numbers of one piece of a growing log; every other cut parts an entry.
 PIECE = 4002
 

@@ -115,7 +115,7 @@ class View:
             return self.rows()
         if not self.several:
             return render.collapsed(self.laid_out(), self.display)
-        return render.headers(render.display_items(self.laid_out(), self.display, True))
+        return render.folded_rows(self.laid_out(), self.display)
 
     def payload(self) -> dict[str, DataFrame]:
         """All parts of a redraw; severities and totals are those before any filter."""
