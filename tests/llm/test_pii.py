@@ -1,11 +1,14 @@
 import re
 import time
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from timberline.llm.pii import FEMALE, MALE, Contexts, alphabet, canonical, find, iban_valid, learn_contexts, luhn, op5_pii, permute, pseudonymize, replace, resolve_collisions, surrogate
+from timberline.llm.pii import FEMALE, MALE, Contexts, alphabet, canonical, find, iban_valid, keyed_id, learn_contexts, luhn, op5_pii, permute, pseudonymize, replace, resolve_collisions, surrogate, with_tweaks
 
 K, SF = b"k" * 32, "/root/testdata/sf0.001"
 
@@ -100,10 +103,69 @@ def test_collisions_over_the_corpus(spark):
     """Images that are far too few: tweaks spread them, the same for the whole corpus; where there is no room, an error."""
     e = spark.createDataFrame([("ssn", f"{x:03d}", f"{x:03d}") for x in range(40)], "kind string, entity string, spelled string")
     image = lambda kind, s, tweak: f"{(int(s) // 4 * 7 + tweak * 131 * (int(s) % 4 + 1)) % 997}"
-    tweaks = resolve_collisions(e, image)
-    assert len({image("ssn", f"{x:03d}", tweaks.get(("ssn", f"{x:03d}"), 0)) for x in range(40)}) == 40 and len(tweaks) >= 30
+    tweaks = {r.id: r.tweak for r in resolve_collisions(e, image, K).collect()}
+    assert len({image("ssn", f"{x:03d}", tweaks.get(keyed_id(K, "ssn", f"{x:03d}"), 0)) for x in range(40)}) == 40 and len(tweaks) >= 30
     with pytest.raises(RuntimeError):
-        resolve_collisions(e, lambda kind, s, tweak: "same", rounds=3)
+        resolve_collisions(e, lambda kind, s, tweak: "same", K, rounds=3)
+
+
+def test_tweaks_reach_their_texts(spark):
+    """Tweaks as a table: each text gets those of its own entities, in any spelling, and null texts none."""
+    rows = [(1, "mail A@x.com or b@x.com"), (2, "a@X.com"), (3, None), (4, "none"), (5, "a@X.com")]
+    d = spark.createDataFrame(rows, "doc_id long, _text string").withColumn("_rk", F.xxhash64("_text"))
+    ids = {s: keyed_id(K, "email", s) for s in ("a@x.com", "b@x.com", "c@x.com")}
+    tweaks = spark.createDataFrame([(ids["a@x.com"], 1), (ids["c@x.com"], 2)], "id string, tweak int")
+    got = {r.doc_id: r._tweaks for r in with_tweaks(d, tweaks, K, Contexts()).collect()}
+    assert got == {1: {ids["a@x.com"]: 1}, 2: {ids["a@x.com"]: 1}, 3: None, 4: None, 5: {ids["a@x.com"]: 1}}
+    plain, tweaked = replace("a@X.com", K)[1], replace("a@X.com", K, tweaks=got[2])[1]
+    assert tweaked[0][3] == 1 and tweaked[0][2] != plain[0][2]
+
+
+def test_nothing_in_clear_in_the_shared_folder(spark):
+    d = spark.createDataFrame([(i, f"mail zelda{i}@qqexample.org, Frau Eva Zzlang") for i in range(50)], "doc_id long, text string")
+    assert pseudonymize(d, "a key").count() == 50
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    tables = [pq.read_table(f) for f in shared.rglob("timberline/surrogates*/*.parquet")]
+    assert sum(t.num_rows for t in tables) >= 51
+    assert not any(w in str(t.to_pylist()).lower() for t in tables for w in ("zelda", "qqexample", "zzlang", "@"))
+
+
+NAMES = [
+    "Mrs Anna Maria Weber", "Anna Müller-Schmidt", "Mr O'Brien", "Dr. J. Smith", "ANNA WEBER", "Alice Smith", "Dr ALICE SMITH", "Ms Ludwig van der Berg", "Prof. Dr. Anna-Maria d'Angelo",
+    "John F. Kennedy", "John F Kennedy", "MRS ANNA MARIA WEBER", "Anna Le", "Anna Li", "DR. J. SMITH", "Mr Peter\tJones", "ANNA O’BRIEN", "Frau Анна Иванова Петрова", "Karl von Weber", "Karl Weber",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_whole_names_go(name):
+    for text in (f"says {name} to", f"met {name}, who", f"{name}'s book", name):
+        new, entities = replace(text, K)
+        assert [e[1] for e in entities] == [name]
+        own = [w for w in re.findall(r"[^\W\d_]{3,}", name) if w.lower() not in ("mrs", "prof", "frau", "van", "der", "von")]
+        assert not any(re.search(rf"(?<!\w){w}(?!\w)", new) for w in own)
+        s = entities[0][2]
+        assert re.sub(r"[^\W\d_]+", "x", s) == re.sub(r"[^\W\d_]+", "x", name) and s.isupper() == name.isupper()
+
+
+def test_names_are_one_to_one_over_spellings():
+    """Brute force: spellings of a name share their image, and no two names do."""
+    names = NAMES + [f"{t}{g} {f}" for t in ("", "Dr ", "DR. ") for g in ("Anna", "ANNA", "Paul", "Priya") for f in ("Li", "Le", "LE", "Dr Li", "de Li", "Martin", "Weber")]
+    seen = {}
+    for n in names:
+        seen.setdefault(canonical("person", n), set()).add(canonical("person", surrogate(K, "person", n)))
+    assert all(len(x) == 1 for x in seen.values())
+    assert len({min(x) for x in seen.values()}) == len(seen)
+    assert len({surrogate(K, "person", f"Anna {a}{b}").lower() for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"}) == 676
+    for names in (FEMALE, MALE):
+        images = [surrogate(K, "person", f"{n} Weber").split()[0] for n in names]
+        assert sorted(images) == sorted(names) and not any(a == b for a, b in zip(names, images, strict=True))
+
+
+def test_overlapping_finds_are_one_name():
+    assert [t for t in (replace("name is Jean Paul Müller, hi", K)[1])][0][1] == "Jean Paul Müller"
+    assert [e[1] for e in replace("Frau Анна Иванова пошла домой", K)[1]] == ["Frau Анна Иванова"]
+    assert [e[1] for e in replace("we saw ANNA WEBER THERE", K)[1]] == ["ANNA WEBER"]
+    assert replace("MAX VALUE and MISS OUT", K)[1] == []
 
 
 def test_names_from_their_context(spark):
