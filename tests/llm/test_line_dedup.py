@@ -1,10 +1,11 @@
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.llm.line_dedup import NO_KEEPER, PerfectHash, Shard, build_arrays, dedup_lines, kept_text
+from timberline.llm.line_dedup import MAX_PACKED, NO_KEEPER, PerfectHash, Shard, build_arrays, dealt_keys, dedup_lines, kept_text, merged
 
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -45,6 +46,28 @@ def test_keys_go_through_shards(spark, how):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **how) == brute(rows)
 
 
+@pytest.mark.parametrize("how", [{}, {"max_broadcast": -1}])
+def test_keys_as_rows(odd, monkeypatch, how):
+    monkeypatch.setattr("timberline.llm.line_dedup.MAX_PACKED", 4)
+    assert result(odd, shards=9, **how) == brute([(r.doc_id, r.text) for r in odd.collect()])
+
+
+def test_a_batch_costs_the_same_in_any_corpus():
+    """Rows of a batch are bounded by its keys, not by the number of shards."""
+    keys = merged(*(np.random.default_rng(k).integers(0, 2**62, 100_000) for k in range(5)))
+    for shards, rows in ((1_000, 1_000), (MAX_PACKED, MAX_PACKED), (MAX_PACKED + 1, 100_000), (5_000_000, 100_000)):
+        began = time.process_time()
+        assert dealt_keys(keys, shards, shards <= MAX_PACKED).num_rows == rows
+        assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("how", [{}, {"max_broadcast": -1}])
+def test_columns_of_any_name_pass_through(odd, how):
+    d = odd.selectExpr("doc_id", "text", "1 as _rk", "2 as _rk2", "3 as _id2", "4 as rk", "5 as dropped", "6 as _row", "7 as _lines")
+    out = dedup_lines(d, **how).select("_rk", "_rk2", "_id2", "rk", "dropped", "_row").distinct().collect()
+    assert [tuple(x) for x in out] == [(1, 2, 3, 4, 5, 6)]
+
+
 def test_index_is_minimal_and_perfect():
     r = np.random.default_rng(1)
     h1, h2 = (r.integers(-(2**63), 2**63 - 1, 20_000) for _ in range(2))

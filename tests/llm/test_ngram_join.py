@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 from functools import partial
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm.components import components
-from timberline.llm.ngram_join import _lists, boundary, candidates, ngram_components, shared_shingles, shingle_set
+from timberline.llm.ngram_join import MAX_RANGES, Batch, _lists, boundary, candidates, ngram_components, shared_shingles, shingle_set
 
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -106,6 +107,29 @@ def test_many_partly_alike_texts_grow_in_proportion(spark):
     assert made[1200] <= 5 * max(made[300], 60)
 
 
+def test_ranges_or_rows_of_shingles(spark):
+    """Beyond the most ranges shingles travel as rows; both ways give the same sets, a word of all batches included."""
+    rows = [(i, f"in all the same five words and {t}") for i, t in copies(4, 300, (10, 60))] + [(None, None), (None, "a b c d e f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    get = lambda buckets: sorted(((r.doc_id, r.rk, r.hi, r.lo, r.n, r.scan, r["items"] and bytes(r["items"])) for r in shared_shingles(d, buckets).collect()), key=str)
+    want = get(3)
+    assert want == get(10**6) and any(x[6] for x in want)
+
+
+def test_a_batch_costs_the_same_in_any_corpus():
+    """Rows of a batch are bounded by its shingles and MAX_RANGES, not by the number of ranges."""
+    x = np.unique(np.random.default_rng(3).integers(0, 2**64 - 1, 200_000, dtype="u8"))
+    made = []
+    for buckets in (6_000, MAX_RANGES, 0):
+        b = Batch(1, buckets)
+        for k, part in enumerate(np.array_split(x, 40)):
+            b.add(k, k, part, set())
+        began = time.process_time()
+        made.append(b.rows().num_rows)
+        assert time.process_time() - began < 3
+    assert made == [6_002, MAX_RANGES + 2, len(x) + 2]
+
+
 def test_odd_documents(odd):
     assert result(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
 

@@ -59,13 +59,13 @@ def matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], window: int)
     return d.select("_id", "_key", F.col("n").cast("long").alias("n"), "h", "at", left.alias("left"), F.when(F.col("at") >= 0, F.slice("w", left + 1, 2 * window)).alias("near"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, max_broadcast: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, max_broadcast: int = 2_000_000, keys: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated), one row for each row of ``docs``; other columns are ignored.
 
     Null or wordless text: n_words 0, not contaminated. Null ids are kept; repeated rows each get a row. Items
     without words match nothing; items with equal text each count. ``items`` lists the ids of the items of which a
     window occurs, as sorted strings (a null id as "null"). Empty documents give an empty result, an empty
-    benchmark gives no hits.
+    benchmark gives no hits. With ``keys`` a last column ``row_key`` tells rows of one id apart by their text.
     """
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), row_key(doc_id, text).alias("_key"))
     win = staged(windows(benchmark, item, item_text, window), "decontaminate-windows")
@@ -95,7 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     out = found.where(F.col("at") < 0).select("_id", "_key", "n")
     out = out.join(hits, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
-    return out.select(F.col("_id").alias(doc_id), F.col("n").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n"))).alias("contaminated"))
+    return out.select(F.col("_id").alias(doc_id), F.col("n").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n"))).alias("contaminated"), *([F.col("_key").alias("row_key")] if keys else []))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

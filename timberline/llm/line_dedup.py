@@ -1,8 +1,9 @@
 """Line dedup: sharded minimal perfect hashes index compact fingerprint and count arrays, which documents probe.
 
 Pass 1 hashes every line key to 128 bits. Each task sends the distinct keys of a batch of documents, with their numbers
-of documents and lines and the largest doc_id, as packed arrays to the shards; their number follows from the length of
-the texts. A shard lays a minimal perfect hash (levels of bit arrays, as many places as keys) over all its distinct keys
+of documents and lines and the largest doc_id, to the shards: as packed arrays, or, where there are more than MAX_PACKED
+shards, as rows, so that a batch costs the same however many shards there are. The number of shards follows from the
+length of the texts. A shard lays a minimal perfect hash (levels of bit arrays, as many places as keys) over all its distinct keys
 and adds everything up in arrays in the hash's order: fingerprints, counts of documents, keepers.
 
 Pass 2 probes. What a document needs of a shard is the hash, a bit for each place whether its count is large enough,
@@ -32,10 +33,13 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Characters of text for each shard, keys of a batch, and the most bytes of arrays that every task may get.
 SHARD_CHARS, BATCH, MAX_BROADCAST = 20_000_000, 500_000, 64_000_000
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
+#: Most shards to which a batch sends packed arrays.
+MAX_PACKED = 4096
 LEVELS = 40
 NO_KEEPER = np.iinfo(np.int64).min
 UNKNOWN, KEEP, DROP = -1, 0, 1
 KEYS = "shard int, h1 binary, h2 binary, docs binary, lines binary, keepers binary"
+KEY_ROWS = "shard int, h1 bigint, h2 bigint, docs bigint, lines bigint, keepers bigint"
 ARRAYS = "shard int, n bigint, lines bigint, sizes binary, bits binary, fingerprints binary, counts binary, keepers binary, often binary, hot binary"
 LINES = "shard int, rk bigint, doc_id bigint, line_no int, h1 bigint, h2 bigint"
 PROBED = ["shard", "sizes", "bits", "often", "fingerprints", "keepers"]
@@ -84,17 +88,29 @@ def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
     return (h1.view("u8") % np.uint64(shards)).astype("i4")
 
 
-def _deal_keys(batches: Iterator[pa.RecordBatch], min_chars: int, shards: int) -> Iterator[pa.RecordBatch]:
+def by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, places) of the shards that occur."""
+    order = np.argsort(shard, kind="stable")
+    own, start = np.unique(shard[order], return_index=True)
+    return list(zip(own.tolist(), np.split(order, start[1:]), strict=True)) if len(own) else []
+
+
+def dealt_keys(keys: tuple[np.ndarray, ...], shards: int, packed: bool) -> pa.RecordBatch:
+    """Distinct keys (h1, h2, docs, lines, keepers) as they go to the shards."""
+    shard = shard_of(keys[0], shards)
+    if not packed:
+        cols = [pa.array(shard), *(pa.array(x.astype("i8")) for x in keys)]
+    else:
+        parts = by_shard(shard)
+        cols = [pa.array([s for s, _ in parts], pa.int32()), *(pa.array([x[at].astype("<i8").tobytes() for _, at in parts], pa.binary()) for x in keys)]
+    return pa.RecordBatch.from_arrays(cols, ["shard", "h1", "h2", "docs", "lines", "keepers"])
+
+
+def _deal_keys(batches: Iterator[pa.RecordBatch], min_chars: int, shards: int, packed: bool) -> Iterator[pa.RecordBatch]:
     held: list = []
 
     def rows() -> pa.RecordBatch:
-        h1, h2, docs, lines, keepers = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        shard = shard_of(h1, shards)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        parts = [(s, order[cut[s] : cut[s + 1]]) for s in range(shards) if cut[s] < cut[s + 1]]
-        cols = [pa.array([s for s, _ in parts], pa.int32()), *(pa.array([x[at].astype("<i8").tobytes() for _, at in parts], pa.binary()) for x in (h1, h2, docs, lines, keepers))]
-        return pa.RecordBatch.from_arrays(cols, ["shard", "h1", "h2", "docs", "lines", "keepers"])
+        return dealt_keys(merged(*(np.concatenate(x) for x in zip(*held, strict=True))), shards, packed)
 
     for b in batches:
         ids = b.column(0).cast(pa.int64()).fill_null(int(NO_KEEPER)).to_numpy(zero_copy_only=False)
@@ -194,7 +210,8 @@ def build_arrays(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, lines: np.nda
 
 
 def _build_shard(t: pa.Table, min_docs: int) -> pa.Table:
-    parts = [np.frombuffer(b"".join(t[c].to_pylist()), "<i8") for c in ("h1", "h2", "docs", "lines", "keepers")]
+    columns = (t[c] for c in ("h1", "h2", "docs", "lines", "keepers"))
+    parts = [np.frombuffer(b"".join(c.to_pylist()), "<i8") if pa.types.is_binary(c.type) else c.to_numpy() for c in columns]
     row = {"shard": t["shard"][0].as_py(), **build_arrays(*parts, min_docs)}
     return pa.table({k: pa.array([v], pa.int32() if k == "shard" else pa.int64() if isinstance(v, int) else pa.binary()) for k, v in row.items()})
 
@@ -227,7 +244,8 @@ def verdicts(shard: Shard, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, othe
 def line_arrays(d: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> tuple[DataFrame, int]:
     """The shards (ARRAYS) over the lines of ``d`` (doc_id, text), and how many there may be."""
     shards = shards or int((d.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS) + 1
-    keys = d.select("doc_id", "text").mapInArrow(partial(_deal_keys, min_chars=min_chars, shards=shards), KEYS)
+    packed = shards <= MAX_PACKED
+    keys = d.select("doc_id", "text").mapInArrow(partial(_deal_keys, min_chars=min_chars, shards=shards, packed=packed), KEYS if packed else KEY_ROWS)
     build = lambda t: _build_shard(t, min_docs)
     return staged(keys.groupBy("shard").applyInArrow(build, ARRAYS), "line-arrays"), shards
 
@@ -244,10 +262,7 @@ def probed_here(arrays: DataFrame, shards: int, min_chars: int, doc_id: Column,
             of, no, _, h1, h2 = hashed([None if t is None else t.encode("utf-8", "replace") for t in texts], min_chars)
             own, shard = _ids(ids)[of], shard_of(h1, shards)
             drop = np.zeros(len(of), bool)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.unique(shard).tolist():
-                at = order[cut[s] : cut[s + 1]]
+            for s, at in by_shard(shard):
                 drop[at] = verdicts(known[s], own[at], h1[at], h2[at], KEEP) == DROP
             of, no = of[drop], no[drop]
             cut = np.searchsorted(of, np.arange(len(texts) + 1))
@@ -295,7 +310,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     A line's key is stripped of white space and A-Z lower-cased; keys of at least ``min_chars`` code points found in at
     least ``min_docs`` documents lose all lines except in the largest doc_id holding them. Null or empty text is one
     empty line. Every row counts as a document, repeated rows too; rows that share the largest doc_id all keep. A null
-    doc_id ranks below all others; where all are null nothing is dropped. Other columns pass through.
+    doc_id ranks below all others; where all are null nothing is dropped. Other columns pass through, but for columns of
+    the two new names, which are replaced. An empty table gives an empty result.
     """
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("rk"))
     arrays, shards = line_arrays(plain, min_chars, min_docs, shards)
@@ -304,9 +320,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         d = docs.withColumn("_dropped", probed_here(arrays, shards, min_chars, F.col(doc_id).cast("bigint"), F.col(text)))
     else:
         drops = probed_apart(plain, arrays, shards, min_chars, min_docs)
-        d = docs.withColumn("_rk", row_key(doc_id, text))
-        same = (F.col("_rk") == F.col("_rk2")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id2"))
-        d = d.join(drops.select(F.col("rk").alias("_rk2"), F.col("doc_id").alias("_id2"), F.col("dropped").alias("_dropped")), same, "left").drop("_rk", "_rk2", "_id2")
+        d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).cast("bigint").alias("_id"), row_key(doc_id, text).alias("_rk"))
+        d = d.join(drops, (F.col("_rk") == F.col("rk")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+        d = d.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in ("_lines", "_dropped")), F.col("dropped").alias("_dropped"))
     return d.withColumns({"_lines": F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), "_dropped": F.coalesce("_dropped", F.array().cast("array<int>"))})
 
 

@@ -2,8 +2,9 @@
 
 Counting. One pass over the texts hashes the shingles. Packed arrays of (48-bit shingle, place of its document in a
 batch) go to ranges of shingles, which count in how many documents each one occurs, and what is shared goes back to the
-document. Nothing is broadcast and nothing saturates: the counts are exact at any size (a collision of two shingles adds
-to a count). A shingle of one document alone can be in no intersection, so a set of s that shares fewer than
+document. Beyond MAX_RANGES ranges the batches hand on rows instead, one for each of their distinct shingles, which Spark
+counts and joins; so a batch costs the same however large the corpus is. Nothing is broadcast and nothing saturates: the
+counts are exact at any size (a collision of two shingles adds to a count). A shingle of one document alone can be in no intersection, so a set of s that shares fewer than
 ceil(0.8 s) shingles is done; of the others the shared shingles are kept, the rarest first.
 
 Documents with equal sets (128-bit hash) are one node, so copies never meet as pairs.
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import documents, join_hot, shuffle_partitions, staged
+from timberline.llm.common import documents, join_hot, row_key, shuffle_partitions, staged
 from timberline.llm.components import components
 
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -49,10 +50,13 @@ BLOCK, BLOCK_ITEMS = 512, 2_000_000
 SHORT, MAX_LIGHT, VERIFY_ROWS = 16, 16, 8
 #: Shingles of a batch and of a range of shingles; documents of a batch, whose places fit in 16 bits.
 BATCH, RANGE, BATCH_DOCS, MANY = 1_500_000, 1_000_000, 60_000, 65_535
+#: Most ranges to which a batch sends packed arrays.
+MAX_RANGES = 8192
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], "u8")
 DOCS, KEYS, OWN = 0, 1, 2
 PACKED = "batch bigint, mark bigint, kind tinyint, a binary, b binary, c binary, d binary"
-SETS = "ref bigint, doc_id bigint, hi bigint, lo bigint, n int, scan bigint, items binary"
+SHINGLE_ROWS = "batch bigint, mark bigint, kind tinyint, a binary, b binary, c binary, d binary, key bigint, place int, times bigint"
+SETS = "ref bigint, doc_id bigint, rk bigint, hi bigint, lo bigint, n int, scan bigint, items binary"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -130,7 +134,8 @@ def _record(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("mark", pa.int64()), ("kind", pa.int8()), *((c, pa.binary()) for c in "abcd")])
-SETS_ARROW = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("scan", pa.int64()), ("items", pa.binary())])
+ROWS_ARROW = pa.schema([*list(PACKED_ARROW)[1:], ("key", pa.int64()), ("place", pa.int32()), ("times", pa.int64())])
+SETS_ARROW = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("scan", pa.int64()), ("items", pa.binary())])
 
 
 class Batch:
@@ -139,12 +144,13 @@ class Batch:
     def __init__(self, number: int, buckets: int):
         self.number, self.buckets = number, buckets
         self.ids: list = []
+        self.keys: list[int] = []
         self.nodes: list[bytes] = []
         self.sizes: list[int] = []
         self.held: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc, x: np.ndarray, seen: set[bytes]) -> None:
+    def add(self, doc, key: int, x: np.ndarray, seen: set[bytes]) -> None:
         node = xxhash.xxh3_128_digest(x.tobytes())
         if len(x) and node not in seen:
             if len(seen) < 500_000:
@@ -152,12 +158,15 @@ class Batch:
             self.held.append((x >> np.uint64(64 - BITS)) << np.uint64(16) | np.uint64(len(self.ids)))
             self.size += len(x)
         self.ids.append(doc)
+        self.keys.append(key)
         self.nodes.append(node)
         self.sizes.append(len(x))
 
     def rows(self) -> pa.RecordBatch:
         """One row with the documents, one with the shingles that several of them share, one for each range.
 
+        With no ranges (``buckets`` is 0) there is one for each distinct shingle instead.
+
         A shingle shared in the batch stays with the batch, and its range is told the number alone, so that a shingle
         of very many documents is no large group there.
         """
@@ -170,10 +179,12 @@ class Batch:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "i8")
         run = np.diff(np.append(start, len(key)))
         alone = np.repeat(run == 1, run)
-        own = self.buckets + mark % self.buckets
-        out = [(own, DOCS, ids.tobytes(), none.tobytes(), nodes, np.array(self.sizes, "<u4").tobytes()), (own, OWN, pack_sorted(key[~alone]), planes(place[~alone], 2), b"", b"")]
+        own = self.buckets + mark % self.buckets if self.buckets else None
+        out = [(own, DOCS, ids.tobytes(), none.tobytes(), nodes + np.array(self.keys, "<i8").tobytes(), np.array(self.sizes, "<u4").tobytes()), (own, OWN, pack_sorted(key[~alone]), planes(place[~alone], 2), b"", b"")]
         single, at = key[alone], place[alone]
         several, times = key[start[run > 1]], run[run > 1]
+        if not self.buckets:
+            return self._plain(mark, [x[1:] for x in out], single, at, several, times)
         edges = [-(-(b << BITS) // self.buckets) for b in range(self.buckets + 1)]
         cut, cut_more = (np.searchsorted(k, np.array(edges, "u8")) for k in (single, several))
         for b in range(self.buckets):
@@ -184,14 +195,29 @@ class Batch:
         return _record([bucket, [self.number] * len(out), [mark] * len(out), kind, a, b, c, d], PACKED_ARROW)
 
 
+    def _plain(self, mark: int, packed: list, single: np.ndarray, at: np.ndarray, several: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        k, n = len(packed), len(single) + len(several)
+        kind, *arrays = zip(*packed, strict=True)
+        none = pa.nulls(n, pa.binary())
+        key = pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(np.concatenate([single, several]).astype("i8"))])
+        place = pa.array(np.concatenate([at, np.full(len(several), MANY, "u8")]).astype("i4"))
+        count = pa.array(np.concatenate([np.ones(len(single), "i8"), times.astype("i8")]))
+        cols = [
+            pa.array(np.full(k + n, self.number)), pa.array(np.full(k + n, mark)), pa.concat_arrays([pa.array(kind, pa.int8()), pa.array(np.full(n, KEYS, "i1"))]),
+            *(pa.concat_arrays([pa.array(x, pa.binary()), none]) for x in arrays),
+            key, pa.concat_arrays([pa.nulls(k, pa.int32()), place]), pa.concat_arrays([pa.nulls(k, pa.int64()), count]),
+        ]
+        return pa.RecordBatch.from_arrays(cols, schema=ROWS_ARROW)
+
+
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     first = TaskContext.get().partitionId() << 20
     number = 0
     held = Batch(first, buckets)
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.add(doc, shingle_set(text), seen)
+        for doc, text, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            held.add(doc, key, shingle_set(text), seen)
             if held.size >= BATCH or len(held.ids) >= BATCH_DOCS:
                 yield held.rows()
                 number += 1
@@ -232,14 +258,19 @@ def _count(t: pa.Table) -> pa.Table:
 
 def _finish(t: pa.Table) -> pa.Table:
     """A batch: its documents, each with its shared shingles, the rarest first, where it has enough of them to link."""
-    r = t.select(["mark", "kind", "a", "b", "c", "d"]).to_pydict()
-    batch = t["batch"][0].as_py()
+    batch, marks = t["batch"][0].as_py(), t["mark"].unique()
+    plain = None
+    if "key" in t.column_names:
+        plain, t = t.filter(t["key"].is_valid()), t.filter(t["key"].is_null())
+    r = t.select(["kind", "a", "b", "c", "d"]).to_pydict()
     rows = list(zip(r["kind"], r["a"], r["b"], r["c"], r["d"], strict=True))
-    if len(set(r["mark"])) > 1 or sum(k == DOCS for k, *_ in rows) != 1:
+    if len(marks) > 1 or sum(k == DOCS for k, *_ in rows) != 1:
         raise RuntimeError("documents came in another order when a lost task ran again; write them to a table first")
     _, ids, none, nodes, sizes = next(x for x in rows if x[0] == DOCS)
     n = np.frombuffer(sizes, "<u4").astype("i8")
     told = [(unpack_sorted(a), from_planes(b, 2), from_planes(c, 5)) for k, a, b, c, _ in rows if k == KEYS]
+    if plain is not None:
+        told.append(tuple(plain[c].to_numpy().astype("u8") for c in ("key", "place", "docs")))
     key, place, docs = (np.concatenate([x[i] for x in told]) if told else np.zeros(0, "u8") for i in range(3))
     many = place == MANY
     known, times = key[many], docs[many]
@@ -257,18 +288,31 @@ def _finish(t: pa.Table) -> pa.Table:
     listed = np.where(shared + prefix_size(n) > n, shared + prefix_size(n) - n, 0) * (n > 0)
     scan = total[cut[:-1] + listed] - total[cut[:-1]]
     items = [pack_items(key[i:j]) if k else None for i, j, k in zip(cut[:-1].tolist(), cut[1:].tolist(), listed.tolist(), strict=True)]
-    h = np.frombuffer(nodes, "<i8").reshape(-1, 2)
+    h, keys = np.frombuffer(nodes, "<i8", 2 * len(n)).reshape(-1, 2), np.frombuffer(nodes, "<i8", offset=16 * len(n))
     doc = pa.array(np.frombuffer(ids, "i8"), mask=np.frombuffer(none, "u1") > 0)
     ref = (np.int64(batch) << 16) + np.arange(len(n))
-    return pa.Table.from_arrays([pa.array(ref), doc, pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n.astype("i4")), pa.array(scan), pa.array(items, pa.binary())], schema=SETS_ARROW)
+    return pa.Table.from_arrays([pa.array(ref), doc, pa.array(keys), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n.astype("i4")), pa.array(scan), pa.array(items, pa.binary())], schema=SETS_ARROW)
 
 
 def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
     """SETS for every row of ``docs`` (doc_id, text): ``items`` has a set's shared shingles, or null where it cannot link."""
+    docs = docs.select("doc_id", "text", row_key().alias("rk"))
+    if buckets > MAX_RANGES:
+        return _shared_by_rows(docs)
     dealt = docs.mapInArrow(partial(_deal, buckets=buckets), f"bucket int, {PACKED}")
     return dealt.groupBy("bucket").applyInArrow(_count, PACKED).groupBy("batch").applyInArrow(_finish, SETS)
 
 
+def _shared_by_rows(docs: DataFrame) -> DataFrame:
+    """As with ranges, but each distinct shingle of a batch is a row; a shingle of most batches is joined by broadcast."""
+    dealt = staged(docs.mapInArrow(partial(_deal, buckets=0), SHINGLE_ROWS), "ngram-dealt")
+    shingles = dealt.where("key is not null").select("batch", "mark", "kind", "key", "place", "times")
+    docs_of = staged(shingles.groupBy("key").agg(F.sum("times").alias("docs"), F.count("*").alias("_c")).where("docs > 1"), "ngram-counts")
+    told = join_hot(shingles, docs_of, ["key"], "_c").where("docs is not null").drop("times", "_c")
+    back = dealt.where("key is null").drop("times").unionByName(told, allowMissingColumns=True)
+    return back.groupBy("batch").applyInArrow(_finish, SETS)
+
+
 def _lists(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(key, node, n, at): the prefixes of sets of at least ``least`` shingles; ``at`` counts from 0."""
     for b in batches:
@@ -472,19 +516,21 @@ def heavy_links(sets: DataFrame, least: int, block: int) -> DataFrame:
     return links.unionByName(staged(verified(sets, rest_units(large, block)), "ngram-links"))
 
 
-def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``; other columns are ignored.
+def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, row_key, group) for every row of ``docs``; other columns are ignored.
 
     Words are runs of non-white characters, A-Z lower-cased. Null or wordless texts have no shingles and link with
     nothing (component_id is their doc_id). Equal texts link. Repeated rows each get a row. A null doc_id never names
-    a component unless all its members are null. An empty table gives an empty result. ``docs`` must give its rows in
+    a component unless all its members are null. An empty table gives an empty result. Where ids
+    repeat, ``row_key`` tells rows of one id apart by their text, and ``group`` tells components with one least id apart;
+    it is null without shingles. ``docs`` must give its rows in
     the same order when a lost task runs again, as tables do; where it does not, an error is raised.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     total = d.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(d.sparkSession), total // (5 * RANGE))
     index = staged(shared_shingles(d, buckets), "ngram-index")
-    rows = index.select("doc_id", "hi", "lo", "n", "ref").where("n > 0")
+    rows = index.select("doc_id", "rk", "hi", "lo", "n", "ref").where("n > 0")
     nodes = staged(rows.groupBy("hi", "lo").agg(F.min("ref").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "ngram-nodes")
     sets = index.where(F.col("items").isNotNull()).join(nodes.select(F.col("node").alias("ref")), "ref", "left_semi")
     sets = staged(sets.select(F.col("ref").alias("node"), "n", "scan", "items"), "ngram-sets")
@@ -494,11 +540,16 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = heavy_links(sets, NUM * light // DEN + 1, block).unionByName(light_links(staged(subsets, "ngram-subsets")))
     linked = components(links).join(nodes.select("node", "hi", "lo", "least"), "node")
     first = staged(linked.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("members")), "ngram-components")
-    first = join_hot(linked, first, ["component"], "members").select("hi", "lo", "first")
-    nodes = staged(nodes.join(first, ["hi", "lo"], "left").select("hi", "lo", "copies", F.coalesce("first", "least").alias("component_id")), "ngram-classes")
+    first = join_hot(linked, first, ["component"], "members").select("hi", "lo", "first", "component")
+    nodes = staged(nodes.join(first, ["hi", "lo"], "left").select("hi", "lo", "copies", F.coalesce("first", "least").alias("component_id"), F.coalesce("component", "node").alias("group")), "ngram-classes")
     out = join_hot(rows.drop("ref"), nodes, ["hi", "lo"], "copies")
-    out = out.unionByName(index.where("n = 0").select("doc_id", "hi", "lo", "n", F.lit(0).cast("bigint").alias("copies"), F.col("doc_id").alias("component_id")))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.unionByName(index.where("n = 0").select("doc_id", "rk", "hi", "lo", "n", F.lit(0).cast("bigint").alias("copies"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("group")))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rk").alias("row_key"), "group")
+
+
+def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of :func:`ngram_groups`."""
+    return ngram_groups(docs, doc_id, text, block).select(doc_id, "n_shingles", "component_id")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
