@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's ``docs``. All stages but the last return the columns of ``documents``. Rows with nulls go through: a null text has
-no lines to lose, no shingles and no benchmark words, and its quality is judged like that of an empty text.
+no lines to lose, no shingles and no benchmark words, and its quality is judged like that of an empty text. Empty tables
+give empty tables. Further columns of ``documents`` go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from timberline.llm.common import documents, row_key, staged
 from timberline.llm.decontamination import decontaminate
 from timberline.llm.line_dedup import dedup_lines, kept_text
-from timberline.llm.ngram_join import ngram_components
+from timberline.llm.ngram_join import ngram_groups
 from timberline.llm.piece_sampling import digest, sample_segmentations
 from timberline.llm.quality_classifier import classify, labelled
 
@@ -28,25 +29,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classify(docs, model, measured).where("accepted").select(*docs.columns)
 
 
+def _row(docs: DataFrame):
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that line dedup drops; n_chars follows the text."""
-    d = dedup_lines(docs)
-    text = F.when(F.col("text").isNotNull(), kept_text())
-    d = d.withColumn("text", text).drop("_lines", "_dropped")
-    return d.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns)
+    d = dedup_lines(docs.select("doc_id", "text", _row(docs)))
+    d = d.withColumn("text", F.when(F.col("text").isNotNull(), kept_text()))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("bigint"), F.col("row")["n_chars"])}
+    return d.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every group of near duplicates; of repeated rows, one."""
-    first = ngram_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias("_id")).distinct()
-    d = docs.withColumns({"_id": _id(), "_key": row_key()})
-    return d.join(first, "_id", "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    """The document of least id (then of least row key) of every group of near duplicates; of repeated rows, one.
+
+    Rows are told apart by id and text, so those that share an id are judged each by its own text.
+    """
+    g = ngram_groups(docs).select(_id().alias("i"), "row_key", "group", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key").alias("rank"))
+    first = g.where("group is not null").groupBy("group").agg(F.min("rank").alias("rank")).select(_id("rank.doc_id").alias("i"), F.col("rank.row_key").alias("k"))
+    first = first.unionByName(g.where("group is null").select("i", F.col("row_key").alias("k")).distinct())
+    d = docs.select(_row(docs), _id().alias("i"), row_key().alias("k"))
+    return d.join(first, ["i", "k"], "left_semi").dropDuplicates(["i", "k"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(_id().alias("_id")).distinct()
-    return docs.withColumn("_id", _id()).join(bad, "_id", "left_anti").select(*docs.columns)
+    """Documents that are not contaminated by the benchmark, each judged by its own text."""
+    bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keys=True).where("contaminated")
+    d = docs.select(_row(docs), _id().alias("i"), row_key().alias("k"))
+    return d.join(bad.select(_id().alias("i"), F.col("row_key").alias("k")).distinct(), ["i", "k"], "left_anti").select("row.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
