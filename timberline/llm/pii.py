@@ -105,11 +105,11 @@ TITLE, GIVEN_NAME = "|".join(TITLES), "|".join([*FEMALE, *MALE])
 CAPITAL_TITLE, CAPITAL_GIVEN = ("|".join(w for x in names if (w := x.upper()) not in AMBIGUOUS) for names in (TITLES, [*FEMALE, *MALE]))
 IN_CAPITALS = rf"(?:(?:{CAPITAL_GIVEN}){SPACE})*(?:{INITIAL}{SPACE})*(?:(?:{PARTICLE}|{PARTICLE.upper().replace(SPACE.upper(), SPACE)}))*(?:{CAPITALS})"
 PERSON = re.compile(
-    rf"(?<!\w)(?:(?:(?:{TITLE})\.?{SPACE})+(?:{INITIAL}{SPACE})*{PARTICLE}*{WORD}(?:{MORE}|{SPACE}{WORD})?{MORE}*"
+    rf"(?=[A-Z])(?<!\w)(?:(?:(?:{TITLE})\.?{SPACE})+(?:{INITIAL}{SPACE})*{PARTICLE}*{WORD}(?:{MORE}|{SPACE}{WORD})?{MORE}*"
     rf"|(?:{GIVEN_NAME})(?:-{NEXT})?(?:{MORE}+|{SPACE}{WORD})"
     rf"|(?:(?:{CAPITAL_TITLE})\.?{SPACE})+{IN_CAPITALS}|(?:{CAPITAL_GIVEN})(?:-{UPPER}+)?{SPACE}{IN_CAPITALS})(?!\w)"
 )
-LIKELY = re.compile(rf"(?<!\w)(?:{TITLE}|{GIVEN_NAME}|{CAPITAL_TITLE}|{CAPITAL_GIVEN})(?!\w)")
+LIKELY = re.compile(rf"(?=[A-Z])(?<!\w)(?:{TITLE}|{GIVEN_NAME}|{CAPITAL_TITLE}|{CAPITAL_GIVEN})(?!\w)")
 ANNOUNCED = re.compile(rf"(?<!\w)(?:[Nn]ame is|[Nn]ame:|[Dd]ear|[Ss]igned(?: by)?|[Ss]incerely,|[Rr]egards,)\s+({NAME})(?!\w)")
 ANNOUNCER = re.compile("ame is|ame:|ear |igned|incerely,|egards,")
 RUN = re.compile(rf"(?<=[\w,:;] ){NAME}(?!\w)")
