@@ -32,12 +32,15 @@ TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
 ARROW = pa.schema([(n, TYPES[t]) for n, t in (c.split(" ") for c in SEGMENT.split(", "))])
 
 
-def read_pieces(spark: SparkSession, folder: str, log: str, files_per_batch: int = 1000) -> DataFrame:
+def read_pieces(spark: SparkSession, folder: str, log: str, files_per_batch: int | None = None) -> DataFrame:
     """New lines of the text files under a folder, as (log, path, block, line); group 1 of ``log`` in a path names its log.
 
-    Of one log, pieces are read in the order of their paths within a batch, and batch after batch as they arrive.
+    Of one log, pieces are read in the order of their paths within a batch, and batch after batch as they arrive. All new
+    files are one batch: cut to ``files_per_batch``, Spark takes the oldest by time of modification, so set it only where
+    the pieces of a log were last modified in the order of their paths.
     """
-    raw = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    raw = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).text(folder)
     path = F.col("_metadata.file_path")
     return raw.select(F.regexp_extract(path, log, 1).alias("log"), path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("line"))
 
