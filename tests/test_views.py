@@ -327,3 +327,21 @@ def test_sink_by_size(spark, tmp_path):
     assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "b")).collect()) == want
     none = LogSession(spark).open_texts([("a.log", "")]).view()
     assert none.text_or_files(str(tmp_path / "c")) == ("", 0) and none.page(1, 9).count() == 0
+
+
+def test_digest_of_a_result_in_files(spark, tmp_path, monkeypatch):
+    """The registered query agrees with its text where that is too large to come as one; lines of all splits are in order."""
+    import hashlib
+
+    from timberline.plans import registry, session
+
+    lines = [f"line {i} ünd" * (i % 5) for i in range(3000)] + [""]
+    spark.createDataFrame(list(enumerate(lines)), "i int, t string").repartitionByRange(5, "i").sortWithinPartitions("i").select("t").write.text(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert session.md5_of_files(spark, str(tmp_path / "d")).first()["md5"] == hashlib.md5("\n".join(lines).encode()).hexdigest()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = registry.QUERIES["view_sized_sink"](spark, "/root/testdata/sf0.001").first()
+    monkeypatch.setattr(session.View.text_or_files, "__defaults__", (False, 1000))
+    assert registry.QUERIES["view_sized_sink"](spark, "/root/testdata/sf0.001").first() == want and want.small_md5

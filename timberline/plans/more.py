@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from contextlib import contextmanager
 from dataclasses import replace
@@ -17,7 +18,7 @@ from timberline.operators.parse import parse_files, parse_lines, recognize_lines
 from timberline.options import Criteria, Display, Mask, ParseOptions, Rule, TimestampFormat
 from timberline.plans import rendered as log
 from timberline.plans.registry import GAP, REFERENCE, RUNS, SECOND, SUFFIX, E, query, single
-from timberline.plans.session import LogSession, View, compare
+from timberline.plans.session import LogSession, View, compare, md5_of_files
 from timberline.settings import CriteriaForm, compile_criteria, compile_formats, compile_highlights, updated_severities
 from timberline.sources import files as source
 from timberline.sources.storage import shared_dir
@@ -325,11 +326,12 @@ def source_of_row(spark, sf_dir):
 
 @query("view_sized_sink", ALL_ROWS + ", s AS (SELECT string_agg(text, chr(10) ORDER BY row_no) AS t FROM n) SELECT md5(t) AS small_md5, strlen(t) AS small_bytes, true AS large_in_files, strlen(t) AS large_bytes FROM s")
 def view_sized_sink(spark, sf_dir):
-    """A small result comes as a text, one beyond the limit stays in files."""
+    """A small result comes as a text, one beyond the limit stays in files; its digest is the same from either."""
     v, path = _view(spark, sf_dir, ERRORS), f"{shared_dir(spark)}/timberline/sink-{uuid.uuid4().hex}"
     (small, n), (large, m) = v.text_or_files(f"{path}-a"), v.text_or_files(f"{path}-b", limit=1000)
     read = spark.read.text(f"{path}-b").agg(F.sum(F.octet_length("value") + 1).alias("b"))
-    return read.select(F.md5(F.lit(small).cast("binary")).alias("small_md5"), F.lit(n).cast("bigint").alias("small_bytes"), F.lit(large is None).alias("large_in_files"), (F.col("b") - 1).alias("large_bytes"))
+    md5 = hashlib.md5(small.encode()).hexdigest() if small is not None else md5_of_files(spark, f"{path}-a").first()["md5"]
+    return read.select(F.lit(md5).alias("small_md5"), F.lit(n).cast("bigint").alias("small_bytes"), F.lit(large is None).alias("large_in_files"), (F.col("b") - 1).alias("large_bytes"))
 
 
 SHOWN_RUNS = RUNS.replace("ORDER_BY", "ms, file_index, line_no").replace(E, SHOWN)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,6 +148,42 @@ class View:
         return "".join(r["value"] for r in sorted(parts, key=lambda r: r["file_path"]))[:-1], size
 
 
+#: Fixed value: characters from which lines on their way to a digest start a new row.
+PACKED = 4096
+
+
+def md5_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(md5) of the text that :meth:`View.text_or_files` left in files.
+
+    A digest is a chain over the whole text, so one task folds it, holding a batch at a time; all that comes before is
+    spread: lines are read in splits and packed where they lie, and only packs are put in order.
+    """
+
+    def pack(batches):
+        for b in batches:
+            out, size = [], PACKED
+            for file, block, at, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= PACKED or out[-1][:2] != (file, block):
+                    out.append((file, block, at, []))
+                    size = 0
+                out[-1][3].append(line)
+                size += len(line) + 1
+            columns = zip(*((*place, "\n".join(lines)) for *place, lines in out), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, b.schema, strict=True)], names=b.schema.names) if out else b
+
+    def fold(batches):
+        digest, separator = hashlib.md5(), b""
+        for b in batches:
+            for text in b.column("line").to_pylist():
+                digest.update(separator + text.encode())
+                separator = b"\n"
+        yield pa.RecordBatch.from_pydict({"md5": [digest.hexdigest()]})
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    packs = lines.mapInArrow(pack, "file string, block bigint, at bigint, line string")
+    return packs.repartition(1).sortWithinPartitions("file", "block", "at").select("line").mapInArrow(fold, "md5 string")
+
+
 class LogSession:
     """Opened files with their settings. They are parsed, sorted and written once, whatever views follow."""
 
