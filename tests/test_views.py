@@ -345,3 +345,20 @@ def test_digest_of_a_result_in_files(spark, tmp_path, monkeypatch):
     want = registry.QUERIES["view_sized_sink"](spark, "/root/testdata/sf0.001").first()
     monkeypatch.setattr(session.View.text_or_files, "__defaults__", (False, 1000))
     assert registry.QUERIES["view_sized_sink"](spark, "/root/testdata/sf0.001").first() == want and want.small_md5
+
+
+def test_copies_of_a_slow_text_cost_no_time(spark):
+    """A search that was given up is not repeated for copies of its text; another pattern, limit or text is searched."""
+    from timberline.functions.patterns import within
+
+    tried = []
+
+    def search(limit):
+        tried.append(limit)
+        raise TimeoutError
+
+    for of in (("slow", "t"), ("slow", "t"), ("slow", "u"), ("other", "t"), ("slow", "t")):
+        with pytest.raises(TimeoutError):
+            within(0.25, search, *of)
+    assert tried == [0.25, 1.0] * 3
+    assert within(0.5, lambda limit: limit, "slow", "t") == 0.5

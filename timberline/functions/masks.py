@@ -110,7 +110,7 @@ def mask_patterns(text: Column, patterns: tuple[str, ...], limit_s: float = LIMI
         def one(t):
             lines = t.split("\n")
             for p in compiled:
-                lines = [within(limit_s, lambda limit, p=p, x=x: p.sub(lambda m: MASKED if m[0] else "", x, timeout=limit)) for x in lines]
+                lines = [within(limit_s, lambda limit, p=p, x=x: p.sub(lambda m: MASKED if m[0] else "", x, timeout=limit), "mask", p.pattern, x) for x in lines]
             return "\n".join(lines)
 
         out = []

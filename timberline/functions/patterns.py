@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 #: White space and line ends as that syntax has them, for use inside a character class.
@@ -113,13 +114,35 @@ def user_patterns(sources) -> list:
     return [regex.compile(str(s)) for s in sources]
 
 
-def within(limit_s: float, search):
+#: Digests of searches that were given up in this process, the last GIVEN_UP of them.
+_given_up: dict[bytes, None] = {}
+GIVEN_UP = 65_536
+
+
+def _search_key(limit_s: float, of: tuple[str, ...]) -> bytes:
+    return hashlib.blake2b(repr((limit_s, *of)).encode(), digest_size=16).digest()
+
+
+def within(limit_s: float, search, *of: str):
     """The result of ``search`` (of a time limit). One given up is tried once more with four times the limit, so that a
-    pause of the machine is not taken for a slow pattern; the second time it raises TimeoutError."""
+    pause of the machine is not taken for a slow pattern; the second time it raises TimeoutError.
+
+    ``of`` are what is done, the pattern and the text, where known: a process searches a text no further once it was given up with the
+    same pattern and limit, so copies of a text cost no time."""
+    if of and _given_up and _search_key(limit_s, of) in _given_up:
+        raise TimeoutError("given up before")
     try:
         return search(limit_s)
     except TimeoutError:
+        pass
+    try:
         return search(4 * limit_s)
+    except TimeoutError:
+        if of:
+            while len(_given_up) >= GIVEN_UP:
+                del _given_up[next(iter(_given_up))]
+            _given_up[_search_key(limit_s, of)] = None
+        raise
 
 
 class UserPattern(str):
