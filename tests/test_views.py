@@ -362,3 +362,10 @@ def test_copies_of_a_slow_text_cost_no_time(spark):
             within(0.25, search, *of)
     assert tried == [0.25, 1.0] * 3
     assert within(0.5, lambda limit: limit, "slow", "t") == 0.5
+
+
+def test_highlights_search_distinct_texts_once(spark):
+    """The search runs above the distinct texts, once."""
+    rules, _ = compile_highlights([{"pattern": "(a|aa)+$"}])
+    plan = highlight.highlights(spark.createDataFrame([("a",)] * 3, "text string").repartition(2), rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")

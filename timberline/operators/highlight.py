@@ -23,7 +23,7 @@ def ranges(text: str, rules: list[tuple], limit_s: float = LIMIT_S) -> tuple[lis
     A text on which a pattern takes longer than ``limit_s`` (see ``within``) has no ranges, and failure is ``timeout``.
     """
     try:
-        return within(limit_s, lambda limit: _ranges(text, rules, limit)), None
+        return within(limit_s, lambda limit: _ranges(text, rules, limit), "highlight", *(p.pattern for p, _ in rules), text), None
     except TimeoutError:
         return [], "timeout"
 
@@ -54,4 +54,5 @@ def highlights(rows: DataFrame, rules: list[HighlightRule], limit_s: float = LIM
         return pd.DataFrame({"ranges": [[{"start": a, "end": b, "color": c} for a, b, c in r] for r, _ in found], "failure": pd.Series([f for _, f in found], dtype=object)})
 
     texts = rows.select("text").where(F.col("text").isNotNull()).distinct()
-    return texts.withColumn("_h", run("text")).select("text", "_h.ranges", "_h.failure").where((F.size("ranges") > 0) | F.col("failure").isNotNull())
+    once = run.asNondeterministic()  # a time limit is; and Spark moves no copy of it, as a filter, below the distinct texts
+    return texts.withColumn("_h", once("text")).select("text", "_h.ranges", "_h.failure").where((F.size("ranges") > 0) | F.col("failure").isNotNull())
