@@ -369,3 +369,20 @@ def test_highlights_search_distinct_texts_once(spark):
     rules, _ = compile_highlights([{"pattern": "(a|aa)+$"}])
     plan = highlight.highlights(spark.createDataFrame([("a",)] * 3, "text string").repartition(2), rules)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+
+
+def test_encoded_files_are_decoded_once(spark, tmp_path):
+    """Lines come from what was written when the files were opened, whatever the splits; the source is not read again."""
+    from timberline.sources.files import open_files
+
+    for name, text in {"a": "one\r\ntwo\n" * 500, "b": "ਊč x\rlast"}.items():
+        (tmp_path / name).write_bytes(text.encode("utf-16-le"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        _, lines = open_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")], "utf16le")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = [tuple(r) for r in lines.orderBy("file_index", "line_no").collect()]
+    want = [*(t for _ in range(500) for t in ("one", "two")), ""]
+    assert got == [(0, i + 1, t) for i, t in enumerate(want)] + [(1, 1, "ਊč x"), (1, 2, "last")]
+    assert "Format: Text" not in lines._jdf.queryExecution().optimizedPlan().toString() + lines._jdf.queryExecution().executedPlan().toString()

@@ -188,7 +188,8 @@ def open_encoded_files(spark, sf_dir):
     """Files of two bytes a unit, each read in several splits."""
     paths = _log_files(spark, sf_dir, "UTF-16LE")
     with _setting(spark, "spark.sql.files.maxPartitionBytes", "64k"):
-        return _entries(LogSession(spark).open(paths, "utf16le"))  # parsed and written here
+        session = LogSession(spark).open(paths, "utf16le")  # read, cut and written here
+    return _entries(session)
 
 
 @query("decode_documents", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")

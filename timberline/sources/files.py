@@ -7,11 +7,12 @@ import warnings
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timberline.options import Rule
+from timberline.sources.storage import staged
 
 FILES = "file_index int, file_name string, path string, text string"
 # What rotation adds to a file's name.
@@ -153,28 +154,34 @@ def _byte_lines(spark: SparkSession, paths: list[str], codec: str) -> DataFrame:
     return reader.text(paths).select(_plain(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"))
 
 
-def _misaligned(spark: SparkSession, paths: list[str], codec: str) -> set[str]:
-    """Of files of two bytes a unit those where a cut may lie within a unit.
+#: Bytes of files that one task decodes, whatever the splits that they are read in.
+DECODED_AT_ONCE = 32 * 1024 * 1024
+
+
+def _cut_lines(spark: SparkSession, paths: list[str], codec: str, size: int) -> tuple[DataFrame, set[str]]:
+    """(_path, _block, _id, line) with ids that count on within a block; and of files of two bytes a unit those where a cut
+    may lie within a unit.
+
+    What is decoded is written, so that ``size`` bytes are read and decoded once, by tasks of many splits each.
 
     The first line of a file starts at a unit, and each line where the one before ended, block after block. So if all lines
     have an even length every cut is between units; and a cut within a unit leaves a line of odd length before it.
     """
-    odd = _byte_lines(spark, paths, codec).where(F.octet_length("value") % 2 == 1).select("_path").distinct().collect()
-    found = {r["_path"] for r in odd}
-    return {p for p in paths if re.sub("^file:/+", "/", p) in found}
-
-
-def _cut_lines(spark: SparkSession, paths: list[str], codec: str) -> DataFrame:
-    """(_path, _block, _id, line) with ids that ascend within a block."""
     raw = _byte_lines(spark, paths, codec)
     if codec == "utf-8":
         raw = raw.select("_path", "_block", F.make_valid_utf8("value").alias("line"))
-    elif codec not in WIDE:
+        return raw.withColumn("_id", F.monotonically_increasing_id()), set()
+    raw = raw.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // DECODED_AT_ONCE)))
+    seen, odd = Observation(), F.when(F.octet_length("value") % 2 == 1, F.col("_path"))
+    raw = raw.observe(seen, F.collect_set(odd).alias("odd"))
+    if codec not in WIDE:
         raw = raw.select("_path", "_block", _text_of(F.col("value").cast("binary"), codec).alias("line"))
     else:  # Spark cut at line feeds alone
         text = F.regexp_replace(_text_of(F.col("value").cast("binary"), codec), "\r\\z", "")
         raw = raw.select("_path", "_block", F.explode(F.split(text, "\r", -1)).alias("line"))
-    return raw.withColumn("_id", F.monotonically_increasing_id())
+    raw = staged(raw.withColumn("_id", F.monotonically_increasing_id()), "cut-lines")
+    found = set(seen.get["odd"] or []) if codec in WIDE else set()
+    return raw, {p for p in paths if re.sub("^file:/+", "/", p) in found}
 
 
 def open_files(spark: SparkSession, paths: list[str], encoding: str = "utf8") -> tuple[DataFrame, DataFrame]:
@@ -182,8 +189,8 @@ def open_files(spark: SparkSession, paths: list[str], encoding: str = "utf8") ->
 
     Files are read in blocks by Spark's line reader, so that a large one is no single row or task. It cuts at the bytes of
     line ends, which in all encodings of one byte, and in those of more that keep ASCII apart, are nothing else; each line
-    is then decoded by itself. UTF-16 is cut at its own line feeds, after a pass that finds files where a cut falls within
-    a unit; these alone, and encodings with lasting shifts, are read whole. In UTF-16 lines that only carriage returns end
+    is then decoded by itself, and what is decoded is written here. UTF-16 is cut at its own line feeds; files where a cut
+    falls within a unit are found on the way, and these alone, and encodings with lasting shifts, are read whole. In UTF-16 lines that only carriage returns end
     come in one row of the reader.
 
     Lines are numbered by the counts of the blocks before and the place within the block. As with whole texts, a final line
@@ -193,12 +200,12 @@ def open_files(spark: SparkSession, paths: list[str], encoding: str = "utf8") ->
     named = [(i, p.rstrip("/").rsplit("/", 1)[-1], p, _ends_open(spark, p, codec)) for i, p in enumerate(paths)]
     files = spark.createDataFrame(named, "file_index int, file_name string, path string, open boolean")
     none = spark.createDataFrame([], "file_index int, line_no bigint, line string")
-    whole = set(paths) if codec in SHIFTING else _misaligned(spark, paths, codec) if codec in WIDE and paths else set()
+    raw, whole = (None, set(paths)) if codec in SHIFTING or not paths else _cut_lines(spark, paths, codec, sum(_status(spark, p)[2].getLen() for p in paths))
     cut = [p for p in paths if p not in whole]
     order = F.broadcast(files.select("file_index", _plain(F.col("path")).alias("_path"), "open"))  # a row for each chosen path
     lines = none
     if cut:
-        raw = _cut_lines(spark, cut, codec)
+        raw = raw.where(~F.col("_path").isin([re.sub("^file:/+", "/", p) for p in whole])) if whole else raw
         blocks = raw.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
         along = Window.partitionBy("_path").orderBy("_block")
         blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
