@@ -93,3 +93,45 @@ def test_rows_do_not_depend_on_batches(spark, odd, none):
     assert ps.sample_segmentations(none).count() == 0
     ids = spark.createDataFrame([(1, b[0].samples[0]["ids"] if b[0].samples else []), (2, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in ps.decode(ids).collect()}[2] is None
+
+
+def test_lattices_keep_the_units_met_most(monkeypatch):
+    """A worker's lattices stay within their room, and what is drawn does not depend on what they hold."""
+    vocab = ps.vocabulary(ps.MODEL)
+    texts = [f"the cat w{i}x{i * 7919} sat on the mat {i * i} é日 " + "naïve " * (i % 3) for i in range(400)]
+    want = ps.Sampler(ps.MODEL, 3, 0.7)
+    want.lat = ps.Lattices(vocab, 0.7)
+    want = want.batch(texts, np.arange(400, dtype="u8"))
+    monkeypatch.setattr(ps, "MAX_STATES", 600)
+    small = ps.Sampler(ps.MODEL, 3, 0.7)
+    small.lat = ps.Lattices(vocab, 0.7)
+    for i in range(0, 400, 20):
+        got = small.batch(texts[i : i + 20], np.arange(i, i + 20, dtype="u8"))
+        for a, b in zip(got, want[i : i + 20], strict=True):
+            assert [x[3].tolist() for x in a] == [x[3].tolist() for x in b]
+            assert np.allclose([x[:3] for x in a], [x[:3] for x in b])
+        held = small.lat.states
+        small.lat.starts([])
+        assert small.lat.states <= 600 < held or held == small.lat.states
+    assert " the" in small.lat.start and " cat" in small.lat.start
+
+
+def test_largest_of_each_owner():
+    s = ps.Sampler(ps.MODEL, 4, 0.7)
+    r = np.random.default_rng(3)
+    owner = np.sort(r.integers(0, 40, 5000))
+    vals = np.round(r.normal(size=5000), 3)
+    got = s._largest(np.arange(5000), owner, vals)
+    for o in set(owner.tolist()):
+        assert [v for v, _ in got[o]] == sorted(vals[owner == o].tolist(), reverse=True)[:5]
+        assert all(owner[e] == o and vals[e] == v for v, e in got[o])
+
+
+def test_a_wrong_sample_is_told():
+    """Every byte counts, also of pieces longer than a word of eight, and of samples of another length."""
+    vocab = ps.vocabulary(ps.MODEL)
+    long_ = max((i for i, x in enumerate(vocab.raw) if len(x) > 8 and x[:1] == b" "), key=lambda i: len(vocab.raw[i]))
+    text = vocab.raw[long_].decode()[1:]
+    sample = [(0.0, 0.0, 0.0, np.array([long_], "i4"))]
+    assert ps._exact(vocab, [text, text[:-1] + "#", text + "#"], [sample] * 3) == [True, False, False]
+    assert ps._exact(vocab, [text, text[:-1] + "#"], [sample] * 2) == [True, False]

@@ -9,7 +9,8 @@ drawing each step from the conditional distribution, and what it leaves beside e
 piece) are new sets, with values drawn below its own. The (k+1)-th value is the threshold of the inclusion scores.
 
 Pieces hold spaces only at their start, so the lattice falls into units (spaces and the word after them). A worker keeps
-the lattices of the units it has met, up to ``MAX_STATES`` states, and draws the steps of all units of a batch at once.
+the lattices of the units it has met, up to ``MAX_STATES`` states (beyond, of those met most often), and draws the steps
+of all units of a batch at once.
 Every random number is a hash of the row's key, the sample, the unit and the step, so results do not depend on how rows
 are dealt out.
 """
@@ -23,6 +24,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ from timberline.llm.common import documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
+#: States of the lattices that a worker keeps; characters of a batch, few enough that its arrays stay in the CPU's caches.
 MAX_STATES = 1_000_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 150_000
 #: A step's value cannot exceed its log-mass by more, as -log(E) is under 37 for 53-bit uniforms.
 REACH, FLOOR = 38.0, -50.0
 SAMPLES = "samples array<struct<value:double,log_prob:double,log_inclusion:double,ids:array<int>>>"
@@ -63,8 +66,12 @@ class Vocabulary:
                     raise ValueError(f"piece {i} crosses the bounds of units")
                 known[s] = i
         self.longest = max(map(len, known))
-        self.bytes_at = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
-        self.bytes = np.frombuffer(b"".join(self.raw), "u1")
+        self.size = np.array([len(x) for x in self.raw], "i8")
+        width = -(-int(self.size.max()) // 8)
+        padded = np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in self.raw), "<u8").reshape(n, width)
+        ones = np.frombuffer(b"".join((b"\xff" * len(x)).ljust(8 * width, b"\0") for x in self.raw), "<u8").reshape(n, width)
+        #: The pieces' bytes as words of eight, and which of their bits count.
+        self.words, self.masks = np.ascontiguousarray(padded.T), np.ascontiguousarray(ones.T)
         for s in list(known):
             for k in range(1, len(s)):
                 known.setdefault(s[:k], -1)
@@ -142,21 +149,48 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {}
         self.states = 0
+        self.edges = 0
+        self.hits = np.zeros(0, "i4")
         self.last, self.first_edge = np.zeros(0, bool), np.zeros(1, "i8")
         self.to, self.piece = np.zeros(0, "i4"), np.zeros(0, "i4")
-        self.p, self.log_p, self.cdf = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.log_p, self.cdf = np.zeros(0), np.zeros(0)
+
+    def _put(self, name: str, at: int, new: np.ndarray) -> None:
+        """Writes ``new`` from place ``at`` of an array, which has room beyond what is used."""
+        held = getattr(self, name)
+        if at + len(new) > len(held):
+            held = np.concatenate([held[:at], np.zeros((at + len(new)) * 5 // 4 - at, held.dtype)])
+            setattr(self, name, held)
+        held[at : at + len(new)] = new
 
     def starts(self, units: list[str]) -> np.ndarray:
         if self.states > MAX_STATES:
-            self.clear()
+            self._trim()
         out = np.fromiter(map(self.start.get, units, repeat(-1)), "i8", len(units))
         odd = np.flatnonzero(out < 0)
         if len(odd):
             new = [units[i] for i in odd.tolist()]
             self._add(list(dict.fromkeys(new)))
             out[odd] = np.fromiter(map(self.start.__getitem__, new), "i8", len(new))
+        np.add.at(self.hits, out, 1)
         return out
 
+    def _trim(self) -> None:
+        """Keeps the units that were met most often, in up to half of the room. Units lie in the order of ``start``."""
+        units, start = list(self.start), np.fromiter(self.start.values(), "i8", len(self.start))
+        size = np.diff(np.append(start, self.states))
+        order = np.argsort(-self.hits[start], kind="stable")
+        kept = np.sort(order[np.cumsum(size[order]) <= MAX_STATES // 2])
+        s, n = start[kept], size[kept]
+        e, m = self.first_edge[s], self.first_edge[s + n] - self.first_edge[s]
+        states, edges, now = _ranges(s, n), _ranges(e, m), np.cumsum(n) - n
+        to, count = self.to[edges] - np.repeat(s - now, m), self.first_edge[states + 1] - self.first_edge[states]
+        for name, x in (("last", self.last[states]), ("hits", self.hits[states] // 2), ("to", to), *((c, getattr(self, c)[edges]) for c in ("piece", "log_p", "cdf"))):
+            self._put(name, 0, x)
+        self._put("first_edge", 1, np.cumsum(count))
+        self.states, self.edges = len(states), len(edges)
+        self.start = dict(zip(map(units.__getitem__, kept.tolist()), now.tolist(), strict=True))
+
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first edge of each character, and past the last), and each edge's source, length and piece."""
         n, v = len(points), self.vocab
@@ -227,15 +261,21 @@ class Lattices:
         last[ends_at] = True
         count = np.zeros(total, "i8")
         count[~last] = cut[1:] - cut[:-1]
-        self.last = np.concatenate([self.last, last])
-        self.first_edge = np.concatenate([self.first_edge, len(self.to) + np.cumsum(count)])
-        self.to, self.piece = np.concatenate([self.to, (base + to + unit_of[src]).astype("i4")]), np.concatenate([self.piece, piece])
-        self.p, self.log_p, self.cdf = np.concatenate([self.p, p]), np.concatenate([self.log_p, log_p]), np.concatenate([self.cdf, cdf])
+        self._put("last", base, last)
+        self._put("hits", base, np.zeros(total, "i4"))
+        self._put("first_edge", base + 1, self.edges + np.cumsum(count))
+        self._put("to", self.edges, base + to + unit_of[src])
+        for name, x in (("piece", piece), ("log_p", log_p), ("cdf", cdf)):
+            self._put(name, self.edges, x)
         self.start.update(zip(units, (base + ends_at - length).tolist(), strict=True))
         self.states += total
+        self.edges += len(src)
+
+    def p(self, edges) -> np.ndarray:
+        return np.exp(self.log_p[edges])
 
     def source(self, edge) -> int:
-        return int(np.searchsorted(self.first_edge, edge, side="right") - 1)
+        return int(np.searchsorted(self.first_edge[: self.states + 1], edge, side="right") - 1)
 
     def edges_beside(self, edge, barred: tuple) -> list[int]:
         """The edges of the same state that are not barred."""
@@ -267,18 +307,17 @@ class Lattices:
             out[off[i] + k] = e
         return out, n
 
-    def spell(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the edges in order, and how many each edge gives."""
+    def spell(self, edges: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the edges in order, and the places of ``cuts``, which are places among the edges, among these ids."""
         ids = self.piece[edges]
-        k = np.ones(len(edges), "i8")
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return ids.astype("i4"), k
+            return ids, cuts
         spelled = [self.vocab.byte_ids[list(chr(-1 - c).encode("utf-8", "replace"))] for c in ids[odd].tolist()]
-        k[odd] = [len(x) for x in spelled]
-        out = np.repeat(ids, k)
-        out[np.repeat(ids < 0, k)] = np.concatenate(spelled)
-        return out.astype("i4"), k
+        more = np.array([len(x) - 1 for x in spelled])
+        ids[odd] = [x[0] for x in spelled]
+        ids = np.insert(ids, np.repeat(odd + 1, more), np.concatenate([x[1:] for x in spelled]))
+        return ids, cuts + np.concatenate([[0], np.cumsum(more)])[np.searchsorted(odd, cuts)]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -318,22 +357,18 @@ class Sampler:
             edges, size, fresh = self._path(paths, parent, keep, turn, live, starts, unit_off, n_units, seeds, r)
             off = np.cumsum(size) - size
             run = np.concatenate([[0.0], np.cumsum(lat.log_p[edges])])
-            before = run[:-1] - np.repeat(run[off], size)
             total = run[off + size] - run[off]
-            ids, per = lat.spell(edges)
-            cut = np.concatenate([[0], np.cumsum(per)])
+            ids, cut = lat.spell(edges, np.append(off, len(edges)))
+            cut = cut.tolist()
             todo = np.flatnonzero(live).tolist()
             for i in todo:
-                result[i].append((float(value[i]), float(total[i]), ids[cut[off[i]] : cut[off[i] + size[i]]]))
-            ends = lat.last[lat.to[edges]].astype("i8")
-            at_unit = np.cumsum(ends) - ends
-            at_unit -= np.repeat(at_unit[off[size > 0]], size[size > 0])
-            paths.append({"edges": edges, "off": off, "unit": at_unit})
-            self._beside(r, edges, off, size, fresh, before, value, seeds, heap)
+                result[i].append((float(value[i]), float(total[i]), ids[cut[i] : cut[i + 1]]))
+            paths.append({"edges": edges, "off": off})
+            self._beside(r, edges, off, size, fresh, run, value, seeds, heap)
             u = _uniform(seeds, 2000 + r, keep)
             for i in todo:
                 if turn[i] >= 0:
-                    self._same_place(r, i, int(off[i] + keep[i]), int(keep[i]), turn[i], barred[i], before, value, u[i], heap)
+                    self._same_place(r, i, run[off[i] + keep[i]] - run[off[i]], int(keep[i]), turn[i], barred[i], value, u[i], heap)
             live = np.zeros(d, bool)
             u = _uniform(seeds, 3001 + r)
             for i in todo if r + 1 < self.k else []:
@@ -353,71 +388,98 @@ class Sampler:
         lat, d = self.lat, len(live)
         first, part = np.zeros(d, "i8"), np.full(d, -1)
         turned = live & (turn >= 0)
-        for i in np.flatnonzero(turned).tolist():
-            p = paths[parent[i]]
-            first[i] = p["unit"][p["off"][i] + keep[i]] + 1
-            to = lat.to[turn[i]]
-            part[i] = -1 if lat.last[to] else to
-        whole = np.where(live, n_units - first, 0)
-        has = np.flatnonzero(part >= 0)
-        which = _ranges(unit_off + first, whole)
-        owner = np.concatenate([np.repeat(np.arange(d), whole), has])
-        unit = np.concatenate([which - np.repeat(unit_off, whole), first[has] - 1])
-        state = np.concatenate([starts[which], part[has]])
-        if len(has):
-            order = np.argsort(owner * (int(n_units.max()) + 1) + unit, kind="stable")
-            owner, unit, state = owner[order], unit[order], state[order]
-        walked, n = lat.walk(state, seeds[owner], unit, r)
-        new = np.bincount(owner, n, minlength=d).astype("i8") if len(owner) else np.zeros(d, "i8")
         kept = np.where(turned, keep, 0)
+        held = []  # (where they go, edges) of what is kept of each earlier path
+        for q in range(len(paths)):
+            m = np.flatnonzero(turned & (parent == q))
+            e = paths[q]["edges"][_ranges(paths[q]["off"][m], kept[m])]
+            first[m] = np.bincount(np.repeat(np.arange(len(m)), kept[m]), lat.last[lat.to[e]], len(m)).astype("i8") + 1
+            held.append((m, e))
+        to = lat.to[turn[turned]]
+        part[turned] = np.where(lat.last[to], -1, to)
+        whole = np.where(live, n_units - first, 0)
+        has = part >= 0
+        n_walks = whole + has
+        walk_off = np.cumsum(n_walks) - n_walks
+        at = walk_off[has]  # a unit that the turn leaves unfinished comes before a document's whole ones
+        unit = _ranges(first - has, n_walks)
+        state = np.empty(len(unit), "i8")
+        rest = np.ones(len(unit), bool)
+        rest[at] = False
+        state[rest] = starts[_ranges(unit_off + first, whole)]
+        state[at] = part[has]
+        walked, n = lat.walk(state, np.repeat(seeds, n_walks), unit, r)
+        run = np.concatenate([[0], np.cumsum(n)])
+        new = run[walk_off + n_walks] - run[walk_off]
         size = kept + turned + new
         off = np.cumsum(size) - size
+        if not turned.any():
+            return walked, size, kept
         edges = np.empty(int(size.sum()), "i8")
-        for q in range(len(paths)):
-            m = turned & (parent == q)
-            edges[_ranges(off[m], kept[m])] = paths[q]["edges"][_ranges(paths[q]["off"][m], kept[m])]
+        for m, e in held:
+            edges[_ranges(off[m], kept[m])] = e
         edges[(off + kept)[turned]] = turn[turned]
         edges[_ranges(off + kept + turned, new)] = walked
         return edges, size, kept + turned
 
-    def _beside(self, r, edges, off, size, fresh, before, value, seeds, heap):
-        """The sets beside the fresh steps of the new paths; of each document the k + 1 best suffice."""
-        new = size - np.where(size > 0, fresh, 0)
-        at = _ranges(off + size - new, new)  # the fresh steps of all documents
-        owner = np.repeat(np.arange(len(size)), new)
-        pos = at - off[owner]
-        cut = np.concatenate([[0], np.cumsum(new)])
-        with np.errstate(divide="ignore"):
-            mass = before[at] + np.log1p(-self.lat.p[edges[at]])
-
-        def values(where):
-            u = _uniform(seeds[owner[where]], 1000 + r, pos[where])
-            return -np.logaddexp(-value[owner[where]], np.log(-np.log(u)) - mass[where])
-
-        near = np.flatnonzero(mass >= FLOOR)
-        best = self._largest(near, owner[near], values(near))
+    def _beside(self, r, edges, off, size, fresh, run, value, seeds, heap):
+        """The sets beside the fresh steps of the new paths; of each document the k + 1 best suffice.
+
+        ``run`` has the sums of the log-probabilities before each step, so what lies above the floor is a path's start.
+        """
+
+        def masses(first, n):
+            at = _ranges(first, n)
+            owner = np.repeat(np.arange(len(n)), n)
+            with np.errstate(divide="ignore"):
+                return at, owner, run[at] - run[off[owner]] + np.log1p(-self.lat.p(edges[at]))
+
+        def values(at, owner, mass):
+            u = _uniform(seeds[owner], 1000 + r, at - off[owner])
+            return -np.logaddexp(-value[owner], np.log(-np.log(u)) - mass)
+
+        start, end = off + np.where(size > 0, fresh, 0), off + size
+        high = np.minimum(np.searchsorted(-run, -(run[off] + FLOOR - 1e-3), side="right"), end)
+        at, owner, mass = masses(start, np.maximum(high - start, 0))
+        near = mass >= FLOOR
+        at, owner, mass = at[near], owner[near], mass[near]
+        best = self._largest(at, owner, values(at, owner, mass))
         for i in np.flatnonzero(size).tolist():
             got = best.get(i, [])
             if len(got) <= self.k or got[self.k][0] < FLOOR + REACH:  # what lies below the floor could matter
-                own = cut[i] + np.flatnonzero(np.isfinite(mass[cut[i] : cut[i + 1]]))
-                got = self._largest(own, owner[own], values(own)).get(i, []) if len(own) > len(got) else got
-            heap[i] += [(v, r, int(pos[e]), (int(edges[at[e]]),)) for v, e in got]
-
-    def _same_place(self, r, i, e, at, turn, barred, before, value, u, heap):
+                n = np.zeros(len(size), "i8")
+                n[i] = end[i] - start[i]
+                at, owner, mass = masses(start, n)
+                own = np.isfinite(mass)
+                at, owner, mass = at[own], owner[own], mass[own]
+                got = self._largest(at, owner, values(at, owner, mass)).get(i, []) if len(at) > len(got) else got
+            heap[i] += [(v, r, int(e - off[i]), (int(edges[e]),)) for v, e in got]
+
+    def _same_place(self, r, i, before, at, turn, barred, value, u, heap):
         """The set with the same prefix as the turn, but neither its edge nor those barred before."""
         barred = (*barred, int(turn))
         rest = self.lat.edges_beside(turn, barred)
         if rest:
-            mass = before[e] + np.log(self.lat.p[rest].sum())
+            mass = before + np.log(self.lat.p(rest).sum())
             heap[i].append((float(-np.logaddexp(-value[i], np.log(-np.log(u)) - mass)), r, at, barred))
 
     def _turn(self, edge, barred, u) -> int:
         """An edge beside ``edge`` that is not barred, drawn by its probability with the uniform number ``u``."""
         rest = self.lat.edges_beside(edge, barred)
-        c = np.cumsum(self.lat.p[rest])
+        c = np.cumsum(self.lat.p(rest))
         return rest[min(int(np.searchsorted(c, c[-1] * u, side="right")), len(rest) - 1)]
 
     def _largest(self, where, owner, vals) -> dict[int, list[tuple[float, int]]]:
+        """The k + 1 largest values of each owner, and where they are; owners are in order."""
+        if len(vals) > 64:  # what is below the (k + 1)-th largest of an owner's maxima over blocks is none of its largest
+            start = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.arange(len(owner)) % 16 == 0))
+            top, of = np.maximum.reduceat(vals, start), owner[start]
+            order = np.lexsort((-top, of))
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            n = np.diff(np.append(first, len(of)))
+            least = np.where(n > self.k, top[order[np.minimum(first + self.k, len(of) - 1)]], -np.inf)
+            some = vals >= np.repeat(np.repeat(least, n), np.diff(np.append(start, len(vals))))
+            owner, vals, where = owner[some], vals[some], where[some]
         order = np.lexsort((-vals, owner))
         owner, vals, where = owner[order], vals[order], where[order]
         bounds = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(owner)]
@@ -440,13 +502,21 @@ def _exact(vocab: Vocabulary, texts: list[str], drawn: list[list[tuple]]) -> lis
     want = [(" " + t).encode("utf-8", "replace") if t else b"" for t in texts]
     k = [len(x) for x in drawn]
     ids = np.concatenate([np.zeros(0, "i4"), *(x[3] for samples in drawn for x in samples)])
-    at = vocab.bytes_at[ids]
-    size = vocab.bytes_at[ids + 1] - at
-    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(x[3]) for samples in drawn for x in samples])]).astype("i8")]
-    same = np.diff(ends) == np.repeat([len(w) for w in want], k)
-    if same.all():  # all lengths agree, so that the bytes of all samples can be compared in place
-        wrong = np.concatenate([[0], np.cumsum(vocab.bytes[_ranges(at, size)] != np.frombuffer(b"".join(w * n for w, n in zip(want, k, strict=True)), "u1"))])
-        same = wrong[ends[1:]] == wrong[ends[:-1]]
+    size = vocab.size[ids]
+    ends = np.cumsum(size)
+    of = np.concatenate([[0], np.cumsum([len(x[3]) for samples in drawn for x in samples])]).astype("i8")
+    same = np.diff(np.concatenate([[0], ends])[of]) == np.repeat([len(w) for w in want], k)
+    if same.all():  # all lengths agree, so that the bytes of all samples can be compared in place, eight at once
+        text = b"".join(w * n for w, n in zip(want, k, strict=True)) + bytes(8 * len(vocab.words))
+        window = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+        at = ends - size
+        wrong = (window[at] ^ vocab.words[0][ids]) & vocab.masks[0][ids] != 0
+        long_ = np.flatnonzero(size > 8)
+        for j in range(1, len(vocab.words)):
+            long_ = long_[size[long_] > 8 * j]
+            wrong[long_] |= (window[at[long_] + 8 * j] ^ vocab.words[j][ids[long_]]) & vocab.masks[j][ids[long_]] != 0
+        wrong = np.concatenate([[0], np.cumsum(wrong)])
+        same = wrong[of[1:]] == wrong[of[:-1]]
     else:
         same = same & [b"".join(map(vocab.raw.__getitem__, x[3])) == w for w, samples in zip(want, drawn, strict=True) for x in samples]
     cut = np.concatenate([[0], np.cumsum(k)]).tolist()
@@ -456,14 +526,15 @@ def _exact(vocab: Vocabulary, texts: list[str], drawn: list[list[tuple]]) -> lis
 def _sample(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float, seed: int, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     sampler = Sampler(path, k, alpha)
     for b in batches:
-        texts = b.column("_text").to_pylist()
+        size = pc.fill_null(pc.utf8_length(b.column("_text")), 0).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(size):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
-                chars += len(texts[end] or "")
+            while end < len(size) and (end == at or chars + size[end] <= BATCH_CHARS):
+                chars += size[end]
                 end += 1
-            yield _record(sampler, b.slice(at, end - at), texts[at:end], seed, names)
+            part = b.slice(at, end - at)
+            yield _record(sampler, part, part.column("_text").to_pylist(), seed, names)
             at = end
 
 
