@@ -152,3 +152,21 @@ def test_components_of_a_long_chain(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(n), 0) | {1000: 1000, 1001: 1000}
+
+
+def test_batches_for_python_are_held_by_bytes(spark):
+    """Long texts come to Python a few at a time, and the session's own setting stays."""
+    import pyarrow as pa
+
+    from timberline.sources import storage
+
+    before = spark.conf.get(storage.MAX_BYTES, None)
+    d = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 50000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows] * b.num_rows}, pa.schema([("n", pa.int64())]))
+
+    most = storage.staged(d.mapInArrow(sizes, "n bigint"), "batches").agg({"n": "max"}).first()[0]
+    assert most * 50_000 <= 2 * storage.BATCH_BYTES
+    assert spark.conf.get(storage.MAX_BYTES, None) == before

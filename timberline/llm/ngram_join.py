@@ -174,8 +174,12 @@ class Batch:
         mark = xxhash.xxh3_64_intdigest(nodes) - 2**63
         ids = np.array([0 if i is None else i for i in self.ids], "i8")
         none = np.array([i is None for i in self.ids], "u1")
-        x = np.sort(np.concatenate(self.held)) if self.held else np.zeros(0, "u8")
-        key, place = x >> np.uint64(16), x & np.uint64(0xFFFF)
+        x = np.concatenate(self.held) if self.held else np.zeros(0, "u8")
+        self.held = []
+        x.sort()
+        place = x.astype("u2")  # the low 16 bits
+        x >>= np.uint64(16)
+        key = x
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "i8")
         run = np.diff(np.append(start, len(key)))
         alone = np.repeat(run == 1, run)
@@ -183,6 +187,7 @@ class Batch:
         out = [(own, DOCS, ids.tobytes(), none.tobytes(), nodes + np.array(self.keys, "<i8").tobytes(), np.array(self.sizes, "<u4").tobytes()), (own, OWN, pack_sorted(key[~alone]), planes(place[~alone], 2), b"", b"")]
         single, at = key[alone], place[alone]
         several, times = key[start[run > 1]], run[run > 1]
+        del x, key, place, alone, start, run
         if not self.buckets:
             return self._plain(mark, [x[1:] for x in out], single, at, several, times)
         edges = [-(-(b << BITS) // self.buckets) for b in range(self.buckets + 1)]
@@ -239,14 +244,18 @@ def _count(t: pa.Table) -> pa.Table:
     for i, (a, b, c, d) in enumerate(zip(r["a"], r["b"], r["c"], r["d"], strict=True)):
         for keys, place, times in ((unpack_sorted(a), from_planes(b, 2), None), (unpack_sorted(c), None, from_planes(d, 4))):
             k = len(keys)
-            parts.append((keys, np.full(k, MANY, "u8") if place is None else place, np.ones(k, "i8") if times is None else times.astype("i8"), np.full(k, i, "i4")))
+            parts.append((keys, np.full(k, MANY, "u2") if place is None else place.astype("u2"), np.ones(k, "u4") if times is None else times.astype("u4"), np.full(k, i, "i4")))
     key, place, times, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.argsort(key)
-    key, place, times, of = key[order], place[order], times[order], of[order]
+    key = key[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    docs = np.repeat(np.add.reduceat(times, start), np.diff(np.append(start, len(key))))
-    shared = np.flatnonzero(docs > 1)
-    shared = shared[np.argsort(of[shared], kind="stable")]
+    run = np.diff(np.append(start, len(key)))
+    docs = np.add.reduceat(times[order], start, dtype="i8")
+    more = np.repeat(docs > 1, run)
+    order, key, docs = order[more], key[more], np.repeat(docs[docs > 1], run[docs > 1])
+    place, of = place[order], of[order]
+    shared = np.argsort(of, kind="stable")
     cut = np.searchsorted(of[shared], np.arange(len(r["batch"]) + 1))
     out = []
     for i, (batch, mark) in enumerate(zip(r["batch"], r["mark"], strict=True)):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch on its way to or from Python. Each task holds a few of them twice, in the JVM's direct memory and in Python.
+BATCH_BYTES = 4 << 20
+MAX_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start here exchange batches of about BATCH_BYTES with Python; batches of rows alone grow with the texts."""
+    before = spark.conf.get(MAX_BYTES, None)
+    spark.conf.set(MAX_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(MAX_BYTES) if before is None else spark.conf.set(MAX_BYTES, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back, so that later steps compute nothing twice."""
     path = f"{shared_dir(df.sparkSession)}/timberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
