@@ -138,9 +138,14 @@ def collapsed(entries: DataFrame, d: Display = Display()) -> DataFrame:
 
 def _parts(entries: DataFrame, d: Display, several_files: bool, max_lines: int) -> tuple[DataFrame, Column, Column, Column]:
     """Entries with their groups, _items (items up to and with theirs) and _spent (rows so far); and their rows, whether they
-    head a group, and the text of the header."""
+    head a group, and the text of the header.
+
+    Widths, sums and results each read the entries with their groups, so these are written once, unless a budget of lines
+    keeps the results short.
+    """
     w = widths(entries)
-    df = with_parts(with_groups(entries, d), d, w["severity"])
+    df = with_groups(entries, d)
+    df = with_parts(df if max_lines > 0 else staged(df, "grouped"), d, w["severity"])
     mark = lambda c, many: F.when(F.col("is_group") & many, F.concat(c, F.lit(MORE))).otherwise(c)
     file_label, kind_label = mark(F.col("file_name"), F.size("_files") > 1), mark(F.col("kind"), F.col("_many_kinds"))
     heads = F.col("is_group") & (F.col("seq") == F.col("_first"))
