@@ -28,7 +28,8 @@ class View:
 
     Rows are lazy, unless a match or ignore pattern needs a time limit: then they are written, and if it fails on any entry
     the view is shown without these patterns and :meth:`filter_failure` says why. What folds repeats is made from the view's laid-out entries, which are written once, when first
-    asked for; so a whole redraw (:meth:`payload`) writes one table, and further results of the view none.
+    asked for; so a whole redraw (:meth:`payload`) writes one table. Items and
+    folded rows without a budget of lines write one more.
     """
 
     entries: DataFrame
