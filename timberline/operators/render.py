@@ -141,11 +141,11 @@ def _parts(entries: DataFrame, d: Display, several_files: bool, max_lines: int)
     head a group, and the text of the header.
 
     Widths, sums and results each read the entries with their groups, so these are written once, unless a budget of lines
-    keeps the results short.
+    keeps the results short or the entries are laid out already, as a view's are.
     """
     w = widths(entries)
     df = with_groups(entries, d)
-    df = with_parts(df if max_lines > 0 else staged(df, "grouped"), d, w["severity"])
+    df = with_parts(df if max_lines > 0 or "run_id" in entries.columns else staged(df, "grouped"), d, w["severity"])
     mark = lambda c, many: F.when(F.col("is_group") & many, F.concat(c, F.lit(MORE))).otherwise(c)
     file_label, kind_label = mark(F.col("file_name"), F.size("_files") > 1), mark(F.col("kind"), F.col("_many_kinds"))
     heads = F.col("is_group") & (F.col("seq") == F.col("_first"))
