@@ -116,6 +116,56 @@ def test_lattices_keep_the_units_met_most(monkeypatch):
     assert " the" in small.lat.start and " cat" in small.lat.start
 
 
+def test_units_are_those_of_the_pattern():
+    """Units are cut and numbered in bulk as the pattern finds them, whatever stands before in the batch."""
+    texts = [*TEXTS, " \n  \n", "a \n b", "a  b\n", "\na", "  ", "ab" * 40 + " ", "𝔘" * 50, "ab ba abab  ab"]
+    lat = ps.Lattices(ps.vocabulary(ps.MODEL), 0.7)
+    numbers, n = lat.starts(texts)
+    want = [ps.UNIT.findall(" " + t) if t else [] for t in texts]
+    assert n.tolist() == [len(x) for x in want]
+    flat = [u for x in want for u in x]
+    assert len(set(flat)) == len(lat.start) == len(set(zip(flat, numbers.tolist(), strict=True)))
+    again = ps.Lattices(lat.vocab, 0.7)
+    for t, x in zip(reversed(texts), reversed(want), strict=True):
+        got, _ = again.starts([t])
+        assert again.log_first[got].tolist() == lat.log_first[[numbers[flat.index(u)] for u in x]].tolist()
+        assert all(u in again.start for u in x) and " never met" not in again.start
+
+
+@pytest.mark.parametrize("unit", [" the", " internationalization", "x" * 1000, "𝔘" * 90, "日本" * 30, "a𝔘" * 40])
+def test_probabilities_of_units_of_any_length(unit):
+    """First paths have the probabilities that a sum over all ways gives; so do the steps of every state."""
+    vocab = ps.vocabulary(ps.MODEL)
+    lat = ps.Lattices(vocab, 0.7)
+    ((number,), _) = lat.starts([unit.removeprefix(" ")])
+    unit = " " + unit.removeprefix(" ")
+    by = {raw.decode("utf-8", "replace"): i for i, raw in enumerate(vocab.raw) if i > 258}
+    ahead = [0.0] * (len(unit) + 1)
+    for i in reversed(range(len(unit))):
+        ways = [0.7 * vocab.log_prob[by[unit[i : i + k]]] + ahead[i + k] for k in range(1, min(vocab.longest, len(unit) - i) + 1) if unit[i : i + k] in by]
+        if unit[i] not in by:
+            ways.append(-0.7 * len(unit[i].encode()) * math.log(len(vocab.raw)) + ahead[i + 1])
+        ahead[i] = np.logaddexp.reduce(ways)
+    path = list(lat.first_path(number))
+    weight = sum(0.7 * vocab.log_prob[p] if p >= 0 else -0.7 * len(chr(-1 - p).encode()) * math.log(len(vocab.raw)) for p in lat.piece[path].tolist())
+    assert lat.log_first[number] == pytest.approx(weight - ahead[0], rel=1e-9, abs=1e-9)
+    cut = lat.first_edge[: lat.states]
+    assert np.allclose(np.add.reduceat(np.exp(lat.log_p[: lat.edges]), cut[~lat.last[: lat.states]]), 1)
+
+
+def test_most_units_are_drawn_without_steps(monkeypatch):
+    """Steps are drawn for units that leave their first path; no text's samples depend on its batch, to the last bit."""
+    texts = [f"the cat and the dog sat on the mat of house {i} and they said that it was a good day" for i in range(60)]
+    walked, walk = [], ps.Lattices.walk
+    monkeypatch.setattr(ps.Lattices, "walk", lambda self, state, *rest: walked.append(len(state)) or walk(self, state, *rest))
+    s = ps.Sampler(ps.MODEL, 4, 0.7)
+    got = s.batch(texts, np.arange(60, dtype="u8"))
+    assert 0 < sum(walked) < sum(len(ps.UNIT.findall(" " + t)) for t in texts)
+    for i in range(0, 60, 7):
+        for a, b in zip(s.batch(texts[i : i + 7], np.arange(i, min(i + 7, 60), dtype="u8")), got[i : i + 7], strict=True):
+            assert [(*x[:3], x[3].tolist()) for x in a] == [(*x[:3], x[3].tolist()) for x in b]
+
+
 def test_largest_of_each_owner():
     s = ps.Sampler(ps.MODEL, 4, 0.7)
     r = np.random.default_rng(3)
